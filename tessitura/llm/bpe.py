@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from tessitura.llm.common import at, require
-from tessitura.llm.tokenization import ChunkEncoder, Decoder
+from tessitura.llm.tokenization import Decoder, encoder_for
 
 #: What ``bpe`` can return beside the id and ``n_tokens``.
 OUTPUTS = {
@@ -63,7 +63,7 @@ def bpe(docs: DataFrame, tokenizer_path: str, outputs: tuple[str, ...] = ("token
     decoding = bool({"decoded", "decoded_sha256"} & set(outputs))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = ChunkEncoder(data.value, leaf_chars=leaf_chars)
+        encoder = encoder_for(data.value, leaf_chars=leaf_chars)
         decoder = Decoder(data.value) if decoding else None
         for batch in batches:
             texts = batch.column(1).to_pylist()

@@ -31,7 +31,7 @@ from pyspark.sql.window import Window
 
 from tessitura.llm.bpe import groups
 from tessitura.llm.common import at, require
-from tessitura.llm.tokenization import ChunkEncoder
+from tessitura.llm.tokenization import ChunkEncoder, encoder_for
 
 #: Fixed value of the checksum mask.
 MASK_DELTA = 0xA282EAD8
@@ -116,7 +116,7 @@ def write_token_files(docs: DataFrame, out_dir: str, tokenizer_path: str, end_id
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encoder = ChunkEncoder(data.value, "<u4" if wide else "<u2")
+        encoder = encoder_for(data.value, "<u4" if wide else "<u2")
         end = encoder.pack([end_id])
         where, root = fs.FileSystem.from_uri(out_dir)
         where.create_dir(root)

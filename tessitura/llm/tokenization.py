@@ -14,8 +14,9 @@ from collections.abc import Iterable
 import numpy as np
 from tokenizers import Tokenizer
 
-#: Entries of a worker's chunk table; it is emptied when full, so memory is bounded.
-CACHE_ENTRIES = 1_000_000
+#: Entries of a worker's chunk table. When full it becomes the old table, from which chunks that
+#: are met again move on to the new one, so memory is bounded and what is frequent stays.
+CACHE_ENTRIES = 250_000
 #: Only chunks up to this length are kept in the table.
 CACHE_CHARS = 48
 
@@ -53,6 +54,7 @@ class ChunkEncoder:
         self.cuts = plain and (self.spaced or self.dropped)
         self.specials = [t["content"] for t in added]
         self.table: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
         self.stand_in = {b: c for c, b in byte_alphabet().items()}
         self.tree = TreeEncoder(self, leaf_chars) if self.spaced and plain else None
 
@@ -94,14 +96,15 @@ class ChunkEncoder:
     def _learn(self, missing: set[str]) -> dict[str, bytes]:
         """Encodes new chunks into the table; what is too long for it comes back by itself."""
         table, pack = self.table, self.pack
-        if len(table) + 2 * len(missing) > CACHE_ENTRIES:
-            table.clear()
+        old = self.old
         once: dict[str, bytes] = {}
         rest: list[str] = []
         tails: list[tuple[str, str, str]] = []
 
         def want(c: str) -> None:
-            if c not in table:
+            if c in old:
+                table[c] = old[c]
+            elif c not in table:
                 ids = self._one(c)
                 if ids is None:
                     rest.append(c)
@@ -109,6 +112,9 @@ class ChunkEncoder:
                     table[c] = pack(ids)
 
         for c in missing:
+            if c in old:
+                table[c] = old[c]
+                continue
             if len(c) > CACHE_CHARS:
                 if self.tree is not None and len(c) > self.leaf_chars:
                     once[c] = pack(self.tree.encode(c))
@@ -135,6 +141,8 @@ class ChunkEncoder:
         """Ids of each text as little-endian integers of the encoder's type; null as empty."""
         out: list[bytes] = []
         for i in range(0, len(texts), 64):
+            if len(self.table) > CACHE_ENTRIES:
+                self.old, self.table = self.table, {}
             group = [self.chunks(t or "") for t in texts[i : i + 64]]
             found = [list(map(self.table.get, g)) for g in group]
             missing = {c for g, f in zip(group, found, strict=True) if None in f for c, v in zip(g, f, strict=True) if v is None}
@@ -147,6 +155,18 @@ class ChunkEncoder:
         return out
 
 
+_KEPT: dict[tuple, ChunkEncoder] = {}
+
+
+def encoder_for(data: bytes, dtype: str = "<u4", leaf_chars: int = 2048) -> ChunkEncoder:
+    """A worker's encoder for a vocabulary, kept between tasks with what it has learned."""
+    key = (hash(data), len(data), dtype, leaf_chars)
+    if key not in _KEPT:
+        _KEPT.clear()
+        _KEPT[key] = ChunkEncoder(data, dtype, leaf_chars)
+    return _KEPT[key]
+
+
 def _even(text: str) -> bool:
     """Whether all white space is single spaces and line feeds inside the text."""
     words = text.split()
