@@ -81,14 +81,14 @@ def range_of(column: Column, ends: list) -> Column:
     """The number of the range: how many ends are at or below the id; null ids come first."""
     if not ends:
         return F.lit(0)
-    # binary search over a literal array: one comparison for each halving
     array, size = F.array(*[F.lit(int(e)) for e in ends]), len(ends)
-    low: Column = F.lit(0)
-    step = 1 << (size.bit_length() - 1)
-    while step:
-        probe = low + F.lit(step)
-        low = F.when((probe <= size) & (F.element_at(array, F.least(probe, F.lit(size))) <= column), probe).otherwise(low)
-        step >>= 1
+    steps = F.array(*[F.lit(1 << k) for k in reversed(range(size.bit_length()))])
+
+    def halve(low: Column, step: Column) -> Column:
+        there = (low + step <= size) & (F.get(array, F.least(low + step, F.lit(size)) - 1) <= column)
+        return F.when(there, low + step).otherwise(low)
+
+    low = F.aggregate(steps, F.lit(0), halve)
     return F.coalesce(low, F.lit(0)).cast("int")
 
 

@@ -16,10 +16,13 @@ from tokenizers import Tokenizer
 
 #: Entries of a worker's chunk table. When full it becomes the old table, from which chunks that
 #: are met again move on to the new one, so memory is bounded and what is frequent stays.
-CACHE_ENTRIES = 250_000
+CACHE_ENTRIES = 450_000
 #: Only chunks up to this length are kept in the table.
 CACHE_CHARS = 48
 
+#: A point after a letter or digit and before a cut: a pre-token of its own.
+_POINT_SPACE = re.compile(r"[.,](?= )(?<=[^\W_][.,])")
+_POINT_MARK = re.compile("[.,](?=\x00)(?<=[^\\W_][.,])")
 _SAFE_CUT = re.compile(r"(?<=\S)(?= [^\s\u180e])(?<!\u180e)")
 
 
@@ -63,11 +66,14 @@ class ChunkEncoder:
         if not self.cuts:
             return [text]
         if self.dropped:
-            if text.isascii() and "<|" not in text:
-                text = text.lower()  # as the normalizer would, so that fewer chunks are distinct
-            return text.split(" ")
+            if "<|" not in text and "\u03a3" not in text:
+                low = text.lower()  # as the normalizer would, so that fewer chunks are distinct
+                if text.isascii() or (unicodedata.is_normalized("NFC", text) and unicodedata.is_normalized("NFC", low)):
+                    text = low
+            text = text.replace("\n", " ")
+            return (text if "\u0130" in text else _POINT_SPACE.sub(r" \g<0>", text)).split(" ")
         if _even(text):
-            return text.replace(" ", "\x00 ").replace("\n", "\x00\n\x00").split("\x00")
+            return _POINT_MARK.sub("\x00\\g<0>", text.replace(" ", "\x00 ").replace("\n", "\x00\n\x00")).split("\x00")
         return _SAFE_CUT.split(text)
 
     # -- encoding --------------------------------------------------------------------------
@@ -145,12 +151,11 @@ class ChunkEncoder:
                 self.old, self.table = self.table, {}
             group = [self.chunks(t or "") for t in texts[i : i + 64]]
             found = [list(map(self.table.get, g)) for g in group]
-            missing = {c for g, f in zip(group, found, strict=True) if None in f for c, v in zip(g, f, strict=True) if v is None}
-            if missing:
-                once = self._learn(missing)
-                for k, (g, f) in enumerate(zip(group, found, strict=True)):
-                    if None in f:
-                        found[k] = [v if v is not None else once[c] if c in once else self.table[c] for c, v in zip(g, f, strict=True)]
+            holes = [k for k, f in enumerate(found) if None in f]
+            missing = {c for k in holes for c, v in zip(group[k], found[k], strict=True) if v is None}
+            once = self._learn(missing) if missing else {}
+            for k in holes:
+                found[k] = [self.table[c] if c not in once else once[c] for c in group[k]] if once else list(map(self.table.get, group[k]))
             out += map(b"".join, found)
         return out
 
