@@ -565,11 +565,11 @@ def obj_7_8_clipped_policy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.select("id", F.round("s.loss", 7).alias("loss"), F.round("s.kl", 7).alias("kl"), F.col("s.clipped").cast("long").alias("clipped"))
 
 
-@query(f"WITH {_LOGPS} SELECT id, round(list_sum(list_transform(range(1, 17), lambda i: -pc[i] * (1 + i % 3))) / greatest(list_sum(list_transform(range(1, 17), lambda i: 1 + i % 3)), 1), 9) AS loss FROM l")
+@query(f"WITH {_LOGPS} SELECT id, round(list_sum(list_transform(range(1, 17), lambda i: -pc[i] * (1 + i % 3))) / greatest(list_sum(list_transform(range(1, 17), lambda i: 1 + i % 3)), 1), 12) AS loss FROM l")
 def obj_9_weighted_cross_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
     weights = F.transform(F.sequence(F.lit(1), F.lit(16)), lambda i: (1 + i % 3).cast("double"))
     loss = objectives.weighted_cross_entropy(F.transform("pc", lambda x: -x), weights)
-    return _logps(spark, sf_dir).select("id", r9(loss).alias("loss"))
+    return _logps(spark, sf_dir).select("id", F.round(loss, 12).alias("loss"))
 
 
 # -- shards -------------------------------------------------------------------------------------
