@@ -9,11 +9,18 @@ Bands of ``ROWS`` bins make candidates; ``BANDS`` of them miss a pair at a simil
 a chance of 1e-7. Candidates are confirmed on full sets, of 64-bit hashes of the shingles.
 
 Documents with equal sets are one node, so copies make no pairs. A band's nodes are not paired
-with each other: in each round one center of a band (later 4, 16, ... centers of hashed parts of
-it) meets the nodes that are not in its component yet, links are confirmed and components
-merged; a band is done when its nodes that have not been centers are one component. So groups
-of near copies cost a few pairs a node, and yet every pair of a band that could link two
-components is confirmed or refuted.
+with each other. Its center, the node with most band neighbours, is compared with all of them;
+who is similar to it is in its component. Two nodes u, v that are not both so can still be
+similar to each other in one of two ways, by their overlaps with the center and their sizes:
+
+- What they share with the center does not suffice, so they share a shingle that the center
+  lacks. Those residual shingles are few and rare, and prefixes of them in a fixed order make an
+  inverted index for the pairs to confirm (the prefix principle of similarity joins).
+- Or it may suffice, which takes a partner smaller than the center. Such nodes form a smaller
+  band without the center, for the next round, unless they are one component already.
+
+So groups of near copies, and documents around one common passage, cost about a comparison a
+node, and yet every pair of a band that could be similar is confirmed or refuted.
 """
 
 from __future__ import annotations
@@ -112,26 +119,56 @@ def _full_sets(rows: DataFrame, words: int) -> DataFrame:
     return rows.mapInArrow(run, f"id {dict(rows.dtypes)['id']}, items binary")
 
 
-def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b, comp_a, comp_b) whose full sets are similar enough."""
+def _both_sets(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     left = sets.select(F.col("id").alias("a"), F.col("items").alias("items_a"))
     right = sets.select(F.col("id").alias("b"), F.col("items").alias("items_b"))
-    both = pairs.join(left, "a").join(right, "b").select("comp_a", "comp_b", "items_a", "items_b")
-    kind = dict(pairs.dtypes)["comp_a"]
+    return pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "items_a", "items_b")
+
+
+def _shared(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Which of the sorted items of x are among those of y."""
+    where = np.searchsorted(y, x)
+    return y[np.minimum(where, len(y) - 1)] == x
+
+
+def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose full sets are similar enough, as (u, v)."""
+    kind = dict(sets.dtypes)["id"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
             for x, y in zip(batch.column(2), batch.column(3), strict=True):
                 x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                if len(x) > len(y):
-                    x, y = y, x
-                where = np.searchsorted(y, x)
-                common = int((y[np.minimum(where, len(y) - 1)] == x).sum())
+                common = int(_shared(x, y).sum())
                 keep.append(100 * common >= percent * (len(x) + len(y) - common))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["u", "v"]).filter(pa.array(keep))
 
-    return both.mapInArrow(run, f"u {kind}, v {kind}").where("u <> v").distinct()
+    return _both_sets(pairs, sets).mapInArrow(run, f"u {kind}, v {kind}")
+
+
+def _compared(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """For centers and nodes (a, b): ``overlap``, whether they are ``linked``, the number ``extra``
+    of the node's shingles that the center lacks, and their ``prefix``.
+
+    A pair that includes the node needs percent of its size in common, of which the overlap is
+    all that can come from the center; so with t more to find, one of any extra - t + 1 is shared.
+    """
+    kind = dict(sets.dtypes)["id"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for x, y in zip(batch.column(2), batch.column(3), strict=True):
+                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+                own = _shared(y, x)
+                common, rest = int(own.sum()), y[~own]
+                more = max(1, -(-percent * len(y) // 100) - common)
+                rows.append((common, 100 * common >= percent * (len(x) + len(y) - common), len(rest), rest[: max(0, len(rest) - more + 1)].view(np.int64)))
+            columns = list(zip(*rows, strict=True)) or [[]] * 4
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.bool_()), pa.array(columns[2], pa.int64()), pa.array(columns[3], pa.list_(pa.int64()))], names=["c", "node", "overlap", "linked", "extra", "prefix"])
+
+    return _both_sets(pairs, sets).mapInArrow(run, f"c {kind}, node {kind}, overlap long, linked boolean, extra long, prefix array<long>")
 
 
 def components(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
@@ -158,6 +195,14 @@ def components(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     raise RuntimeError("components did not settle")
 
 
+def _named(links: DataFrame, state: DataFrame) -> DataFrame:
+    """Links between the components that their ends are in."""
+    comp = state.select("node", "comp").unionByName(state.select(F.col("c").alias("node"), F.col("c").alias("comp"))).groupBy("node").agg(F.min("comp").alias("comp"))
+    left = comp.select(F.col("node").alias("u"), F.col("comp").alias("cu"))
+    right = comp.select(F.col("node").alias("v"), F.col("comp").alias("cv"))
+    return links.join(left, "u").join(right, "v").select(F.col("cu").alias("u"), F.col("cv").alias("v"))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = PERCENT) -> DataFrame:
     """Links documents whose shingle sets A, B have 100 |A and B| >= percent |A or B|; returns the
     id, ``n_shingles``, ``component_id`` (smallest id reachable over links) and ``kept`` (whether
@@ -177,40 +222,51 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     reps = scratch.save(usable.groupBy("d1", "d2").agg(F.min("id").alias("node")), "reps")
     nodes = usable.join(reps, (usable["id"] == reps["node"]) & (usable["d1"] == reps["d1"]) & (usable["d2"] == reps["d2"]), "left_semi")
     banded = nodes.select(F.explode("bands").alias("band"), F.col("id").alias("node"), "n").distinct()
-    live = scratch.save(banded.groupBy("band").agg(F.min("node").alias("x"), F.max("node").alias("y")).where("x < y").select("band"), "live")
-    state = scratch.save(banded.join(live, "band", "left_semi").withColumn("comp", F.col("node")), "state-0")
-    wanted = state.select(F.col("node").alias("id")).distinct()
-    sets = scratch.save(_full_sets(rows.join(wanted, "id", "left_semi"), words), "sets")
-    maps: list[DataFrame] = []
-    seen: DataFrame | None = None
-    for i in range(64):
+    live = scratch.save(banded.groupBy("band").agg(F.min("node").alias("x"), F.max("node").alias("y"), F.count("*").alias("m")).where("x < y").select("band", "m"), "live")
+    state = scratch.save(banded.join(live, "band"), "banded")
+    central = state.groupBy("node").agg(F.sum("m").alias("central"))
+    state = scratch.save(state.drop("m").join(central, "node").withColumn("comp", F.col("node")), "state-0")
+    sets = scratch.save(_full_sets(rows.join(state.select(F.col("node").alias("id")).distinct(), "id", "left_semi"), words), "sets")
+    found: list[DataFrame] = []
+    most = lambda o, n: F.floor((100 + percent) * F.col(o) / percent).cast("long") - F.col(n)
+    for i in range(1000):
         if state.isEmpty():
             break
-        state = state.withColumn("part", F.pmod(F.xxhash64("node", F.lit(i)), F.lit(4 ** max(0, i - 1))))
-        pick = F.min(F.struct(F.xxhash64("node", F.lit(100 + i)).alias("h"), "node", "comp", "n"))
-        centers = state.groupBy("band", "part").agg(pick.alias("c")).select("band", F.col("part").alias("p"), F.col("c.node").alias("center"), F.col("c.comp").alias("c_comp"), F.col("c.n").alias("c_n"))
-        near = (F.col("comp") != F.col("c_comp")) & (100 * F.least("n", "c_n") >= percent * F.greatest("n", "c_n"))
-        met = state.join(centers, "band").where(near)
-        first = F.col("node") < F.col("center")
-        pairs = met.select(F.least("node", "center").alias("a"), F.greatest("node", "center").alias("b"), F.when(first, F.col("comp")).otherwise(F.col("c_comp")).alias("comp_a"), F.when(first, F.col("c_comp")).otherwise(F.col("comp")).alias("comp_b")).distinct()
-        if seen is not None:
-            pairs = pairs.join(seen, ["a", "b"], "left_anti")
-        pairs = scratch.save(pairs, f"pairs-{i}")
-        seen = pairs.select("a", "b") if seen is None else seen.unionByName(pairs.select("a", "b"))
-        merged = components(_confirmed(pairs, sets, percent), scratch, f"merge-{i}")
-        maps.append(merged)
-        rest = state.join(centers.select("band", F.col("center").alias("node")), ["band", "node"], "left_anti").drop("part")
-        renamed = rest.join(merged.withColumnRenamed("v", "comp"), "comp", "left").select("band", "node", "n", F.coalesce("root", "comp").alias("comp"))
-        open_ = renamed.groupBy("band").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x < y").select("band")
-        state = scratch.save(renamed.join(open_, "band", "left_semi"), f"state-{i + 1}")
+        best = F.max(F.struct("central", F.xxhash64("node").alias("h"), "node", "n")).alias("best")
+        centers = state.groupBy("band").agg(best).select("band", F.col("best.node").alias("c"), F.col("best.n").alias("c_n"))
+        state = scratch.save(state.join(centers, "band"), f"centered-{i}").where("node <> c")
+        met = _compared(state.select(F.col("c").alias("a"), F.col("node").alias("b")).distinct(), sets, percent)
+        met = scratch.save(met, f"met-{i}")
+        sizes = state.select("c", "node", "n").distinct()
+        parts = met.join(sizes, ["c", "node"]).select("c", "node", "n", "overlap", "linked", "extra", F.explode("prefix").alias("item"))
+        other = parts.select("c", "item", *(F.col(x).alias(f"o_{x}") for x in ("node", "n", "overlap", "linked", "extra")))
+        need = percent * (F.col("n") + F.col("o_n"))
+        can = (100 + percent) * (F.least("overlap", "o_overlap") + F.least("extra", "o_extra")) >= need
+        sharing = parts.join(other, ["c", "item"]).where((F.col("node") < F.col("o_node")) & ~(F.col("linked") & F.col("o_linked")) & can)
+        pairs = scratch.save(sharing.select(F.col("node").alias("a"), F.col("o_node").alias("b")).distinct(), f"pairs-{i}")
+        links = met.where("linked").select(F.col("c").alias("u"), F.col("node").alias("v")).unionByName(_confirmed(pairs, sets, percent))
+        links = scratch.save(links, f"links-{i}")
+        found.append(links)
+        # nodes that could be similar to one another by what they share with the center alone
+        rest = state.join(met.select("c", "node", "overlap", "linked"), ["c", "node"]).withColumn("room", most("overlap", "n"))
+        open_ = ~F.col("linked")
+        bounds = rest.groupBy("band").agg(F.min("n").alias("low"), F.min(F.when(open_, F.col("n"))).alias("open_low"), F.max(F.when(open_, F.col("room"))).alias("open_room"))
+        rest = rest.join(bounds, "band").where(F.when(open_, F.col("room") >= F.col("low")).otherwise((F.col("n") <= F.col("open_room")) & (F.col("room") >= F.col("open_low"))))
+        rest = scratch.save(rest.select("band", "node", "n", "central", "comp"), f"rest-{i}")
+        if rest.isEmpty():
+            break
+        merged = components(_named(links, state), scratch, f"merge-{i}")
+        renamed = rest.join(merged.withColumnRenamed("v", "comp"), "comp", "left").select("band", "node", "n", "central", F.coalesce("root", "comp").alias("comp"))
+        still = renamed.groupBy("band").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x < y").select("band")
+        state = scratch.save(renamed.join(still, "band", "left_semi"), f"state-{i + 1}")
     else:
         raise RuntimeError("bands did not settle")
     out = sketched.select("id", "n", "d1", "d2").join(reps, ["d1", "d2"], "left")
     # a document with several texts ties the nodes that stand for them
     several = out.where("n > 0 AND id IS NOT NULL").groupBy("id").agg(F.min("node").alias("x"), F.max("node").alias("y")).where("x < y").select("id")
     links = out.join(several, "id", "left_semi").select(F.col("id").alias("u"), F.col("node").alias("v"))
-    for m in maps:
-        links = links.unionByName(m.select(F.col("v").alias("u"), F.col("root").alias("v")))
+    for more in found:
+        links = links.unionByName(more)
     roots = components(links, scratch, "all")
     out = out.join(roots.withColumnRenamed("v", "node"), "node", "left")
     component = F.when(F.col("n") > 0, F.coalesce("root", "node")).otherwise(F.col("id"))
