@@ -402,10 +402,10 @@ def cr_6_skyline(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {_CAND}, ok AS (SELECT * FROM cand WHERE clear >= 0.1), best AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY score DESC, i) AS r FROM ok),
     worst AS (SELECT o.g, b.i AS chosen, o.i AS rejected, b.score - o.score AS gap, row_number() OVER (PARTITION BY o.g ORDER BY o.score, o.i DESC) AS r FROM ok o JOIN best b ON o.g = b.g AND b.r = 1 AND b.i <> o.i
         WHERE b.score - o.score >= 0.3 AND b.score > o.score AND b.speaker >= o.speaker - 0.5 AND b.clear >= o.clear AND b.quality >= o.quality)
-    SELECT g, chosen, rejected, round(gap, 8) AS reward_gap FROM worst WHERE r = 1""")
+    SELECT g, chosen, rejected, round(gap, 9) AS reward_gap FROM worst WHERE r = 1""")
 def pp_1_preference_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = preferences.pairs_from_rows(views.candidates(spark, sf_dir), "g", "i", REWARD, 0.3, decimals=9)
-    return out.withColumn("reward_gap", F.round("reward_gap", 8))
+    return out.withColumn("reward_gap", F.round("reward_gap", 9))
 
 
 # -- groups -------------------------------------------------------------------------------------
