@@ -14,8 +14,8 @@ who is similar to it is in its component. Two nodes u, v that are not both so ca
 similar to each other in one of two ways, by their overlaps with the center and their sizes:
 
 - What they share with the center does not suffice, so they share a shingle that the center
-  lacks. Those residual shingles are few and rare, and prefixes of them in a fixed order make an
-  inverted index for the pairs to confirm (the prefix principle of similarity joins).
+  lacks. Prefixes of those residual shingles, rarest first, make an inverted index for the pairs
+  to confirm (the prefix principle of similarity joins).
 - Or it may suffice, which takes a partner smaller than the center. Such nodes form a smaller
   band without the center, for the next round, unless they are one component already.
 
@@ -33,6 +33,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tessitura.llm.bpe import groups
 from tessitura.llm.common import Scratch, at, fresh, require
@@ -148,12 +149,8 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def _compared(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """For centers and nodes (a, b): ``overlap``, whether they are ``linked``, the number ``extra``
-    of the node's shingles that the center lacks, and their ``prefix``.
-
-    A pair that includes the node needs percent of its size in common, of which the overlap is
-    all that can come from the center; so with t more to find, one of any extra - t + 1 is shared.
-    """
+    """For centers and nodes (a, b): ``overlap``, whether they are ``linked``, and ``extra``, the
+    node's shingles that the center lacks."""
     kind = dict(sets.dtypes)["id"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -163,12 +160,11 @@ def _compared(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
                 own = _shared(y, x)
                 common, rest = int(own.sum()), y[~own]
-                more = max(1, -(-percent * len(y) // 100) - common)
-                rows.append((common, 100 * common >= percent * (len(x) + len(y) - common), len(rest), rest[: max(0, len(rest) - more + 1)].view(np.int64)))
-            columns = list(zip(*rows, strict=True)) or [[]] * 4
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.bool_()), pa.array(columns[2], pa.int64()), pa.array(columns[3], pa.list_(pa.int64()))], names=["c", "node", "overlap", "linked", "extra", "prefix"])
+                rows.append((common, 100 * common >= percent * (len(x) + len(y) - common), rest.view(np.int64)))
+            columns = list(zip(*rows, strict=True)) or [[]] * 3
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.bool_()), pa.array(columns[2], pa.list_(pa.int64()))], names=["c", "node", "overlap", "linked", "extra"])
 
-    return _both_sets(pairs, sets).mapInArrow(run, f"c {kind}, node {kind}, overlap long, linked boolean, extra long, prefix array<long>")
+    return _both_sets(pairs, sets).mapInArrow(run, f"c {kind}, node {kind}, overlap long, linked boolean, extra array<long>")
 
 
 def components(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
@@ -195,6 +191,25 @@ def components(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     raise RuntimeError("components did not settle")
 
 
+def _prefixes(met: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
+    """An entry for each (c, node, item) that the inverted index of residual shingles needs.
+
+    A node's partners have at least percent of its size, and the least size around the center.
+    So a similar pair shares at least t items beyond the center, t from the node's overlap alone,
+    and one of any ``extra - t + 1``: the rarest ones around the center. Items of one node are no help.
+    """
+    items = met.join(sizes, ["c", "node"]).select("c", "node", "n", "overlap", "linked", F.size("extra").cast("long").alias("extra"), F.explode("extra").alias("item"))
+    often = items.groupBy("c", "item").agg(F.count("*").alias("often")).where("often > 1")
+    least = sizes.groupBy("c").agg(F.min("n").alias("least"))
+    partner = F.greatest("least", F.ceil(F.col("n") * percent / 100))
+    t = F.greatest(F.lit(1), F.ceil((F.col("n") + partner) * percent / (100 + percent)) - F.col("overlap"))
+    ranked = items.join(often, ["c", "item"]).join(least, "c").withColumn("t", t)
+    # single items come first in the order; they are no longer here but count
+    shared = Window.partitionBy("c", "node")
+    ranked = ranked.withColumn("rank", F.row_number().over(shared.orderBy("often", "item"))).withColumn("many", F.count("*").over(shared))
+    return ranked.where(F.col("extra") - F.col("many") + F.col("rank") <= F.col("extra") - F.col("t") + 1).select("c", "node", "n", "overlap", "linked", "extra", "item")
+
+
 def _named(links: DataFrame, state: DataFrame) -> DataFrame:
     """Links between the components that their ends are in."""
     comp = state.select("node", "comp").unionByName(state.select(F.col("c").alias("node"), F.col("c").alias("comp"))).groupBy("node").agg(F.min("comp").alias("comp"))
@@ -221,9 +236,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # one node for each distinct set, named by the smallest id that has it
     reps = scratch.save(usable.groupBy("d1", "d2").agg(F.min("id").alias("node")), "reps")
     nodes = usable.join(reps, (usable["id"] == reps["node"]) & (usable["d1"] == reps["d1"]) & (usable["d2"] == reps["d2"]), "left_semi")
-    banded = nodes.select(F.explode("bands").alias("band"), F.col("id").alias("node"), "n").distinct()
+    banded = nodes.select(F.explode("bands").alias("band"), F.col("id").alias("node"), "n")
+    # a repeated row repeats its node here, which the joins below undo once bands are few
     live = scratch.save(banded.groupBy("band").agg(F.min("node").alias("x"), F.max("node").alias("y"), F.count("*").alias("m")).where("x < y").select("band", "m"), "live")
-    state = scratch.save(banded.join(live, "band"), "banded")
+    state = scratch.save(banded.join(live, "band").distinct(), "banded")
     central = state.groupBy("node").agg(F.sum("m").alias("central"))
     state = scratch.save(state.drop("m").join(central, "node").withColumn("comp", F.col("node")), "state-0")
     sets = scratch.save(_full_sets(rows.join(state.select(F.col("node").alias("id")).distinct(), "id", "left_semi"), words), "sets")
@@ -237,8 +253,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         state = scratch.save(state.join(centers, "band"), f"centered-{i}").where("node <> c")
         met = _compared(state.select(F.col("c").alias("a"), F.col("node").alias("b")).distinct(), sets, percent)
         met = scratch.save(met, f"met-{i}")
-        sizes = state.select("c", "node", "n").distinct()
-        parts = met.join(sizes, ["c", "node"]).select("c", "node", "n", "overlap", "linked", "extra", F.explode("prefix").alias("item"))
+        parts = _prefixes(met, state.select("c", "node", "n").distinct(), percent)
+        parts = scratch.save(parts, f"parts-{i}")
         other = parts.select("c", "item", *(F.col(x).alias(f"o_{x}") for x in ("node", "n", "overlap", "linked", "extra")))
         need = percent * (F.col("n") + F.col("o_n"))
         can = (100 + percent) * (F.least("overlap", "o_overlap") + F.least("extra", "o_extra")) >= need
