@@ -17,7 +17,8 @@ similar to each other in one of two ways, by their overlaps with the center and
   lacks. Prefixes of those residual shingles, rarest first, make an inverted index for the pairs
   to confirm (the prefix principle of similarity joins).
 - Or it may suffice, which takes a partner smaller than the center. Such nodes form a smaller
-  band without the center, for the next round, unless they are one component already.
+  band without the center, for the next round, unless they are one component already. When
+  ``SMALL_BAND`` of them or fewer are left, those of them whose sizes allow it are confirmed at once.
 
 So groups of near copies, and documents around one common passage, cost about a comparison a
 node, and yet every pair of a band that could be similar is confirmed or refuted.
@@ -41,6 +42,7 @@ from tessitura.llm.common import Scratch, at, fresh, require
 ROWS, BANDS = 5, 40
 BINS = ROWS * BANDS
 PERCENT = 80
+SMALL_BAND = 64
 
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _U = np.uint64
@@ -268,9 +270,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         open_ = ~F.col("linked")
         bounds = rest.groupBy("band").agg(F.min("n").alias("low"), F.min(F.when(open_, F.col("n"))).alias("open_low"), F.max(F.when(open_, F.col("room"))).alias("open_room"))
         rest = rest.join(bounds, "band").where(F.when(open_, F.col("room") >= F.col("low")).otherwise((F.col("n") <= F.col("open_room")) & (F.col("room") >= F.col("open_low"))))
-        rest = scratch.save(rest.select("band", "node", "n", "central", "comp"), f"rest-{i}")
+        rest = rest.drop("low", "open_low", "open_room").join(rest.groupBy("band").agg(F.count("*").alias("left")), "band")
+        rest = scratch.save(rest.select("band", "node", "n", "central", "comp", "overlap", "linked", "left"), f"rest-{i}")
         if rest.isEmpty():
             break
+        # bands of a few nodes are finished at once: each node meets fewer than SMALL_BAND others
+        few = rest.where(F.col("left") <= SMALL_BAND)
+        peer = few.select("band", *(F.col(x).alias(f"o_{x}") for x in ("node", "n", "overlap", "linked")))
+        enough = (100 + percent) * F.least("overlap", "o_overlap") >= percent * (F.col("n") + F.col("o_n"))
+        direct = few.join(peer, "band").where((F.col("node") < F.col("o_node")) & ~(F.col("linked") & F.col("o_linked")) & enough)
+        direct = scratch.save(direct.select(F.col("node").alias("a"), F.col("o_node").alias("b")).distinct(), f"direct-{i}")
+        found.append(scratch.save(_confirmed(direct, sets, percent), f"direct-links-{i}"))
+        rest = rest.where(F.col("left") > SMALL_BAND)
         merged = components(_named(links, state), scratch, f"merge-{i}")
         renamed = rest.join(merged.withColumnRenamed("v", "comp"), "comp", "left").select("band", "node", "n", "central", F.coalesce("root", "comp").alias("comp"))
         still = renamed.groupBy("band").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x < y").select("band")
