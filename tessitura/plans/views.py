@@ -60,8 +60,14 @@ def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def asr_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a user said and what the assistant answered, whole."""
     df = table(spark, sf_dir, "conversations")
-    said = df.where("role = 'user'").select(F.col("conv_id").alias("id"), "turn", F.col("text").alias("a"))
-    heard = df.where("role = 'assistant'").select(F.col("conv_id").alias("id"), (F.col("turn") - 1).alias("turn"), F.col("text").alias("b"))
-    first = lambda c: F.array_join(F.slice(F.split(F.btrim(c), r"\s+"), 1, 60), " ")
-    return said.join(heard, ["id", "turn"]).select("id", "turn", first(F.col("a")).alias("ref"), first(F.col("b")).alias("hyp"))
+    said = df.where("role = 'user'").select(F.col("conv_id").alias("id"), "turn", F.col("text").alias("ref"))
+    heard = df.where("role = 'assistant'").select(F.col("conv_id").alias("id"), (F.col("turn") - 1).alias("turn"), F.col("text").alias("hyp"))
+    return said.join(heard, ["id", "turn"]).select("id", "turn", "ref", "hyp")
+
+
+def asr_prefixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first 60 words of both texts of each pair, as in ``PAIRS``."""
+    first = lambda c: F.array_join(F.slice(F.split(F.btrim(c), r"\s+"), 1, 60), " ").alias(c)
+    return asr_pairs(spark, sf_dir).select("id", "turn", first("ref"), first("hyp"))

@@ -320,7 +320,7 @@ _ASCII = "regexp_replace({0}, '[^!-~]', '', 'g')"
 @query(f"WITH p AS ({views.PAIRS}), a AS (SELECT id, turn, {_ASCII.format('ref')} AS r, {_ASCII.format('hyp')} AS h FROM p) SELECT id, turn, round(levenshtein(r, h) / greatest(length(r), 1), 9) AS cer FROM a")
 def t_8_character_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     clean = lambda c: F.regexp_replace(c, "[^!-~]", "")
-    return views.asr_pairs(spark, sf_dir).select("id", "turn", r9(text.character_error_rate(clean("ref"), clean("hyp"))).alias("cer"))
+    return views.asr_prefixes(spark, sf_dir).select("id", "turn", r9(text.character_error_rate(clean("ref"), clean("hyp"))).alias("cer"))
 
 
 # -- rewards ------------------------------------------------------------------------------------

@@ -54,3 +54,13 @@ def test_folded_distance(spark):
 
     df = spark.createDataFrame([(["k", "i", "t"], ["s", "i", "t", "t"]), ([], ["a"]), (["a", "b"], []), ([], [])], "a array<string>, b array<string>")
     assert [r[0] for r in df.select(_folded(F.col("a"), F.col("b"))).collect()] == [2, 1, 2, 0]
+
+
+def test_error_rates_of_whole_texts(spark, tmp_path):
+    same_start = " ".join(f"w{i}" for i in range(60))
+    turns = [(1, 0, "user", same_start + " one two three four"), (1, 1, "assistant", same_start + " one 2 three"), (2, 0, "user", "a b"), (2, 1, "assistant", "a b")]
+    spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    got = sorted(tuple(r) for r in QUERIES["t_6_7_word_errors"](spark, str(tmp_path)).collect())
+    assert got == [(1, 0, 2, 64, round(2 / 64, 9)), (2, 0, 0, 2, 0.0)]
+    total = QUERIES["agg_9_error_rates"](spark, str(tmp_path)).first()
+    assert (total.macro, total.corpus, total.n) == (1 / 64, 2 / 66, 2)
