@@ -3,9 +3,9 @@
 A line that stands on many sites is boilerplate. A HyperLogLog sketch of the sites of each
 line's hash is merged by aggregation, map side first; lines whose estimate is clear of the
 threshold are decided by it, lines near it by an exact count of distinct sites. Boilerplate
-lines are then taken out of all documents. Where they are more than ``max_share`` of
-a document's characters, the document is a copy, not a page with a frame, and is left whole
-for near-dedup to deal with.
+lines are then taken out. By the rule of the registered SQL, a document whose boilerplate is more
+than ``max_share`` of its characters is left whole. With ``whole``, every boilerplate line goes
+wherever it stands, and equal texts count as one site, so that copies do not vote their own lines out.
 
 Everything is built-in column functions. Tables of lines are keyed by two 64-bit hashes of the
 trimmed line; texts are shuffled once, to meet the numbers of the lines they lose.
@@ -42,21 +42,28 @@ def _exploded(rows: DataFrame, *columns: str) -> DataFrame:
     return lines.where("line <> ''").select(*columns, "pos", F.length("line").alias("chars"), *(c.alias(n) for n, c in _keys(F.col("line")).items()))
 
 
-def boilerplate(docs: DataFrame, scratch: Scratch, site_col: str = "source", text_col: str = "text", min_sites: int = MIN_SITES) -> DataFrame:
-    """The keys of lines that stand on ``min_sites`` sites at least. A null site is a site of its own."""
+def boilerplate(docs: DataFrame, scratch: Scratch, site_col: str = "source", text_col: str = "text", min_sites: int = MIN_SITES, copies_once: bool = False) -> DataFrame:
+    """The keys of lines that stand on ``min_sites`` sites at least. A null site is a site of its own.
+
+    With ``copies_once``, the copies of a text count as one, on the least of their sites.
+    """
     site = at(docs, site_col).cast("string")
-    rows = docs.select(F.coalesce(F.concat(F.lit("="), site), F.lit("")).alias("site"), at(docs, text_col).alias("text"))
-    lines = _exploded(rows, "site").select(*KEYS, "site")
-    spread = lines.groupBy(*KEYS).agg(F.hll_sketch_estimate(F.hll_sketch_agg("site", LG_REGISTERS)).alias("sites")).where(F.col("sites") >= min_sites * (1 - MARGIN))
+    text = at(docs, text_col)
+    copy = {"t1": F.xxhash64(text), "t2": F.xxhash64(F.lit("text"), text)} if copies_once else {}
+    rows = docs.select(F.coalesce(F.concat(F.lit("="), site), F.lit("")).alias("site"), text.alias("text"), *(c.alias(n) for n, c in copy.items()))
+    lines = _exploded(rows, "site", *copy).select(*KEYS, "site", *copy)
+    # by line and text, so that neither a common line nor a group of copies meets in one task
+    once = (lambda x: x.groupBy(*KEYS, *copy).agg(F.min("site").alias("site")).select(*KEYS, "site")) if copies_once else lambda x: x
+    spread = once(lines).groupBy(*KEYS).agg(F.hll_sketch_estimate(F.hll_sketch_agg("site", LG_REGISTERS)).alias("sites")).where(F.col("sites") >= min_sites * (1 - MARGIN))
     spread = scratch.save(spread, "spread")
     near = spread.where(F.col("sites") < min_sites * (1 + MARGIN)).select(*KEYS)
-    exact = lines.join(near, KEYS, "left_semi").distinct().groupBy(*KEYS).count().where(F.col("count") >= min_sites).select(*KEYS)
+    exact = once(lines.join(near, KEYS, "left_semi")).distinct().groupBy(*KEYS).count().where(F.col("count") >= min_sites).select(*KEYS)
     return scratch.save(spread.where(F.col("sites") >= min_sites * (1 + MARGIN)).select(*KEYS).unionAll(exact), "boilerplate")
 
 
-def strip_boilerplate(docs: DataFrame, id_col: str = "doc_id", site_col: str = "source", text_col: str = "text", min_sites: int = MIN_SITES, max_share: float = MAX_SHARE) -> DataFrame:
+def strip_boilerplate(docs: DataFrame, id_col: str = "doc_id", site_col: str = "source", text_col: str = "text", min_sites: int = MIN_SITES, max_share: float = MAX_SHARE, whole: bool = False) -> DataFrame:
     """Returns ``docs`` with boilerplate lines taken out of the text, and ``n_lines`` (not blank)
-    and ``n_removed``; a row for each row.
+    and ``n_removed``; a row for each row. ``whole`` exempts no document and does without ``max_share``.
 
     Blank lines are no lines and stay. A null text stays null, an empty one empty, with no
     lines. Repeated rows and null ids are treated alike, each row by its own text. Where ``docs``
@@ -65,7 +72,7 @@ def strip_boilerplate(docs: DataFrame, id_col: str = "doc_id", site_col: str = "
     """
     require(docs, id_col, site_col, text_col)
     scratch = Scratch(docs.sparkSession, "lines")
-    marks = boilerplate(docs, scratch, site_col, text_col, min_sites)
+    marks = boilerplate(docs, scratch, site_col, text_col, min_sites, copies_once=whole)
     names = {n: fresh(docs, n) for n in ("n_lines", "n_removed", "t1", "t2", "gone", "all")}
     text = at(docs, text_col)
     hashes = {names["t1"]: F.xxhash64(text), names["t2"]: F.xxhash64(F.lit("text"), text)}
@@ -80,7 +87,7 @@ def strip_boilerplate(docs: DataFrame, id_col: str = "doc_id", site_col: str = "
     lost = F.aggregate(removed, F.lit(0), lambda a, x: a + x["chars"])
     bounds = F.concat(F.array(F.lit(-1)), removed["pos"], F.array(F.size(lines)))
     kept = F.flatten(F.transform(F.sequence(F.lit(0), F.size(removed)), lambda i: F.slice(lines, F.element_at(bounds, i + 1) + 2, F.element_at(bounds, i + 2) - F.element_at(bounds, i + 1) - 1)))
-    strips = removed.isNotNull() & (lost <= max_share * size)
+    strips = removed.isNotNull() if whole else removed.isNotNull() & (lost <= max_share * size)
     n_lines = F.size(F.filter(lines, lambda x: F.btrim(x, F.lit(BLANKS)) != ""))
     out = out.withColumns({names["n_lines"]: F.when(text.isNull(), 0).otherwise(n_lines).cast("long"), names["n_removed"]: F.when(strips, F.size(removed)).otherwise(0).cast("long"), text_col: F.when(strips, F.array_join(kept, "\n")).otherwise(text)})
     return out.select(*(out["`" + c.replace("`", "``") + "`"] for c in [*docs.columns, names["n_lines"], names["n_removed"]]))

@@ -58,11 +58,15 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(docs, 8, grown=9).select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
 
 
-def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = lines.strip_boilerplate(_table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
+def op9_line_dedup(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+    docs = lines.strip_boilerplate(_table(spark, sf_dir, "documents").select("doc_id", "source", "text"), whole=whole)
     return docs.select("doc_id", "n_lines", "n_removed", F.length("text").cast("long").alias("kept_chars"), F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"))
 
 
+def op9_line_dedup_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op9_line_dedup(spark, sf_dir, whole=True)
+
+
 def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.edit_probe(_table(spark, sf_dir, "documents"))
 
@@ -77,6 +81,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_token_files": op7_token_files,
     "op8_sharding": op8_sharding,
     "op9_line_dedup": op9_line_dedup,
+    "op9_line_dedup_whole": op9_line_dedup_whole,
     "op10_fingerprints": op10_fingerprints,
     "pipeline": corpus_pipeline.run,
 }

@@ -43,6 +43,14 @@ def test_lines_against_plain(spark):
     assert lines.strip_boilerplate(df).columns == [*df.columns, "_n_lines", "n_removed"]
 
 
+def test_whole_strips_everywhere_but_copies(spark):
+    notice = "a long common notice that stands on every site"
+    rows = [(k, f"s{k}", f"{notice}\nown {k}", 1) for k in range(10)]
+    rows += [(100 + k, f"s{k}", "copied page\nwith all its text", 1) for k in range(10)]
+    got = {r.doc_id: (r.text, r.n_removed) for r in lines.strip_boilerplate(spark.createDataFrame(rows, SCHEMA), whole=True).collect()}
+    assert got == {k: (f"own {k}", 1) for k in range(10)} | {100 + k: ("copied page\nwith all its text", 0) for k in range(10)}
+
+
 ROWS = [(5, "First paragraph here. And more of it!\n\nSecond one. " * 9), (2, "short"), (9, None), (None, "null id text"), (7, ""), (2, "short"), (11, "é👍" * 300), (3, "word " * 20_000), (-1, "x\ny")]
 
 
