@@ -1,7 +1,7 @@
 """Document fingerprints: a Merkle tree over pieces, paragraphs and sections.
 
 A leaf is a piece of a sentence of up to ``LEAF_CHARS`` code points (``SHORT_LEAF_CHARS`` in
-texts under ``SHORT_CHARS``); leaves hash to their
+texts under ``SHORT_CHARS``, and in both texts of a comparison where one is that short); leaves hash to their
 paragraph, paragraphs to their section, sections to the root, which is the fingerprint. Equal
 roots mean equal texts. A section ends after a paragraph whose digest says so (one in eight), so
 an edit moves no boundary but its own. Differing branches locate edits: what two trees share is
@@ -48,8 +48,9 @@ class Paragraph:
 class Tree:
     """The Merkle tree of a text. Paragraphs that the ``known`` trees have are not hashed again."""
 
-    def __init__(self, text: str, *known: Tree):
-        self.leaf_chars = LEAF_CHARS if len(text) >= SHORT_CHARS else SHORT_LEAF_CHARS
+    def __init__(self, text: str, *known: Tree, leaf_chars: int | None = None):
+        self.text, self.finer = text, None
+        self.leaf_chars = leaf_chars or (LEAF_CHARS if len(text) >= SHORT_CHARS else SHORT_LEAF_CHARS)
         tables = [t.texts for t in known if t.leaf_chars == self.leaf_chars]
         self.paragraphs: list[Paragraph] = []
         self.texts: dict[str, Paragraph] = {}
@@ -69,6 +70,13 @@ class Tree:
     def fingerprint(self) -> str:
         return self.root.hex()
 
+    def like(self, other: Tree) -> Tree:
+        """The text's tree with leaves as small as ``other``'s: this one, unless its own are larger."""
+        if self.leaf_chars <= other.leaf_chars:
+            return self
+        self.finer = self.finer or Tree(self.text, other, leaf_chars=other.leaf_chars)
+        return self.finer
+
     def leaves_beside(self, other: Tree) -> tuple[Counter, int]:
         """Code points by digest of the leaves in branches that ``other`` lacks, and those shared."""
         shared_sections = Counter(s[0] for s in other.sections)
@@ -91,6 +99,7 @@ def likeness(a: Tree, b: Tree) -> float:
     """The share of code points in leaves that both trees have: 1 for equal texts, 0 if none."""
     if a.root == b.root:
         return 1.0
+    a, b = a.like(b), b.like(a)
     mine, same = a.leaves_beside(b)
     others, _ = b.leaves_beside(a)
     total = sum(mine.values()) + sum(others.values()) + 2 * same
@@ -102,6 +111,7 @@ def edits(a: Tree, b: Tree) -> list[tuple[int, int]]:
     """Spans of code points of ``a`` whose leaves ``b`` lacks, in order."""
     if a.root == b.root:
         return []
+    a, b = a.like(b), b.like(a)
     sections = Counter(s[0] for s in b.sections)
     paragraphs = Counter(p.digest for p in b.paragraphs)
     leaves = Counter(d for p in b.paragraphs for d, _ in p.leaves)

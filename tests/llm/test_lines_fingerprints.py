@@ -88,3 +88,13 @@ def test_tree_locates_edits():
     assert fingerprints.likeness(a, a) == 1 == fingerprints.likeness(fingerprints.Tree(""), fingerprints.Tree(""))
     assert fingerprints.likeness(a, fingerprints.Tree("")) == 0 and fingerprints.edits(a, fingerprints.Tree(text)) == []
     assert fingerprints.Tree("a\nb").fingerprint != fingerprints.Tree("ab").fingerprint != fingerprints.Tree("a b").fingerprint
+
+
+def test_likeness_across_leaf_sizes(spark):
+    body = " ".join(map(str, range(1000, 1100)))
+    a, b = fingerprints.Tree(body[:260]), fingerprints.Tree(body[:250])
+    assert a.leaf_chars != b.leaf_chars
+    assert fingerprints.likeness(a, b) == fingerprints.likeness(b, a) > 0.95
+    assert fingerprints.edits(a, b)[0][0] >= 240 and fingerprints.edits(b, a) == [(248, 250)]
+    df = spark.createDataFrame([(1, body[:300]), (2, "")], "doc_id long, text string")
+    assert 0.8 < fingerprints.edit_probe(df).where("doc_id = 1").first().near_edited < 0.9
