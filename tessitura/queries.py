@@ -323,6 +323,11 @@ def t_8_character_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return views.asr_prefixes(spark, sf_dir).select("id", "turn", r9(text.character_error_rate(clean("ref"), clean("hyp"))).alias("cer"))
 
 
+@query()
+def t_8_whole_character_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return views.asr_pairs(spark, sf_dir).select("id", "turn", r9(text.character_error_rate(F.col("ref"), F.col("hyp"))).alias("cer"))
+
+
 # -- rewards ------------------------------------------------------------------------------------
 _HARM = "CASE WHEN {0} = 0 OR {1} = 0 THEN 0 ELSE 1 / (0.6 / {0} + 0.4 / {1}) END"
 

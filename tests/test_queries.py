@@ -64,3 +64,14 @@ def test_error_rates_of_whole_texts(spark, tmp_path):
     assert got == [(1, 0, 2, 64, round(2 / 64, 9)), (2, 0, 0, 2, 0.0)]
     total = QUERIES["agg_9_error_rates"](spark, str(tmp_path)).first()
     assert (total.macro, total.corpus, total.n) == (1 / 64, 2 / 66, 2)
+
+
+def test_character_errors_of_unaltered_texts(spark, tmp_path):
+    same_start = "é" * 3 + " ab" * 70
+    pairs = {(1, 0): (same_start + " naïve 日本語", same_start + " naive 日本"), (2, 0): ("Straße", "Strasse"), (3, 0): ("ok", "ok")}
+    turns = [(i, t + k, role, x) for (i, t), p in pairs.items() for k, (role, x) in enumerate(zip(("user", "assistant"), p, strict=True))]
+    spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    bare = lambda x: "".join(x.split())
+    want = {k: round(_levenshtein(bare(r), bare(h)) / len(bare(r)), 9) for k, (r, h) in pairs.items()}
+    got = {(r.id, r.turn): r.cer for r in QUERIES["t_8_whole_character_errors"](spark, str(tmp_path)).collect()}
+    assert got == want and want[1, 0] > 0 and want[2, 0] > 0
