@@ -1,9 +1,10 @@
 """BPE encoding and decoding by tree concatenation.
 
-Halves of long unsplit text are encoded in parallel and joined by re-encoding growing windows
-around each join until both sides agree (``tokenization.TreeEncoder``). Text that the
-pre-tokenizer splits anyway is cut at those places, and its short chunks are encoded once per
-worker. Both give exactly the library's ids for the whole text.
+Every text longer than a leaf is halved, and its halves are, down to leaves; all leaves of a piece
+of the input are encoded together, and joined by encoding growing windows around each join
+until both sides agree (``tokenization.TreeEncoder``). Leaves are encoded chunk by chunk from
+a table of the chunks met so far. Vocabularies that are not byte-level have no tree: their texts
+are encoded from the table alone. The result is exactly the library's for the whole text.
 
 The work is one narrow pass: no shuffle, one row in and one row out, rows of any length; a lost
 executor costs only the partitions it held.
@@ -20,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from tessitura.llm.common import at, require
-from tessitura.llm.tokenization import Decoder, encoder_for
+from tessitura.llm.tokenization import Decoder, TreeEncoder, encoder_for, pieces
 
 #: What ``bpe`` can return beside the id and ``n_tokens``.
 OUTPUTS = {
@@ -29,20 +30,6 @@ OUTPUTS = {
     "ids_sha256": T.StringType(),
     "decoded_sha256": T.StringType(),
 }
-#: Characters that one call encodes; bounds a worker's memory however long a batch is.
-GROUP_CHARS = 8_000_000
-
-
-def groups(texts: list[str | None], most: int = GROUP_CHARS) -> Iterator[slice]:
-    """Runs of texts of up to ``most`` characters, or of one longer text."""
-    start = size = 0
-    for i, t in enumerate(texts):
-        if i > start and size + len(t or "") > most:
-            yield slice(start, i)
-            start, size = i, 0
-        size += len(t or "")
-    if start < len(texts):
-        yield slice(start, len(texts))
 
 
 def bpe(docs: DataFrame, tokenizer_path: str, outputs: tuple[str, ...] = ("token_ids",), id_col: str = "doc_id", text_col: str = "text", leaf_chars: int = 2048) -> DataFrame:
@@ -63,21 +50,22 @@ def bpe(docs: DataFrame, tokenizer_path: str, outputs: tuple[str, ...] = ("token
     decoding = bool({"decoded", "decoded_sha256"} & set(outputs))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = encoder_for(data.value, leaf_chars=leaf_chars)
+        encoder = encoder_for(data.value)
+        encode = (TreeEncoder(encoder, leaf_chars) if encoder.spaced and encoder.plain else encoder).encode
         decoder = Decoder(data.value) if decoding else None
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            for part in groups(texts):
-                packed = encoder.encode_packed(texts[part])
-                columns = [batch.column(0)[part], pa.array([len(p) // 4 for p in packed], pa.int64())]
+            for part in pieces(batch.column(1)):
+                ids, sizes = encode(batch.column(1)[part].to_pylist())
+                ends = np.concatenate([[0], np.cumsum(sizes)])
+                columns = [batch.column(0)[part], pa.array(sizes)]
+                runs = list(zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True))
                 if decoder is not None:
-                    decoded = [decoder.decode_bytes(np.frombuffer(p, "<u4").tolist()) for p in packed]
+                    decoded = [decoder.decode_bytes(ids[a:b].tolist()) for a, b in runs]
                 for name in outputs:
                     if name == "token_ids":
-                        ends = np.cumsum([0] + [len(p) // 4 for p in packed]).astype(np.int32)
-                        columns.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(packed), "<i4"))))
+                        columns.append(pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(ids.astype(np.int32))))
                     elif name == "ids_sha256":
-                        columns.append(pa.array([hashlib.sha256(p).hexdigest() for p in packed]))
+                        columns.append(pa.array([hashlib.sha256(ids[a:b].astype("<u4").tobytes()).hexdigest() for a, b in runs]))
                     elif name == "decoded":
                         columns.append(pa.array([d.decode(errors="replace") for d in decoded]))
                     else:

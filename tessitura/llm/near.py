@@ -36,8 +36,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tessitura.llm.bpe import groups
 from tessitura.llm.common import Scratch, at, fresh, require
+from tessitura.llm.tokenization import pieces
 
 ROWS, BANDS = 5, 40
 BINS = ROWS * BANDS
@@ -100,9 +100,8 @@ def band_keys(sketch: np.ndarray) -> np.ndarray:
 def _sketched(rows: DataFrame, words: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            for part in groups(texts, 2_000_000):
-                sets = [shingles(t, words) for t in texts[part]]
+            for part in pieces(batch.column(1)):
+                sets = [shingles(t, words) for t in batch.column(1)[part].to_pylist()]
                 keys = band_keys(sketches(sets))
                 digests = np.array([np.frombuffer(hashlib.blake2b(s.tobytes(), digest_size=16).digest(), np.int64) for s in sets]).reshape(len(sets), 2)
                 bands = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * BANDS), pa.array(keys.reshape(-1)))
@@ -114,9 +113,8 @@ def _sketched(rows: DataFrame, words: int) -> DataFrame:
 def _full_sets(rows: DataFrame, words: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            for part in groups(texts, 2_000_000):
-                sets = [shingles(t, words).tobytes() for t in texts[part]]
+            for part in pieces(batch.column(1)):
+                sets = [shingles(t, words).tobytes() for t in batch.column(1)[part].to_pylist()]
                 yield pa.RecordBatch.from_arrays([batch.column(0)[part], pa.array(sets, pa.binary())], names=["id", "items"])
 
     return rows.mapInArrow(run, f"id {dict(rows.dtypes)['id']}, items binary")

@@ -29,9 +29,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from tessitura.llm.bpe import groups
 from tessitura.llm.common import at, require
-from tessitura.llm.tokenization import ChunkEncoder, encoder_for
+from tessitura.llm.tokenization import ChunkEncoder, encoder_for, pieces
 
 #: Fixed value of the checksum mask.
 MASK_DELTA = 0xA282EAD8
@@ -116,8 +115,9 @@ def write_token_files(docs: DataFrame, out_dir: str, tokenizer_path: str, end_id
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encoder = encoder_for(data.value, "<u4" if wide else "<u2")
-        end = encoder.pack([end_id])
+        encoder = encoder_for(data.value)
+        kind = np.dtype("<u4" if wide else "<u2")
+        end = np.array([end_id], kind).tobytes()
         where, root = fs.FileSystem.from_uri(out_dir)
         where.create_dir(root)
         attempt = TaskContext.get().taskAttemptId()
@@ -134,9 +134,11 @@ def write_token_files(docs: DataFrame, out_dir: str, tokenizer_path: str, end_id
             out = None
 
         for batch in batches:
-            ids, texts, shards = (c.to_pylist() for c in batch.columns)
-            for part in groups(texts):
-                for doc_id, packed, shard in zip(ids[part], encoder.encode_packed(texts[part]), shards[part], strict=True):
+            for part in pieces(batch.column(1)):
+                flat, sizes = encoder.encode(batch.column(1)[part])
+                packed, ends = memoryview(flat.astype(kind).tobytes()), np.cumsum(sizes) * kind.itemsize
+                last = 0
+                for doc_id, upto, shard in zip(batch.column(0)[part].to_pylist(), ends.tolist(), batch.column(2)[part].to_pylist(), strict=True):
                     number = 0
                     if out is not None and (out["shard"] != shard or out["at"] >= FILE_BYTES):
                         number = out["part"] + 1 if out["shard"] == shard else 0
@@ -145,10 +147,11 @@ def write_token_files(docs: DataFrame, out_dir: str, tokenizer_path: str, end_id
                         name = f"shard-{shard:06d}-{number:04d}"
                         temp = f"{root}/.{name}-{attempt}"
                         out = {"shard": shard, "part": number, "name": name, "temp": temp, "file": where.open_output_stream(temp), "index": [], "at": 0}
-                    record = frame(payload_of(doc_id, packed + end, wide))
+                    record = frame(payload_of(doc_id, bytes(packed[last:upto]) + end, wide))
                     out["file"].write(record)
-                    out["index"].append((out["at"], len(record), (len(packed) + len(end)) // (4 if wide else 2)))
+                    out["index"].append((out["at"], len(record), (upto - last + len(end)) // kind.itemsize))
                     out["at"] += len(record)
+                    last = upto
         if out is not None:
             close()
         columns = list(zip(*made, strict=True)) or [[]] * 6

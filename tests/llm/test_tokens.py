@@ -5,12 +5,13 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyarrow import fs
 from tokenizers import Tokenizer
 
 from tessitura.llm import bpe, token_files
-from tessitura.llm.tokenization import ChunkEncoder, encoder_for
+from tessitura.llm.tokenization import ChunkEncoder, TreeEncoder, encoder_for, pieces
 
 BYTE, WORD = (public_tokenizers.path(n) for n in ("byte_bpe_50k.json", "word_bpe_49k.json"))
 PIECES = ["a", "The", " ", "  ", "\n", "\t", "'s", "'re", "!!", ".", ",", "é", "漢字", "👍", "<|endoftext|>", "12", "\xa0", "\x1c", "\x85", "᠎", "é", "İ", "Σ", "ΑΣ", "<|ENDOFTEXT|>", "J̌", "\x00", "_", "<|startoftext|>", "\r\n", "x.", "٣", "²"]
@@ -21,32 +22,71 @@ def texts(n, seed, most=30):
     return ["".join(rng.choice(PIECES) for _ in range(rng.randint(0, most))) for _ in range(n)]
 
 
+def encoder_of(path):
+    with open(path, "rb") as f:
+        return ChunkEncoder(f.read())
+
+
+def equal_to_the_library(encode, raw, given):
+    ids, sizes = encode(given)
+    right = raw([t or "" for t in given])
+    assert sizes.tolist() == list(map(len, right))
+    assert ids.tolist() == [i for r in right for i in r]
+
+
 @pytest.mark.parametrize("path", [BYTE, WORD])
 def test_chunks_equal_the_library(path):
-    with open(path, "rb") as f:
-        encoder = ChunkEncoder(f.read())
-    given = texts(3000, 1)
-    assert encoder.encode_packed(given) == [encoder.pack(x) for x in encoder.raw(given)]
+    encoder = encoder_of(path)
+    given = [*texts(3000, 1), None, "", "a", "\n", "\x02", " \x02a", "x\n\ny", "Don't", "H\u0331", "I\u0307", "word,", "(word)", "word" * 40 + ",", "\u00b2x"]
+    equal_to_the_library(encoder.encode, encoder.raw, given)
+    equal_to_the_library(encoder.encode, encoder.raw, given[::-1])
+    assert encoder.encode([])[0].tolist() == []
+
+
+@pytest.mark.parametrize("path", [BYTE, WORD])
+def test_merges_equal_the_library(path):
+    encoder = encoder_of(path)
+    rng = random.Random(4)
+    words = ["".join(rng.choice("aabethsnig\u00e9\u6f22") for _ in range(rng.randint(1, 30))) for _ in range(3000)]
+    assert encoder.merges is not None
+    equal_to_the_library(encoder.encode, encoder.raw, words)
 
 
 def test_tree_concatenation():
-    with open(BYTE, "rb") as f:
-        encoder = ChunkEncoder(f.read(), leaf_chars=128)
+    tree = TreeEncoder(encoder_of(BYTE), 128)
     rng = random.Random(2)
     letters = "".join(rng.choice("etaoinshrdlu") for _ in range(6000))
-    given = [letters, "ab" * 3000, "1234567890" * 400, "-" * 3000, "\n" * 3000, "漢字" * 1500, "👍" * 700, "x<|endoftext|>" * 200, "'s'm" * 700, "Zoë's" * 500, "".join(rng.choice(PIECES) for _ in range(2000))]
-    assert encoder.encode_packed(given) == [encoder.pack(x) for x in encoder.raw(given)]
-    assert encoder.tree.windows > 40
+    given = [letters, "ab" * 3000, "1234567890" * 400, "-" * 3000, "\n" * 3000, "漢字" * 1500, "👍" * 700, "x<|endoftext|>" * 200, "'s'm" * 700, "Zoë's" * 500, "".join(rng.choice(PIECES) for _ in range(4000)), *texts(300, 6, 200), None, ""]
+    equal_to_the_library(tree.encode, tree.encoder.raw, given)
+    assert tree.windows >= tree.joins > 300
+
+
+def test_the_query_goes_through_the_tree(spark, monkeypatch):
+    """Texts of the table are joined by windows, and a wrong join shows in the query's ids."""
+    docs = [r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()]
+    tree = TreeEncoder(encoder_of(BYTE))
+    equal_to_the_library(tree.encode, tree.encoder.raw, docs)
+    assert tree.windows >= tree.joins > len(docs) / 4
+    monkeypatch.setattr(TreeEncoder, "_join", lambda self, pairs: [(x + y, np.concatenate([a, b])) for (x, a), (y, b) in pairs])
+    ids, _ = TreeEncoder(encoder_of(BYTE)).encode(docs)
+    assert ids.tolist() != [i for r in tree.encoder.raw([t or "" for t in docs]) for i in r]
 
 
 def test_small_table_keeps_results(monkeypatch):
     from tessitura.llm import tokenization
 
     monkeypatch.setattr(tokenization, "CACHE_ENTRIES", 50)
-    with open(BYTE, "rb") as f:
-        encoder = ChunkEncoder(f.read())
+    encoder = encoder_of(BYTE)
     given = [f"word{i} other{i % 7}, end{i}." for i in range(500)] * 2
-    assert encoder.encode_packed(given) == [encoder.pack(x) for x in encoder.raw(given)]
+    for i in range(0, len(given), 100):
+        equal_to_the_library(encoder.encode, encoder.raw, given[i : i + 100])
+    assert len(encoder.table.index) < 500
+
+
+def test_pieces():
+    given = pa.array(["aaaa", None, "bb", "", "c" * 50, "d"])
+    assert list(pieces(given, 6)) == [slice(0, 4), slice(4, 5), slice(5, 6)]
+    assert list(pieces(pa.array([], pa.string()), 6)) == []
 
 
 ROWS = [(1, "Hello, world", 5), (2, None, 1), (3, "", 1), (None, "null id", 1), (1, "Hello, world", 5), (1, "another text", 5), (9, "long " * 40_000 + "z" * 9000, 1), (-4, "<|endoftext|> é\n\n  x", 0)]
