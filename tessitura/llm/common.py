@@ -37,6 +37,7 @@ class Scratch:
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+        self.names: set[str] = set()
         atexit.register(self.drop)
 
     def _delete(self, path: str) -> None:
@@ -47,8 +48,15 @@ class Scratch:
     def save(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.root}/{name}"
         df.write.mode("overwrite").parquet(path)
+        self.names.add(name)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def last(self, df: DataFrame, name: str) -> DataFrame:
+        """Saves a result that reads other tables of this scratch, and drops those."""
+        made = self.save(df, name)
+        self.drop(*(n for n in self.names if n != name))
+        return made
+
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
 
@@ -56,6 +64,7 @@ class Scratch:
         try:
             for path in [f"{self.root}/{n}" for n in names] or [self.root]:
                 self._delete(path)
+            self.names -= set(names or self.names)
         except Exception:  # noqa: BLE001 - the session may be gone; the folder is scratch
             if names:
                 raise

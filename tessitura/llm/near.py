@@ -14,19 +14,25 @@ who is similar to it is in its component. Two nodes u, v that are not both so ca
 similar to each other in one of two ways, by their overlaps with the center and their sizes:
 
 - What they share with the center does not suffice, so they share a shingle that the center
-  lacks. Prefixes of those residual shingles, rarest first, make an inverted index for the pairs
-  to confirm (the prefix principle of similarity joins).
+  lacks. Prefixes of those residual shingles, rarest first, make an inverted index of groups that
+  share one (the prefix principle of similarity joins).
 - Or it may suffice, which takes a partner smaller than the center. Such nodes form a smaller
-  band without the center, for the next round, unless they are one component already. When
-  ``SMALL_BAND`` of them or fewer are left, those of them whose sizes allow it are confirmed at once.
+  band without the center.
+
+Groups of either kind of up to ``SMALL_BAND`` nodes are confirmed pair by pair; larger ones are the
+bands of the next round, with a center of their own, unless they are one component already. Each
+round takes a center out of each band, so rounds end with the input.
 
 So groups of near copies, and documents around one common passage, cost about a comparison a
-node, and yet every pair of a band that could be similar is confirmed or refuted.
+node, and yet every pair of a band that could be similar is confirmed or refuted. Sets stream
+past the center's set, which is sent once for a few hundred nodes (``PER_SALT``), whatever the group's size.
 """
 
 from __future__ import annotations
 
+import functools
 import hashlib
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -43,6 +49,8 @@ ROWS, BANDS = 5, 40
 BINS = ROWS * BANDS
 PERCENT = 80
 SMALL_BAND = 64
+#: A center's set is sent again for about so many nodes, by its band neighbours in all bands.
+PER_SALT = 8192
 
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _U = np.uint64
@@ -120,10 +128,11 @@ def _full_sets(rows: DataFrame, words: int) -> DataFrame:
     return rows.mapInArrow(run, f"id {dict(rows.dtypes)['id']}, items binary")
 
 
-def _both_sets(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    left = sets.select(F.col("id").alias("a"), F.col("items").alias("items_a"))
-    right = sets.select(F.col("id").alias("b"), F.col("items").alias("items_b"))
-    return pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "items_a", "items_b")
+def _beside(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """For pairs (a, b, salt): the set of each b, sorted by (a, salt), after a row with the set of a."""
+    rows = pairs.join(sets.withColumnRenamed("id", "b"), "b").select("a", "salt", "b", "items")
+    heads = pairs.select("a", "salt").distinct().join(sets.withColumnRenamed("id", "a"), "a").select("a", "salt", F.lit(None).cast(dict(rows.dtypes)["b"]).alias("b"), "items")
+    return rows.unionByName(heads).repartition("a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first())
 
 
 def _shared(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -132,39 +141,42 @@ def _shared(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return y[np.minimum(where, len(y) - 1)] == x
 
 
-def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets are similar enough, as (u, v)."""
+def _compared(pairs: DataFrame, sets: DataFrame, percent: int, extra: bool) -> DataFrame:
+    """For pairs (a, b): both sizes, the ``overlap`` of the sets, whether they are ``linked`` and,
+    if asked, ``extra``, the shingles of b that a lacks."""
     kind = dict(sets.dtypes)["id"]
+    names = ["a", "b", "n", "overlap", "linked", *(["extra"] if extra else [])]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        head = np.empty(0, np.uint64)
         for batch in batches:
-            keep = []
-            for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                common = int(_shared(x, y).sum())
-                keep.append(100 * common >= percent * (len(x) + len(y) - common))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["u", "v"]).filter(pa.array(keep))
-
-    return _both_sets(pairs, sets).mapInArrow(run, f"u {kind}, v {kind}")
+            for part in pieces(batch.column(3)):
+                piece = batch.slice(part.start, part.stop - part.start)
+                at, counts, rest = [], [], []
+                for k, (b, items) in enumerate(zip(piece.column(2), piece.column(3), strict=True)):
+                    y = np.frombuffer(items.as_buffer(), np.uint64)
+                    if not b.is_valid:
+                        head = y.copy()
+                        continue
+                    own = _shared(y, head)
+                    common = int(own.sum())
+                    at.append(k)
+                    counts.append((len(y), common, 100 * common >= percent * (len(head) + len(y) - common)))
+                    if extra:
+                        rest.append(y[~own].view(np.int64))
+                columns = list(zip(*counts, strict=True)) or [[]] * 3
+                made = [piece.column(0).take(pa.array(at, pa.int64())), piece.column(2).take(pa.array(at, pa.int64())), *(pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.bool_()), strict=True))]
+                if extra:
+                    ends = np.cumsum([0, *map(len, rest)]).astype(np.int32)
+                    made.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(rest) if rest else np.empty(0, np.int64))))
+                yield pa.RecordBatch.from_arrays(made, names=names)
+
+    return _beside(pairs, sets).mapInArrow(run, f"a {kind}, b {kind}, n long, overlap long, linked boolean" + ", extra array<long>" * extra)
 
 
-def _compared(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """For centers and nodes (a, b): ``overlap``, whether they are ``linked``, and ``extra``, the
-    node's shingles that the center lacks."""
-    kind = dict(sets.dtypes)["id"]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = []
-            for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                own = _shared(y, x)
-                common, rest = int(own.sum()), y[~own]
-                rows.append((common, 100 * common >= percent * (len(x) + len(y) - common), rest.view(np.int64)))
-            columns = list(zip(*rows, strict=True)) or [[]] * 3
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.bool_()), pa.array(columns[2], pa.list_(pa.int64()))], names=["c", "node", "overlap", "linked", "extra"])
-
-    return _both_sets(pairs, sets).mapInArrow(run, f"c {kind}, node {kind}, overlap long, linked boolean, extra array<long>")
+def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose full sets are similar enough, as (u, v)."""
+    return _compared(pairs.withColumn("salt", F.lit(0)), sets, percent, extra=False).where("linked").select(F.col("a").alias("u"), F.col("b").alias("v"))
 
 
 def components(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
@@ -175,7 +187,7 @@ def components(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     """
     e = scratch.save(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct(), f"{name}-0")
     mark = None
-    for i in range(1, 200):
+    for i in itertools.count(1):
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m"))
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.least("m", "u").alias("v")).where("u <> v").distinct()
@@ -188,34 +200,34 @@ def components(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
         if got == mark:
             return e.select(F.col("u").alias("v"), F.col("v").alias("root"))
         mark = got
-    raise RuntimeError("components did not settle")
 
 
-def _prefixes(met: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
+def _prefixes(met: DataFrame, percent: int) -> DataFrame:
     """An entry for each (c, node, item) that the inverted index of residual shingles needs.
 
-    A node's partners have at least percent of its size, and the least size around the center.
+    A node's partners have at least percent of its size, and the least size around the center (``low``).
     So a similar pair shares at least t items beyond the center, t from the node's overlap alone,
     and one of any ``extra - t + 1``: the rarest ones around the center. Items of one node are no help.
     """
-    items = met.join(sizes, ["c", "node"]).select("c", "node", "n", "overlap", "linked", F.size("extra").cast("long").alias("extra"), F.explode("extra").alias("item"))
+    items = met.select("c", "node", "n", "low", "overlap", "linked", F.size("extra").cast("long").alias("extra"), F.explode("extra").alias("item"))
     often = items.groupBy("c", "item").agg(F.count("*").alias("often")).where("often > 1")
-    least = sizes.groupBy("c").agg(F.min("n").alias("least"))
-    partner = F.greatest("least", F.ceil(F.col("n") * percent / 100))
+    partner = F.greatest("low", F.ceil(F.col("n") * percent / 100))
     t = F.greatest(F.lit(1), F.ceil((F.col("n") + partner) * percent / (100 + percent)) - F.col("overlap"))
-    ranked = items.join(often, ["c", "item"]).join(least, "c").withColumn("t", t)
     # single items come first in the order; they are no longer here but count
     shared = Window.partitionBy("c", "node")
+    ranked = items.join(often, ["c", "item"]).withColumn("t", t)
     ranked = ranked.withColumn("rank", F.row_number().over(shared.orderBy("often", "item"))).withColumn("many", F.count("*").over(shared))
     return ranked.where(F.col("extra") - F.col("many") + F.col("rank") <= F.col("extra") - F.col("t") + 1).select("c", "node", "n", "overlap", "linked", "extra", "item")
 
 
-def _named(links: DataFrame, state: DataFrame) -> DataFrame:
-    """Links between the components that their ends are in."""
-    comp = state.select("node", "comp").unionByName(state.select(F.col("c").alias("node"), F.col("c").alias("comp"))).groupBy("node").agg(F.min("comp").alias("comp"))
-    left = comp.select(F.col("node").alias("u"), F.col("comp").alias("cu"))
-    right = comp.select(F.col("node").alias("v"), F.col("comp").alias("cv"))
-    return links.join(left, "u").join(right, "v").select(F.col("cu").alias("u"), F.col("cv").alias("v"))
+def _labels(links: list[DataFrame]) -> DataFrame:
+    """(node, label) for the ends of links: equal labels are of one component, which two steps to
+    the smallest neighbour make of most groups."""
+    edges = functools.reduce(DataFrame.unionByName, links)
+    both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct()
+    first = both.groupBy("u").agg(F.least("u", F.min("v")).alias("label"))
+    second = both.join(first.withColumnRenamed("u", "v"), "v").groupBy("u").agg(F.min("label").alias("near"))
+    return first.join(second, "u").select(F.col("u").alias("node"), F.least("label", "near").alias("label"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = PERCENT) -> DataFrame:
@@ -241,51 +253,50 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     live = scratch.save(banded.groupBy("band").agg(F.min("node").alias("x"), F.max("node").alias("y"), F.count("*").alias("m")).where("x < y").select("band", "m"), "live")
     state = scratch.save(banded.join(live, "band").distinct(), "banded")
     central = state.groupBy("node").agg(F.sum("m").alias("central"))
-    state = scratch.save(state.drop("m").join(central, "node").withColumn("comp", F.col("node")), "state-0")
+    state = scratch.save(state.drop("m").join(central, "node"), "state-0")
+    scratch.drop("live", "banded")
     sets = scratch.save(_full_sets(rows.join(state.select(F.col("node").alias("id")).distinct(), "id", "left_semi"), words), "sets")
     found: list[DataFrame] = []
     most = lambda o, n: F.floor((100 + percent) * F.col(o) / percent).cast("long") - F.col(n)
-    for i in range(1000):
+    for i in itertools.count():
         if state.isEmpty():
             break
-        best = F.max(F.struct("central", F.xxhash64("node").alias("h"), "node", "n")).alias("best")
-        centers = state.groupBy("band").agg(best).select("band", F.col("best.node").alias("c"), F.col("best.n").alias("c_n"))
+        best = F.max(F.struct("central", F.xxhash64("node").alias("h"), "node")).alias("best")
+        centers = state.groupBy("band").agg(best, F.min("n").alias("low")).select("band", F.col("best.node").alias("c"), F.ceil(F.col("best.central") / PER_SALT).alias("salts"), "low")
         state = scratch.save(state.join(centers, "band"), f"centered-{i}").where("node <> c")
-        met = _compared(state.select(F.col("c").alias("a"), F.col("node").alias("b")).distinct(), sets, percent)
-        met = scratch.save(met, f"met-{i}")
-        parts = _prefixes(met, state.select("c", "node", "n").distinct(), percent)
-        parts = scratch.save(parts, f"parts-{i}")
-        other = parts.select("c", "item", *(F.col(x).alias(f"o_{x}") for x in ("node", "n", "overlap", "linked", "extra")))
+        pairs = state.groupBy("c", "node").agg(F.max("salts").alias("salts"), F.min("low").alias("low"))
+        salted = pairs.select(F.col("c").alias("a"), F.col("node").alias("b"), F.pmod(F.xxhash64("node"), "salts").alias("salt"))
+        met = _compared(salted, sets, percent, extra=True).withColumnsRenamed({"a": "c", "b": "node"})
+        met = scratch.save(met.join(pairs.select("c", "node", "low"), ["c", "node"]), f"met-{i}")
+        parts = scratch.save(_prefixes(met, percent), f"parts-{i}")
+        open_ = ~F.col("linked")
+        sharing = parts.groupBy("c", "item").agg(F.count("*").alias("m"), F.bool_or(open_).alias("open")).where("m > 1 AND open").drop("open")
+        few = parts.join(sharing.where(F.col("m") <= SMALL_BAND), ["c", "item"])
+        other = few.select("c", "item", *(F.col(x).alias(f"o_{x}") for x in ("node", "n", "overlap", "linked", "extra")))
         need = percent * (F.col("n") + F.col("o_n"))
         can = (100 + percent) * (F.least("overlap", "o_overlap") + F.least("extra", "o_extra")) >= need
-        sharing = parts.join(other, ["c", "item"]).where((F.col("node") < F.col("o_node")) & ~(F.col("linked") & F.col("o_linked")) & can)
-        pairs = scratch.save(sharing.select(F.col("node").alias("a"), F.col("o_node").alias("b")).distinct(), f"pairs-{i}")
-        links = met.where("linked").select(F.col("c").alias("u"), F.col("node").alias("v")).unionByName(_confirmed(pairs, sets, percent))
-        links = scratch.save(links, f"links-{i}")
-        found.append(links)
+        not_both = (F.col("node") < F.col("o_node")) & ~(F.col("linked") & F.col("o_linked"))
+        tried = few.join(other, ["c", "item"]).where(not_both & can).select(F.col("node").alias("a"), F.col("o_node").alias("b"))
+        many = parts.join(sharing.where(F.col("m") > SMALL_BAND), ["c", "item"]).select(F.xxhash64("c", "item").alias("band"), "node", "n", F.col("m").alias("central"))
         # nodes that could be similar to one another by what they share with the center alone
         rest = state.join(met.select("c", "node", "overlap", "linked"), ["c", "node"]).withColumn("room", most("overlap", "n"))
-        open_ = ~F.col("linked")
-        bounds = rest.groupBy("band").agg(F.min("n").alias("low"), F.min(F.when(open_, F.col("n"))).alias("open_low"), F.max(F.when(open_, F.col("room"))).alias("open_room"))
+        bounds = rest.groupBy("band").agg(F.min(F.when(open_, F.col("n"))).alias("open_low"), F.max(F.when(open_, F.col("room"))).alias("open_room"))
         rest = rest.join(bounds, "band").where(F.when(open_, F.col("room") >= F.col("low")).otherwise((F.col("n") <= F.col("open_room")) & (F.col("room") >= F.col("open_low"))))
-        rest = rest.drop("low", "open_low", "open_room").join(rest.groupBy("band").agg(F.count("*").alias("left")), "band")
-        rest = scratch.save(rest.select("band", "node", "n", "central", "comp", "overlap", "linked", "left"), f"rest-{i}")
-        if rest.isEmpty():
-            break
-        # bands of a few nodes are finished at once: each node meets fewer than SMALL_BAND others
-        few = rest.where(F.col("left") <= SMALL_BAND)
+        rest = scratch.save(rest.select("band", "node", "n", "central", "overlap", "linked"), f"rest-{i}")
+        left = rest.groupBy("band").agg(F.count("*").alias("left")).where("left > 1")
+        few = rest.join(left.where(F.col("left") <= SMALL_BAND), "band")
         peer = few.select("band", *(F.col(x).alias(f"o_{x}") for x in ("node", "n", "overlap", "linked")))
-        enough = (100 + percent) * F.least("overlap", "o_overlap") >= percent * (F.col("n") + F.col("o_n"))
-        direct = few.join(peer, "band").where((F.col("node") < F.col("o_node")) & ~(F.col("linked") & F.col("o_linked")) & enough)
-        direct = scratch.save(direct.select(F.col("node").alias("a"), F.col("o_node").alias("b")).distinct(), f"direct-{i}")
-        found.append(scratch.save(_confirmed(direct, sets, percent), f"direct-links-{i}"))
-        rest = rest.where(F.col("left") > SMALL_BAND)
-        merged = components(_named(links, state), scratch, f"merge-{i}")
-        renamed = rest.join(merged.withColumnRenamed("v", "comp"), "comp", "left").select("band", "node", "n", "central", F.coalesce("root", "comp").alias("comp"))
-        still = renamed.groupBy("band").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x < y").select("band")
-        state = scratch.save(renamed.join(still, "band", "left_semi"), f"state-{i + 1}")
-    else:
-        raise RuntimeError("bands did not settle")
+        enough = (100 + percent) * F.least("overlap", "o_overlap") >= need
+        tried = tried.unionByName(few.join(peer, "band").where(not_both & enough).select(F.col("node").alias("a"), F.col("o_node").alias("b")))
+        tried = scratch.save(tried.distinct(), f"tried-{i}")
+        found += [met.where("linked").select(F.col("c").alias("u"), F.col("node").alias("v")), scratch.save(_confirmed(tried, sets, percent), f"links-{i}")]
+        following = scratch.save(rest.join(left.where(F.col("left") > SMALL_BAND), "band", "left_semi").select("band", "node", "n", "central").unionByName(many), f"following-{i}")
+        scratch.drop(f"parts-{i}", f"tried-{i}", f"rest-{i}", f"centered-{i}")
+        if following.isEmpty():
+            break
+        labelled = following.join(_labels(found), "node", "left").withColumn("label", F.coalesce("label", "node"))
+        still = labelled.groupBy("band").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x < y").select("band")
+        state = scratch.save(following.join(still, "band", "left_semi"), f"state-{i + 1}")
     out = sketched.select("id", "n", "d1", "d2").join(reps, ["d1", "d2"], "left")
     # a document with several texts ties the nodes that stand for them
     several = out.where("n > 0 AND id IS NOT NULL").groupBy("id").agg(F.min("node").alias("x"), F.max("node").alias("y")).where("x < y").select("id")
@@ -296,7 +307,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     out = out.join(roots.withColumnRenamed("v", "node"), "node", "left")
     component = F.when(F.col("n") > 0, F.coalesce("root", "node")).otherwise(F.col("id"))
     component = F.when(F.col("id").isNotNull(), component)
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
+    out = out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
+    return scratch.last(out, "out")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = PERCENT) -> DataFrame:
