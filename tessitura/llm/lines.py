@@ -3,12 +3,12 @@
 A line that stands on many sites is boilerplate. A HyperLogLog sketch of the sites of each
 line's hash is merged by aggregation, map side first; lines whose estimate is clear of the
 threshold are decided by it, lines near it by an exact count of distinct sites. Boilerplate
-lines are then taken out. By the rule of the registered SQL, a document whose boilerplate is more
-than ``max_share`` of its characters is left whole. With ``whole``, every boilerplate line goes
-wherever it stands, and equal texts count as one site, so that copies do not vote their own lines out.
+lines are then taken out wherever they stand. Equal texts count as one site, the least of theirs,
+so that copies of a page do not vote its own lines out.
 
-Everything is built-in column functions. Tables of lines are keyed by two 64-bit hashes of the
-trimmed line; texts are shuffled once, to meet the numbers of the lines they lose.
+Everything is built-in column functions. The lines' keys, two 64-bit hashes each, are written
+once and read by all passes; texts are shuffled once, to meet the numbers of the lines they lose, by
+hashes of the text and a salt, so that the copies of one text are spread over tasks.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ MIN_SITES = 8
 #: standard errors of a sketch with 4,096 registers.
 MARGIN = 0.25
 LG_REGISTERS = 12
-MAX_SHARE = 0.5
+SALTS = 1024
 BLANKS = " \t\r\x0b\x0c"
 KEYS = ["line_1", "line_2"]
 
@@ -36,24 +36,24 @@ def _keys(line: Column) -> dict[str, Column]:
     return {"line_1": F.xxhash64(line), "line_2": F.xxhash64(F.lit("line"), line)}
 
 
-def _exploded(rows: DataFrame, *columns: str) -> DataFrame:
-    """A row for each line that is not blank: its number, its characters and its keys."""
-    lines = rows.select(*columns, F.posexplode(_lines(F.col("text"))).alias("pos", "line")).withColumn("line", F.btrim("line", F.lit(BLANKS)))
-    return lines.where("line <> ''").select(*columns, "pos", F.length("line").alias("chars"), *(c.alias(n) for n, c in _keys(F.col("line")).items()))
+def _exploded(docs: DataFrame, id_col: str, site_col: str, text_col: str) -> DataFrame:
+    """A row for each line that is not blank: keys of the text and the line, number and site."""
+    text, site = at(docs, text_col), at(docs, site_col).cast("string")
+    rows = docs.select(*(c.alias(n) for n, c in _text_keys(docs, id_col, site_col, text_col).items()), F.coalesce(F.concat(F.lit("="), site), F.lit("")).alias("site"), F.posexplode(_lines(text)).alias("pos", "line"))
+    rows = rows.withColumn("line", F.btrim("line", F.lit(BLANKS))).where("line <> ''")
+    return rows.select("t1", "t2", "salt", "site", "pos", *(c.alias(n) for n, c in _keys(F.col("line")).items()))
 
 
-def boilerplate(docs: DataFrame, scratch: Scratch, site_col: str = "source", text_col: str = "text", min_sites: int = MIN_SITES, copies_once: bool = False) -> DataFrame:
-    """The keys of lines that stand on ``min_sites`` sites at least. A null site is a site of its own.
-
-    With ``copies_once``, the copies of a text count as one, on the least of their sites.
-    """
-    site = at(docs, site_col).cast("string")
+def _text_keys(docs: DataFrame, id_col: str, site_col: str, text_col: str) -> dict[str, Column]:
     text = at(docs, text_col)
-    copy = {"t1": F.xxhash64(text), "t2": F.xxhash64(F.lit("text"), text)} if copies_once else {}
-    rows = docs.select(F.coalesce(F.concat(F.lit("="), site), F.lit("")).alias("site"), text.alias("text"), *(c.alias(n) for n, c in copy.items()))
-    lines = _exploded(rows, "site", *copy).select(*KEYS, "site", *copy)
-    # by line and text, so that neither a common line nor a group of copies meets in one task
-    once = (lambda x: x.groupBy(*KEYS, *copy).agg(F.min("site").alias("site")).select(*KEYS, "site")) if copies_once else lambda x: x
+    salt = F.pmod(F.xxhash64(at(docs, id_col).cast("string"), at(docs, site_col).cast("string")), F.lit(SALTS)).cast("int")
+    return {"t1": F.xxhash64(text), "t2": F.xxhash64(F.lit("text"), text), "salt": salt}
+
+
+def boilerplate(lines: DataFrame, scratch: Scratch, min_sites: int = MIN_SITES) -> DataFrame:
+    """The keys of lines that stand on ``min_sites`` sites at least. A null site is a site of its own."""
+    # by line and text first, so that neither a common line nor a group of copies meets in one task
+    once = lambda x: x.groupBy(*KEYS, "t1", "t2").agg(F.min("site").alias("site")).select(*KEYS, "site")
     spread = once(lines).groupBy(*KEYS).agg(F.hll_sketch_estimate(F.hll_sketch_agg("site", LG_REGISTERS)).alias("sites")).where(F.col("sites") >= min_sites * (1 - MARGIN))
     spread = scratch.save(spread, "spread")
     near = spread.where(F.col("sites") < min_sites * (1 + MARGIN)).select(*KEYS)
@@ -61,33 +61,31 @@ def boilerplate(docs: DataFrame, scratch: Scratch, site_col: str = "source", tex
     return scratch.save(spread.where(F.col("sites") >= min_sites * (1 + MARGIN)).select(*KEYS).unionAll(exact), "boilerplate")
 
 
-def strip_boilerplate(docs: DataFrame, id_col: str = "doc_id", site_col: str = "source", text_col: str = "text", min_sites: int = MIN_SITES, max_share: float = MAX_SHARE, whole: bool = False) -> DataFrame:
+def strip_boilerplate(docs: DataFrame, id_col: str = "doc_id", site_col: str = "source", text_col: str = "text", min_sites: int = MIN_SITES) -> DataFrame:
     """Returns ``docs`` with boilerplate lines taken out of the text, and ``n_lines`` (not blank)
-    and ``n_removed``; a row for each row. ``whole`` exempts no document and does without ``max_share``.
+    and ``n_removed``; a row for each row.
 
     Blank lines are no lines and stay. A null text stays null, an empty one empty, with no
-    lines. Repeated rows and null ids are treated alike, each row by its own text. Where ``docs``
-    has a column of one of the new names, the new one gets underscores before it. An empty table
-    gives an empty table.
+    lines; a text all of whose lines go is left with its blank ones. Repeated rows and null ids are
+    treated alike, each row by its own text. Where ``docs`` has a column of one of the new names,
+    the new one gets underscores before it. An empty table gives an empty table.
     """
     require(docs, id_col, site_col, text_col)
     scratch = Scratch(docs.sparkSession, "lines")
-    marks = boilerplate(docs, scratch, site_col, text_col, min_sites, copies_once=whole)
-    names = {n: fresh(docs, n) for n in ("n_lines", "n_removed", "t1", "t2", "gone", "all")}
-    text = at(docs, text_col)
-    hashes = {names["t1"]: F.xxhash64(text), names["t2"]: F.xxhash64(F.lit("text"), text)}
-    # documents are known by two hashes of the text: equal texts lose equal lines
-    rows = docs.select(F.xxhash64(text).alias("t1"), F.xxhash64(F.lit("text"), text).alias("t2"), text.alias("text"))
-    gone = _exploded(rows, "t1", "t2").join(marks, KEYS, "left_semi").select("t1", "t2", "pos", "chars")
+    lines = scratch.save(_exploded(docs, id_col, site_col, text_col), "lines")
+    marks = boilerplate(lines, scratch, min_sites)
+    names = {n: fresh(docs, n) for n in ("n_lines", "n_removed", "t1", "t2", "salt", "gone")}
     # copies of a text bring the same numbers, which a set holds once
-    gone = gone.groupBy("t1", "t2").agg(F.sort_array(F.collect_set(F.struct("pos", "chars"))).alias(names["gone"])).withColumnsRenamed({"t1": names["t1"], "t2": names["t2"]})
-    out = docs.withColumns(hashes).join(gone, [names["t1"], names["t2"]], "left")
-    lines, removed = _lines(text), F.col(names["gone"])
-    size = F.aggregate(F.transform(lines, lambda x: F.length(F.btrim(x, F.lit(BLANKS)))), F.lit(0), lambda a, x: a + x)
-    lost = F.aggregate(removed, F.lit(0), lambda a, x: a + x["chars"])
-    bounds = F.concat(F.array(F.lit(-1)), removed["pos"], F.array(F.size(lines)))
-    kept = F.flatten(F.transform(F.sequence(F.lit(0), F.size(removed)), lambda i: F.slice(lines, F.element_at(bounds, i + 1) + 2, F.element_at(bounds, i + 2) - F.element_at(bounds, i + 1) - 1)))
-    strips = removed.isNotNull() if whole else removed.isNotNull() & (lost <= max_share * size)
-    n_lines = F.size(F.filter(lines, lambda x: F.btrim(x, F.lit(BLANKS)) != ""))
+    by = ["t1", "t2", "salt"]
+    gone = lines.join(marks, KEYS, "left_semi").groupBy(*by).agg(F.sort_array(F.collect_set("pos")).alias("gone"))
+    gone = scratch.save(gone, "gone").withColumnsRenamed({n: names[n] for n in (*by, "gone")})
+    scratch.drop("lines", "spread", "boilerplate")
+    out = docs.withColumns({names[n]: c for n, c in _text_keys(docs, id_col, site_col, text_col).items()}).join(gone, [names[n] for n in by], "left")
+    text, removed = at(docs, text_col), F.col(names["gone"])
+    split = _lines(text)
+    bounds = F.concat(F.array(F.lit(-1)), removed, F.array(F.size(split)))
+    kept = F.flatten(F.transform(F.sequence(F.lit(0), F.size(removed)), lambda i: F.slice(split, F.element_at(bounds, i + 1) + 2, F.element_at(bounds, i + 2) - F.element_at(bounds, i + 1) - 1)))
+    n_lines = F.size(F.filter(split, lambda x: F.btrim(x, F.lit(BLANKS)) != ""))
+    strips = removed.isNotNull()
     out = out.withColumns({names["n_lines"]: F.when(text.isNull(), 0).otherwise(n_lines).cast("long"), names["n_removed"]: F.when(strips, F.size(removed)).otherwise(0).cast("long"), text_col: F.when(strips, F.array_join(kept, "\n")).otherwise(text)})
     return out.select(*(out["`" + c.replace("`", "``") + "`"] for c in [*docs.columns, names["n_lines"], names["n_removed"]]))

@@ -58,15 +58,11 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(docs, 8, grown=9).select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
 
 
-def op9_line_dedup(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
-    docs = lines.strip_boilerplate(_table(spark, sf_dir, "documents").select("doc_id", "source", "text"), whole=whole)
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = lines.strip_boilerplate(_table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
     return docs.select("doc_id", "n_lines", "n_removed", F.length("text").cast("long").alias("kept_chars"), F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"))
 
 
-def op9_line_dedup_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return op9_line_dedup(spark, sf_dir, whole=True)
-
-
 def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.edit_probe(_table(spark, sf_dir, "documents"))
 
@@ -81,7 +77,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_token_files": op7_token_files,
     "op8_sharding": op8_sharding,
     "op9_line_dedup": op9_line_dedup,
-    "op9_line_dedup_whole": op9_line_dedup_whole,
     "op10_fingerprints": op10_fingerprints,
     "pipeline": corpus_pipeline.run,
 }
@@ -100,21 +95,18 @@ ORACLE_SQL: dict[str, str] = {
             CAST(sum(22 + length({_ESCAPED.format("role")}) + length({_ESCAPED.format("text")})) AS BIGINT) AS formatted_chars
         FROM turns GROUP BY conv_id""",
     "op9_line_dedup": f"""
-        WITH split AS (SELECT doc_id, source, string_split(text, chr(10)) AS parts, hash(text) AS h, text FROM documents),
-        line AS (SELECT doc_id, source, h, unnest(parts) AS raw, unnest(range(1, len(parts) + 1)) AS pos FROM split),
+        WITH split AS (SELECT doc_id, coalesce('=' || source, '') AS site, string_split(text, chr(10)) AS parts, md5(text) AS copy FROM documents),
+        line AS (SELECT doc_id, site, copy, unnest(parts) AS raw, unnest(range(1, len(parts) + 1)) AS pos FROM split),
         trimmed AS (SELECT *, trim(raw, ' ' || chr(9) || chr(11) || chr(12) || chr(13)) AS line FROM line),
-        spread AS (
-            SELECT line FROM trimmed WHERE line <> '' GROUP BY line
-            HAVING count(DISTINCT coalesce('=' || source, '')) >= {lines.MIN_SITES}),
+        once AS (SELECT line, copy, min(site) AS site FROM trimmed WHERE line <> '' GROUP BY line, copy),
+        spread AS (SELECT line FROM once GROUP BY line HAVING count(DISTINCT site) >= {lines.MIN_SITES}),
         marked AS (SELECT *, line IN (SELECT line FROM spread) AS gone FROM trimmed),
         per AS (
-            SELECT doc_id, CAST(count(*) FILTER (line <> '') AS BIGINT) AS n_lines,
-                count(*) FILTER (gone) AS n_gone,
-                coalesce(sum(length(line)) FILTER (gone), 0) <= {lines.MAX_SHARE} * sum(length(line)) AS strips,
+            SELECT doc_id, CAST(count(*) FILTER (line <> '') AS BIGINT) AS n_lines, CAST(count(*) FILTER (gone) AS BIGINT) AS n_removed,
                 coalesce(string_agg(raw, chr(10) ORDER BY pos) FILTER (NOT gone), '') AS kept
             FROM marked GROUP BY doc_id)
-        SELECT d.doc_id, coalesce(n_lines, 0) AS n_lines, CAST(CASE WHEN strips THEN n_gone ELSE 0 END AS BIGINT) AS n_removed,
-            length(CASE WHEN strips THEN kept ELSE text END) AS kept_chars,
-            sha256(CASE WHEN strips THEN kept ELSE text END) AS text_sha256
+        SELECT d.doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_removed, 0) AS n_removed,
+            length(CASE WHEN n_removed > 0 THEN kept ELSE text END) AS kept_chars,
+            sha256(CASE WHEN n_removed > 0 THEN kept ELSE text END) AS text_sha256
         FROM documents d LEFT JOIN per USING (doc_id)""",
 }
