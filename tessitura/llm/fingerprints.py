@@ -1,11 +1,11 @@
-"""Document fingerprints: a Merkle tree over pieces, paragraphs and sections.
-
-A leaf is a piece of a sentence of up to ``LEAF_CHARS`` code points (``SHORT_LEAF_CHARS`` in
-texts under ``SHORT_CHARS``, and in both texts of a comparison where one is that short); leaves hash to their
-paragraph, paragraphs to their section, sections to the root, which is the fingerprint. Equal
-roots mean equal texts. A section ends after a paragraph whose digest says so (one in eight), so
-an edit moves no boundary but its own. Differing branches locate edits: what two trees share is
-skipped branch by branch, and the leaves left over are the places that differ.
+"""Document fingerprints: a Merkle tree over paragraphs and sections.
+
+A leaf is the digest of a paragraph; paragraphs hash to their section, sections to the root, which
+is the fingerprint. Equal roots mean equal texts. A section ends after a paragraph whose digest
+says so (one in eight), so an edit moves no boundary but its own. Differing branches locate edits:
+what two trees share is skipped branch by branch, and the paragraphs left over are compared by
+digests of their pieces, ``PIECE`` code points each from the start of a sentence. This one rule holds
+for texts of any length.
 """
 
 from __future__ import annotations
@@ -14,7 +14,9 @@ import hashlib
 import re
 from collections import Counter
 from collections.abc import Iterator
+from functools import cached_property
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -22,47 +24,31 @@ from pyspark.sql import functions as F
 from tessitura.llm.common import at, require
 from tessitura.llm.token_files import id_ranges, range_of
 
-LEAF_CHARS = 32
-SHORT_CHARS, SHORT_LEAF_CHARS = 256, 4
-_SENTENCE = re.compile(r"[^.!?]+[.!?]*\s*|[.!?]+\s*")
+PIECE = 8
+_UNIT = re.compile(r"[^.!?\n]+[.!?]*[^\S\n]*|[.!?]+[^\S\n]*")
+_ODD = np.random.default_rng(10).integers(0, 2**63, PIECE, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def _node(kind: bytes, children: list[bytes]) -> bytes:
     return hashlib.blake2b(kind + b"".join(children), digest_size=16).digest()
 
 
-class Paragraph:
-    """A paragraph's digest and its leaves, as (digest, code points)."""
-
-    __slots__ = ("digest", "leaves")
-
-    def __init__(self, text: str, leaf_chars: int = LEAF_CHARS):
-        self.leaves = []
-        for s in _SENTENCE.findall(text):
-            for i in range(0, len(s), leaf_chars):
-                piece = s[i : i + leaf_chars]
-                self.leaves.append((hashlib.blake2b(piece.encode(), digest_size=16).digest(), len(piece)))
-        self.digest = _node(b"P", [x[0] for x in self.leaves])
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
+    return x ^ (x >> np.uint64(29))
 
 
 class Tree:
-    """The Merkle tree of a text. Paragraphs that the ``known`` trees have are not hashed again."""
-
-    def __init__(self, text: str, *known: Tree, leaf_chars: int | None = None):
-        self.text, self.finer = text, None
-        self.leaf_chars = leaf_chars or (LEAF_CHARS if len(text) >= SHORT_CHARS else SHORT_LEAF_CHARS)
-        tables = [t.texts for t in known if t.leaf_chars == self.leaf_chars]
-        self.paragraphs: list[Paragraph] = []
-        self.texts: dict[str, Paragraph] = {}
-        for line in text.split("\n"):
-            p = next((t[line] for t in (self.texts, *tables) if line in t), None) or Paragraph(line, self.leaf_chars)
-            self.texts[line] = p
-            self.paragraphs.append(p)
+    """The Merkle tree of a text: ``paragraphs`` (digests), ``sections`` (digest, first, last) and ``root``."""
+
+    def __init__(self, text: str):
+        self.text = text
+        self.paragraphs = [hashlib.blake2b(b"P" + line.encode("utf-8", "surrogatepass"), digest_size=16).digest() for line in text.split("\n")]
         self.sections: list[tuple[bytes, int, int]] = []
         start = 0
-        for i, p in enumerate(self.paragraphs, 1):
-            if p.digest[0] < 32 or i == len(self.paragraphs):
-                self.sections.append((_node(b"S", [x.digest for x in self.paragraphs[start:i]]), start, i))
+        for i, digest in enumerate(self.paragraphs, 1):
+            if digest[0] < 32 or i == len(self.paragraphs):
+                self.sections.append((_node(b"S", self.paragraphs[start:i]), start, i))
                 start = i
         self.root = _node(b"R", [s[0] for s in self.sections])
 
@@ -70,68 +56,74 @@ class Tree:
     def fingerprint(self) -> str:
         return self.root.hex()
 
-    def like(self, other: Tree) -> Tree:
-        """The text's tree with leaves as small as ``other``'s: this one, unless its own are larger."""
-        if self.leaf_chars <= other.leaf_chars:
-            return self
-        self.finer = self.finer or Tree(self.text, other, leaf_chars=other.leaf_chars)
-        return self.finer
-
-    def leaves_beside(self, other: Tree) -> tuple[Counter, int]:
-        """Code points by digest of the leaves in branches that ``other`` lacks, and those shared."""
-        shared_sections = Counter(s[0] for s in other.sections)
-        left: list[Paragraph] = []
-        same = 0
-        for digest, a, b in self.sections:
-            if shared_sections[digest] > 0:
-                shared_sections[digest] -= 1
-                same += sum(n for p in self.paragraphs[a:b] for _, n in p.leaves)
+    @cached_property
+    def pieces(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Digest, first code point, length and paragraph of each piece, in order."""
+        codes = np.frombuffer(self.text.encode("utf-32-le", "surrogatepass"), np.uint32)
+        units = np.array([m.span() for m in _UNIT.finditer(self.text)], np.int64).reshape(-1, 2)
+        many = -(-(units[:, 1] - units[:, 0]) // PIECE)
+        unit = np.repeat(np.arange(len(units)), many)
+        first = units[unit, 0] + PIECE * (np.arange(len(unit)) - np.repeat(np.cumsum(many) - many, many))
+        size = np.minimum(PIECE, units[unit, 1] - first)
+        digest = _mixed(size.astype(np.uint64) * _ODD[0])
+        for j in range(PIECE):
+            code = codes[np.minimum(first + j, len(codes) - 1)].astype(np.uint64) + np.uint64(1)
+            digest = np.where(j < size, _mixed(digest ^ (code * _ODD[j])), digest)
+        return digest, first, size, np.searchsorted(np.flatnonzero(codes == 10), first)
+
+    def beside(self, other: Tree) -> np.ndarray:
+        """Which paragraphs stand in branches that ``other`` lacks."""
+        sections, paragraphs = Counter(s[0] for s in other.sections), Counter(other.paragraphs)
+        alone = np.zeros(len(self.paragraphs), bool)
+        rest: list[int] = []
+        for digest, first, last in self.sections:
+            if sections[digest] > 0:
+                sections[digest] -= 1
+                paragraphs.subtract(self.paragraphs[first:last])
             else:
-                left += self.paragraphs[a:b]
-        found: Counter = Counter()
-        for p in left:
-            for digest, n in p.leaves:
-                found[digest] += n
-        return found, same
+                rest += range(first, last)
+        for k in rest:
+            if paragraphs[self.paragraphs[k]] > 0:
+                paragraphs[self.paragraphs[k]] -= 1
+            else:
+                alone[k] = True
+        return alone
 
 
 def likeness(a: Tree, b: Tree) -> float:
-    """The share of code points in leaves that both trees have: 1 for equal texts, 0 if none."""
+    """The share of code points in paragraphs, and pieces of others, that both trees have: 1 for
+    equal texts, 0 for texts that have nothing in common. Line feeds do not count."""
     if a.root == b.root:
         return 1.0
-    a, b = a.like(b), b.like(a)
-    mine, same = a.leaves_beside(b)
-    others, _ = b.leaves_beside(a)
-    total = sum(mine.values()) + sum(others.values()) + 2 * same
-    common = same + sum(min(n, others[d]) for d, n in mine.items() if d in others)
-    return 2 * common / total if total else 0.0
+    sides = [(t.pieces, t.beside(o)) for t, o in ((a, b), (b, a))]
+    total = sum(int(size.sum()) for (_, _, size, _), _ in sides)
+    if not total:
+        return 0.0
+    (d, _, size, paragraph), alone = sides[0]
+    rest = alone[paragraph]
+    common = int(size[~rest].sum())
+    mine, at_, counts = np.unique(d[rest], return_index=True, return_counts=True)
+    (e, _, _, paragraph), alone = sides[1]
+    others, other_counts = np.unique(e[alone[paragraph]], return_counts=True)
+    if len(mine) and len(others):
+        where = np.minimum(np.searchsorted(others, mine), len(others) - 1)
+        both = np.where(others[where] == mine, np.minimum(counts, other_counts[where]), 0)
+        common += int((both * size[rest][at_]).sum())
+    return min(1.0, 2 * common / total)
 
 
 def edits(a: Tree, b: Tree) -> list[tuple[int, int]]:
-    """Spans of code points of ``a`` whose leaves ``b`` lacks, in order."""
+    """Spans of code points of ``a`` whose pieces stand in no differing branch of ``b``, in order."""
     if a.root == b.root:
         return []
-    a, b = a.like(b), b.like(a)
-    sections = Counter(s[0] for s in b.sections)
-    paragraphs = Counter(p.digest for p in b.paragraphs)
-    leaves = Counter(d for p in b.paragraphs for d, _ in p.leaves)
-    spans: list[tuple[int, int]] = []
-    at_char = 0
-    for digest, first, last in a.sections:
-        whole = sections[digest] > 0
-        for p in a.paragraphs[first:last]:
-            if whole or paragraphs[p.digest] > 0:
-                at_char += sum(n for _, n in p.leaves)
-            else:
-                for d, n in p.leaves:
-                    if not leaves[d]:
-                        if spans and spans[-1][1] == at_char:
-                            spans[-1] = (spans[-1][0], at_char + n)
-                        else:
-                            spans.append((at_char, at_char + n))
-                    at_char += n
-            at_char += 1  # the line feed
-    return spans
+    digest, first, size, paragraph = a.pieces
+    other, _, _, other_paragraph = b.pieces
+    new = a.beside(b)[paragraph] & ~np.isin(digest, other[b.beside(a)[other_paragraph]])
+    first, last = first[new], (first + size)[new]
+    if not len(first):
+        return []
+    gaps = first[1:] > last[:-1]
+    return list(zip(first[np.concatenate([[True], gaps])].tolist(), last[np.concatenate([gaps, [True]])].tolist(), strict=True))
 
 
 def fingerprint(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -156,7 +148,7 @@ def edit_probe(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Returns the id, ``n_chars``, ``edited_sha256``, ``fingerprint``, ``edited_fingerprint``,
     ``near_edited`` and ``near_next`` (likeness to the edited text and to the next document) and
-    ``first_edit`` (code point where the first differing leaf begins; null where none differs).
+    ``first_edit`` (code point where the first differing piece begins; null where none differs).
     A null text counts as empty. Ids are integers; null ids come first, equal ids stand in order of
     their texts, nulls first. Other columns take no part. An empty table gives an empty table.
 
@@ -189,7 +181,7 @@ def edit_probe(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         def row(text: str, following: str, doc_id: int | None, tree: Tree, after: Tree) -> tuple:
             k = len(text) // 4
             edited = text[: len(text) - k] + following[:k]
-            other = Tree(edited, tree, after)
+            other = Tree(edited)
             spans = edits(tree, other)
             return (doc_id, len(text), hashlib.sha256(edited.encode()).hexdigest(), tree.fingerprint, other.fingerprint, likeness(tree, other), likeness(tree, after), spans[0][0] if spans else None)
 
