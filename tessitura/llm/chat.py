@@ -7,10 +7,10 @@ control strings ``<s> </s> [INST] [/INST]``. The parser is deterministic: it par
 
 Escaping sets a backslash after the first character of a control string, and one more where
 backslashes stand there already; unescaping takes one away. Everything else stays as it is.
-Every turn is rendered as it is, parsed again and compared; where the result differs from the
-source it is escaped (round 1). The parts of a conversation are then parsed and compared as a
-whole; where they differ, all of their turns are escaped (round 2); a part that still differed
-would raise an error.
+The turns of a part are rendered as they are, parsed again and compared (round 0). Where the result
+differs from the source, each turn is parsed by itself, and those that differ are escaped (round
+1). Where the part still differs, all of its turns are escaped (round 2); a part that differed even
+then would raise an error.
 
 All of it is built-in column functions. A conversation is formatted in parts of up to
 ``PART_TURNS`` turn numbers, so that one of any length is spread over tasks; parts in order,
@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessitura.llm.common import at, require
+from tessitura.llm.common import at, bound_to, require
 
 CONTROLS = ("<s>", "</s>", "[INST]", "[/INST]")
 OPEN, MID, CLOSE = "<s>[INST] ", " [/INST]", "</s>"
@@ -36,92 +36,100 @@ def escape(text: Column) -> Column:
 
 
 def unescape(text: Column) -> Column:
-    return F.regexp_replace(text, _PLACES.replace("{n}", "+") + r"\\", "$1")
+    return F.when(text.contains("\\"), F.regexp_replace(text, _PLACES.replace("{n}", "+") + r"\\", "$1")).otherwise(text)
 
 
 def render(role: Column, text: Column) -> Column:
     return F.concat(F.lit(OPEN), role, F.lit(MID), text, F.lit(CLOSE))
 
 
+def _clean(text: Column) -> Column:
+    """Whether a text holds no control string."""
+    return ~((text.contains("<") & (text.contains("<s>") | text.contains("</s>"))) | (text.contains("[") & (text.contains("[INST]") | text.contains("[/INST]"))))
+
+
 def _turn(piece: Column) -> Column:
     """Role and text of what stands before a close, or null where it is not a turn."""
-    rest = F.substring(piece, len(OPEN) + 1, 2**31 - 1)
-    mid = F.instr(rest, MID)
-    role = F.when(mid > 0, F.left(rest, mid - 1))
-    text = F.when(mid > 0, F.substring(rest, mid + len(MID), F.length(rest)))
-    clean = [~part.contains(c) for part in (role, text) for c in CONTROLS]
-    ok = piece.startswith(OPEN) & (mid > 0)
-    for c in clean:
-        ok = ok & c
-    return F.when(ok, F.struct(unescape(role).alias("role"), unescape(text).alias("text")))
+
+    def read(sides: Column) -> Column:
+        ok = (F.size(sides) == 2) & sides[0].startswith(OPEN)
+        made = bound_to(F.struct(F.substring(sides[0], len(OPEN) + 1, 2**31 - 1).alias("role"), F.get(sides, F.lit(1)).alias("text")), lambda t: F.when(_clean(t["role"]) & _clean(t["text"]), F.struct(unescape(t["role"]).alias("role"), unescape(t["text"]).alias("text"))))
+        return F.when(ok, made)
+
+    return bound_to(F.split(piece, r" \[/INST\]", 2), read)
 
 
 def parse(formatted: Column) -> Column:
     """Turns of formatted text, an array of (role, text); null where it is not in the grammar."""
-    pieces = F.split(formatted, CLOSE, -1)
-    turns = F.transform(F.slice(pieces, F.lit(1), F.size(pieces) - 1), _turn)
-    return F.when((F.element_at(pieces, -1) == "") & F.forall(turns, lambda t: t.isNotNull()), turns)
+
+    def read(pieces: Column) -> Column:
+        turns = F.transform(F.slice(pieces, F.lit(1), F.size(pieces) - 1), _turn)
+        return F.when(F.element_at(pieces, -1) == "", bound_to(turns, lambda t: F.when(F.forall(t, lambda x: x.isNotNull()), t)))
+
+    return bound_to(F.split(formatted, CLOSE, -1), read)
 
 
 def format_chats(conversations: DataFrame, id_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", loss_role: str = "assistant") -> DataFrame:
     """Formats conversations; returns the id, ``part`` (in order, null first), ``n_turns``,
     ``rounds`` (0: nothing escaped, 1: some turns, 2: all), ``formatted`` and ``loss_spans``.
 
-    ``loss_spans`` has ``start`` and ``length`` in code points of ``formatted`` for the text of
-    each turn of ``loss_role``. Turns stand by turn number, then role, then text; null numbers
+    ``loss_spans`` has ``start`` and ``length`` in code points of ``formatted``, and ``byte`` and
+    ``bytes`` in its UTF-8, for the text of each turn of ``loss_role``. Turns stand by turn number, then role, then text; null numbers
     come first, repeated rows stand beside each other. A null role or text counts as empty; null
     ids are one conversation. Other columns take no part. An empty table gives an empty table.
     """
     require(conversations, id_col, turn_col, role_col, text_col)
     turns = conversations.select(at(conversations, id_col).alias("id"), at(conversations, turn_col).alias("turn"), F.coalesce(at(conversations, role_col), F.lit("")).alias("role"), F.coalesce(at(conversations, text_col), F.lit("")).alias("text"))
-    source = F.array(F.struct("role", "text"))
-    turns = turns.withColumn("raw", parse(render(F.col("role"), F.col("text"))).eqNullSafe(source))
-    parts = turns.groupBy("id", F.floor(F.col("turn") / PART_TURNS).alias("part")).agg(F.sort_array(F.collect_list(F.struct("turn", "role", "text", "raw"))).alias("turns"))
-
-    def body(raw: Column, text: Column) -> Column:
-        return F.when(raw, text).otherwise(escape(text))
-
-    def drawn(every: bool) -> Column:
-        # role and text as they stand in the output
-        keep = (lambda t: F.lit(False)) if every else (lambda t: t["raw"])
-        return F.transform("turns", lambda t: F.struct(body(keep(t), t["role"]).alias("role"), body(keep(t), t["text"]).alias("text"), (t["role"] == loss_role).alias("loss")))
+    parts = turns.groupBy("id", F.floor(F.col("turn") / PART_TURNS).alias("part")).agg(F.sort_array(F.collect_list(F.struct("turn", "role", "text"))).alias("turns"))
+    parts = parts.withColumn("given", F.transform("turns", lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text")))).drop("turns")
 
     def whole(column: str) -> Column:
         return F.array_join(F.transform(column, lambda t: render(t["role"], t["text"])), "")
 
-    given = F.transform("turns", lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text")))
-    parts = parts.withColumn("drawn", drawn(False)).withColumn("formatted", whole("drawn"))
-    parts = parts.withColumn("same", parse(F.col("formatted")).eqNullSafe(given))
-    parts = parts.withColumn("drawn", F.when(F.col("same"), F.col("drawn")).otherwise(drawn(True)))
+    def escaped(t: Column) -> Column:
+        return F.struct(escape(t["role"]).alias("role"), escape(t["text"]).alias("text"))
+
+    def differs(t: Column) -> Column:
+        return ~parse(render(t["role"], t["text"])).eqNullSafe(F.array(t))
+
+    parts = parts.withColumn("formatted", whole("given"))
+    parts = parts.withColumn("same", parse(F.col("formatted")).eqNullSafe(F.col("given"))).withColumn("rounds", F.when(F.col("same"), 0).otherwise(1))
+    parts = parts.withColumn("drawn", F.when(F.col("same"), F.col("given")).otherwise(F.transform("given", lambda t: F.when(differs(t), escaped(t)).otherwise(t))))
+    parts = parts.withColumn("formatted", F.when(F.col("same"), F.col("formatted")).otherwise(whole("drawn")))
+    parts = parts.withColumn("same", F.col("same") | parse(F.col("formatted")).eqNullSafe(F.col("given"))).withColumn("rounds", F.when(F.col("same"), F.col("rounds")).otherwise(2))
+    parts = parts.withColumn("drawn", F.when(F.col("same"), F.col("drawn")).otherwise(F.transform("given", escaped)))
     parts = parts.withColumn("formatted", F.when(F.col("same"), F.col("formatted")).otherwise(whole("drawn")))
-    right = F.when(F.col("same"), True).otherwise(parse(F.col("formatted")).eqNullSafe(given))
+    right = F.when(F.col("same"), True).otherwise(parse(F.col("formatted")).eqNullSafe(F.col("given")))
     parts = parts.withColumn("formatted", F.when(right, F.col("formatted")).otherwise(F.raise_error(F.lit("a conversation does not survive the round trip"))))
-    nothing = F.array().cast("array<struct<start:int,length:int>>")
+    parts = parts.withColumn("marks", F.zip_with("given", "drawn", lambda g, d: F.struct((g["role"] == loss_role).alias("loss"), F.length(d["role"]).alias("role"), F.length(d["text"]).alias("text"), F.octet_length(d["role"]).alias("role_bytes"), F.octet_length(d["text"]).alias("text_bytes"))))
+    nothing = F.array().cast("array<struct<start:int,length:int,byte:int,bytes:int>>")
+    before, after = len(OPEN) + len(MID), len(OPEN) + len(MID) + len(CLOSE)
     spans = F.aggregate(
-        "drawn",
-        F.struct(F.lit(0).alias("end"), nothing.alias("spans")),
+        "marks",
+        F.struct(F.lit(0).alias("end"), F.lit(0).alias("byte"), nothing.alias("spans")),
         lambda s, t: F.struct(
-            (s["end"] + F.length(t["role"]) + F.length(t["text"]) + (len(OPEN) + len(MID) + len(CLOSE))).alias("end"),
-            F.when(t["loss"], F.array_append(s["spans"], F.struct((s["end"] + F.length(t["role"]) + (len(OPEN) + len(MID))).alias("start"), F.length(t["text"]).alias("length")))).otherwise(s["spans"]).alias("spans"),
+            (s["end"] + t["role"] + t["text"] + after).alias("end"),
+            (s["byte"] + t["role_bytes"] + t["text_bytes"] + after).alias("byte"),
+            F.when(t["loss"], F.array_append(s["spans"], F.struct((s["end"] + t["role"] + before).alias("start"), t["text"].alias("length"), (s["byte"] + t["role_bytes"] + before).alias("byte"), t["text_bytes"].alias("bytes")))).otherwise(s["spans"]).alias("spans"),
         ),
         lambda s: s["spans"],
     )
-    rounds = F.when(~F.col("same"), 2).when(F.exists("turns", lambda t: ~t["raw"]), 1).otherwise(0)
-    return parts.select(F.col("id").alias(id_col), "part", F.size("turns").cast("long").alias("n_turns"), rounds.alias("rounds"), "formatted", spans.alias("loss_spans"))
+    return parts.select(F.col("id").alias(id_col), "part", F.size("given").cast("long").alias("n_turns"), "rounds", "formatted", spans.alias("loss_spans"))
 
 
 def read_back(formatted: DataFrame, id_col: str = "conv_id") -> DataFrame:
     """What formatted parts hold, a row for each conversation: turns parsed from the text, and
     the unescaped text under the loss mask, as counts and digests."""
     require(formatted, id_col, "part", "formatted", "loss_spans")
-    turns = parse(F.col("formatted"))
-    parts = formatted.select(
+    data = F.col("formatted").cast("binary")
+    parts = formatted.select(F.col(id_col), "part", parse(F.col("formatted")).alias("parsed"), F.transform("loss_spans", lambda s: unescape(F.substring(data, s["byte"] + 1, s["bytes"]).cast("string"))).alias("masked"), F.length("formatted").alias("chars"))
+    parts = parts.select(
         F.col(id_col),
         "part",
-        F.size(turns).alias("n"),
-        F.array_join(F.transform(turns, lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "").alias("turns"),
-        F.array_join(F.transform("loss_spans", lambda s: unescape(F.substring(F.col("formatted"), s["start"] + 1, s["length"]))), "").alias("loss"),
-        F.length("formatted").alias("chars"),
+        F.size("parsed").alias("n"),
+        F.array_join(F.transform("parsed", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "").alias("turns"),
+        F.array_join("masked", "").alias("loss"),
+        "chars",
     )
     whole = parts.groupBy(id_col).agg(F.sort_array(F.collect_list(F.struct("part", "turns", "loss"))).alias("parts"), F.sum("n").alias("n_turns"), F.sum("chars").alias("formatted_chars"))
     turns, loss = (F.array_join(F.col("parts")[name], "") for name in ("turns", "loss"))

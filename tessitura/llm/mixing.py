@@ -1,30 +1,28 @@
 """Mixing sources to target weights by a multivariate-hypergeometric splitting tree.
 
-Each source's documents stand on a line in the order of a seeded hash, so many words long as the
-source; the line repeats. A source gives as many words as its target, from the line's start, so
-a document is taken a whole number of times, and one document of each source up to where the
-target ends. The line is cut into blocks of ``block_words`` words; a document belongs to the
-block that its first word is in. The tree halves the output shards: at each node the blocks of
-every source go left or right by one draw of the multivariate hypergeometric distribution, so
-each shard gets an exact quota of every source's blocks. The blocks of a source are permuted by
-a keyed permutation of their numbers (swap-or-not rounds), shards take disjoint runs of the
-permuted numbers, and rows within a shard are ordered by another hash.
+Each source's documents stand on a line in the order of a seeded hash, as many words long as the
+source, and the line stands ``most`` times in a row: these are the words that a source has to
+give. It is cut into blocks of ``block_words`` words, which a keyed permutation of their
+numbers (swap-or-not rounds) deals out to places. A source gives as many words as its target: the
+blocks at the first places, the last of them cut to fit. The tree says which shard gets which: it
+halves the output shards, and at each node the blocks of every source go left or right by one draw
+of the multivariate hypergeometric distribution, so each shard gets an exact quota of every
+source's blocks, and takes a run of places of its own. What a document gives is what shards take
+of the blocks that it lies in. Rows within a shard are ordered by another hash.
 
 Everything is built-in column functions. Positions on a line come from sums of 1,024 slices of
 each source's hash range and running sums inside a slice, so a source with a third of all rows
-is spread over tasks. Tables by source and by slice are aggregates; the quotas are worked out
-in one row that holds a number for each source.
+is spread over tasks; whole rows are shuffled once, to their slices. Tables by source and by slice
+are aggregates; the quotas are worked out in one row that holds a number for each source.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tessitura.llm.common import WORD, Scratch, at, fresh, require, unit
+from tessitura.llm.common import WORD, Scratch, at, bound_to, fresh, require, unit
 
 WEIGHTS = (5.0, 2.0, 1.0)
 MOST_COPIES = 3
@@ -133,19 +131,34 @@ def permuted(number: Column, size: Column, seed: int, key: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), number, step)
 
 
-def bound_to(value: Column, use: Callable[[Column], Column]) -> Column:
-    """``use`` of a value that is worked out once, however often it is named."""
-    return F.transform(F.array(value), lambda v: use(v))[0]
+def _goals(sizes: DataFrame, weights: tuple[float, ...], most: int, shards: int, block_words: int, seed: int) -> DataFrame:
+    """For (key, source, source_size): the target, the number of ``blocks``, how many of them are
+    ``given``, the words ``last_words`` of the last of those, and ``upto`` (see ``quotas``).
+
+    All blocks but that of the highest number have ``block_words`` words. Where that one is at one of
+    the places given, the words it lacks come from one place more.
+    """
+    goals = targets(sizes, weights, most)
+    goals = goals.withColumn("quota", F.round("target").cast("long")).withColumn("blocks", F.ceil(most * F.col("source_size") / block_words).cast("long"))
+    short = (F.col("blocks") * block_words - most * F.col("source_size")).cast("long")  # what the last number lacks
+    goals = goals.withColumn("short_at", F.when(F.col("blocks") > 0, permuted(F.col("blocks") - 1, F.col("blocks"), seed + 1000, F.col("rank"))))
+    plain = F.ceil(F.col("quota") / block_words).cast("long")
+    goals = goals.withColumn("given", plain + ((F.col("short_at") < plain) & (plain * block_words - short < F.col("quota"))).cast("long"))
+    goals = goals.withColumn("given", F.coalesce("given", F.lit(0).cast("long")))
+    before = (F.col("given") - 1) * block_words - F.when(F.col("short_at") < F.col("given") - 1, short).otherwise(0)
+    goals = goals.withColumn("last_words", F.col("quota") - before)
+    return goals.join(quotas(goals.select("rank", F.col("given").alias("blocks")), shards, seed), "rank", "left").select("key", "source_size", "target", "blocks", "given", "last_words", "upto", "rank")
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", weights: tuple[float, ...] = WEIGHTS, most: int = MOST_COPIES, shards: int = SHARDS, block_words: int = BLOCK_WORDS, seed: int = SEED, cut: bool = True, keep: list[str] | None = None) -> DataFrame:
     """Returns the columns ``keep`` of ``docs`` (all by default), a row for each row, with
     ``size``, ``source_size``, ``target``, ``draws`` and ``taken``.
 
-    ``draws`` has an entry for each time that the mix takes the document: ``copy``, ``words``
-    (fewer than the size where the target ends inside it), ``block``, ``shard`` and ``order``
-    (to sort a shard by). ``cut=False`` takes the last document of a source whole if half of it or
-    more is within the target, and else not. ``taken`` is the sum of the words.
+    ``draws`` has an entry for each piece of the document that a shard takes: ``copy`` (of the
+    line), ``words``, ``block``, ``shard`` and ``order`` (to sort a shard by). ``taken`` is the sum
+    of the words; those of a source come to its target, rounded. With ``cut=False`` documents are
+    taken whole: as many copies as the words taken make, rounded up or down with the odds of the
+    rest, each in the shard that takes its first piece.
 
     A null or empty text has size 0 and is taken as often as its place on the line, for 0 words.
     A null source is a source. Null ids and repeated rows are rows like others. Where ``docs``
@@ -156,35 +169,67 @@ def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", tex
     keep = docs.columns if keep is None else keep
     scratch = Scratch(docs.sparkSession, "mix")
     new = {n: fresh(docs, n) for n in ("size", "source_size", "target", "draws", "taken")}
-    own = {n: fresh(docs, f"mix_{n}") for n in ("source", "size", "hash", "slice", "row")}
-    rows = docs.withColumns({own["source"]: at(docs, source_col).cast("string"), own["size"]: word_count(at(docs, text_col)), own["hash"]: F.xxhash64(F.lit(seed), at(docs, id_col).cast("string"), at(docs, source_col).cast("string")), own["row"]: F.monotonically_increasing_id()})
-    rows = rows.select(*("`" + c.replace("`", "``") + "`" for c in dict.fromkeys([*keep, *(own[n] for n in ("source", "size", "hash", "row"))])))
-    saved = scratch.save(rows, "rows")
-    line = saved.select(*(F.col(own[n]).alias(n) for n in ("source", "size", "hash", "row")), F.shiftrightunsigned(own["hash"], 54).cast("int").alias("slice"), F.coalesce(F.concat(F.lit("="), F.col(own["source"])), F.lit("")).alias("key"))
-    slices = scratch.save(line.groupBy("key", "source", "slice").agg(F.sum("size").alias("words")), "slices")
-    goals = targets(slices.groupBy("key", "source").agg(F.sum("words").alias("source_size")), weights, most)
-    goals = goals.withColumn("quota", F.round("target").cast("long")).withColumn("blocks", F.ceil(F.col("quota") / block_words).cast("long"))
-    goals = scratch.save(goals, "targets")
-    goals = scratch.save(goals.join(quotas(goals.select("rank", "blocks"), shards, seed), "rank", "left"), "quotas").select("key", "source_size", "target", "quota", "blocks", "upto", "rank")
+    own = {n: fresh(docs, f"mix_{n}") for n in ("key", "size", "hash", "slice", "tie", "start")}
+    key = F.coalesce(F.concat(F.lit("="), at(docs, source_col).cast("string")), F.lit(""))
+    spread = F.xxhash64(F.lit(seed), at(docs, id_col).cast("string"), at(docs, source_col).cast("string"))
+    rows = docs.withColumns({own["key"]: key, own["size"]: word_count(at(docs, text_col)), own["hash"]: spread, own["slice"]: F.shiftrightunsigned(spread, 54).cast("int")})
+    slices = rows.groupBy(own["key"], own["slice"]).agg(F.sum(own["size"]).alias("words")).withColumnsRenamed({own["key"]: "key", own["slice"]: "slice"})
+    slices = scratch.save(slices, "slices")
+    sources = slices.groupBy("key").agg(F.sum("words").alias("source_size")).withColumn("source", F.when(F.col("key") != "", F.substring("key", 2, 2**31 - 1)))
+    goals = scratch.save(_goals(sources, weights, most, shards, block_words, seed), "goals")
     starts = slices.select("key", "slice", (F.sum("words").over(Window.partitionBy("key").orderBy("slice")) - F.col("words")).alias("before"))
-    inside = Window.partitionBy("key", "slice").orderBy("hash", "size", "row").rowsBetween(Window.unboundedPreceding, 0)
-    line = line.select("key", "slice", "row", "size", "hash", (F.sum("size").over(inside) - F.col("size")).alias("inside"))
-    line = line.join(starts, ["key", "slice"]).join(goals, "key")
-    start = F.col("before") + F.col("inside")
-    copies = F.coalesce(F.try_divide("quota", "source_size"), F.lit(0.0)).cast("int")
-    rest = F.col("quota") - copies * F.col("source_size")
-    part = F.least(F.greatest(rest - start, F.lit(0)), F.col("size"))
-    last = (start < rest) & (F.lit(cut) | (2 * part >= F.col("size")))
-
-    def entry(copy: Column) -> Column:
-        block = F.floor((copy * F.col("source_size") + start) / block_words).cast("long")
-        place = permuted(F.least(block, F.col("blocks") - 1), F.col("blocks"), seed + 1000, F.col("rank"))
-        words = F.when(copy < copies, F.col("size")).otherwise(part if cut else F.col("size"))
-        drawn = lambda shard: F.struct(copy.cast("int").alias("copy"), words.alias("words"), block.alias("block"), shard.alias("shard"), F.xxhash64(F.lit(seed + 1), shard, copy, F.col("hash"), F.col("row")).alias("order"))
-        return bound_to(place, lambda p: bound_to(F.size(F.filter("upto", lambda u: u <= p)), drawn))
-
-    taken = F.transform(F.filter(F.sequence(F.lit(0), F.lit(most)), lambda c: (c < copies) | ((c == copies) & last)), entry)
-    plan = line.select("row", "size", "source_size", "target", taken.alias("draws"))
-    plan = plan.select("row", *(F.col(n).alias(new[n]) for n in ("size", "source_size", "target", "draws")), F.aggregate("draws", F.lit(0).cast("long"), lambda a, d: a + d["words"]).alias(new["taken"]))
-    out = saved.drop(*(own[n] for n in ("source", "size", "hash"))).join(plan, saved[own["row"]] == plan["row"])
-    return out.select(*("`" + c.replace("`", "``") + "`" for c in keep), *new.values())
+    # a row for each slice of a source, with what holds for the source
+    plan = scratch.save(starts.join(goals, "key"), "plan").withColumnsRenamed({n: f"mix plan {n}" for n in ("before", "source_size", "target", "blocks", "given", "last_words", "upto", "rank")})
+    plan = plan.withColumnsRenamed({"key": own["key"], "slice": own["slice"]})
+    # equal ids stand by the text; what is equal in all is taken alike
+    rows = rows.withColumn(own["tie"], F.xxhash64(at(docs, text_col)))
+    inside = Window.partitionBy(own["key"], own["slice"]).orderBy(own["hash"], own["size"], own["tie"]).rowsBetween(Window.unboundedPreceding, 0)
+    line = rows.select(*("`" + c.replace("`", "``") + "`" for c in dict.fromkeys([*keep, *(own[n] for n in ("key", "slice", "size", "hash", "tie"))])), (F.sum(own["size"]).over(inside) - F.col(own["size"])).alias(own["start"]))
+    line = line.join(plan, [own["key"], own["slice"]])
+    p = {n: F.col(f"`mix plan {n}`") for n in ("before", "source_size", "target", "blocks", "given", "last_words", "upto", "rank")}
+    start, size = p["before"] + F.col(own["start"]), F.col(own["size"])
+
+    def pieces(copy: Column) -> Column:
+        begin = copy * p["source_size"] + start
+        last = p["blocks"] - 1
+        first = F.least(F.floor(begin / block_words).cast("long"), last)
+        numbers = F.sequence(first, F.greatest(first, F.least(F.floor((begin + size - 1) / block_words).cast("long"), last)))
+
+        def piece(block: Column) -> Column:
+            def dealt(place: Column) -> Column:
+                shard = F.size(F.filter(p["upto"], lambda u: u <= place))
+                upto = block * block_words + F.when(place == p["given"] - 1, p["last_words"]).otherwise(block_words)
+                words = F.greatest(F.least(begin + size, upto) - F.greatest(begin, block * block_words), F.lit(0))
+                order = F.xxhash64(F.lit(seed + 1), block, copy, F.col(own["hash"]), F.col(own["tie"]))
+                return F.struct(copy.cast("int").alias("copy"), words.cast("long").alias("words"), block.alias("block"), shard.alias("shard"), order.alias("order"))
+
+            return bound_to(permuted(block, p["blocks"], seed + 1000, p["rank"]), dealt)
+
+        # places from the number of shards on are not given to any
+        return F.filter(F.transform(numbers, piece), lambda d: (d["shard"] < shards) & ((d["words"] > 0) | (size == 0)))
+
+    copies = F.sequence(F.lit(0), F.lit(most - 1))
+    none = F.array().cast("array<struct<copy:int,words:bigint,block:bigint,shard:int,order:bigint>>")
+    by_copy = F.when(p["blocks"] > 0, F.transform(copies, pieces)).otherwise(F.array(none))
+    line = line.withColumn("mix plan pieces", by_copy)
+    total = lambda d: F.aggregate(d, F.lit(0).cast("long"), lambda a, x: a + x["words"])
+    if cut:
+        draws = F.flatten("mix plan pieces")
+    else:
+        given = F.filter("mix plan pieces", lambda d: F.size(d) > 0)
+        ranked = F.sort_array(F.transform(given, lambda d: F.struct((-total(d)).alias("less"), d[0].alias("d"))))
+        share = total(F.flatten(given)) / size
+        many = F.when(size == 0, F.size(given)).otherwise(F.floor(F.when(size > 0, share) + unit(seed + 2, F.col(own["hash"]), F.col(own["tie"]))).cast("int"))
+        draws = F.transform(F.slice(ranked, F.lit(1), F.least(many, F.size(given))), lambda r: r["d"].withField("words", size))
+    line = line.withColumn("mix plan draws", draws)
+    made = {"size": size, "source_size": p["source_size"], "target": p["target"], "draws": F.col("mix plan draws"), "taken": total(F.col("mix plan draws"))}
+    return line.select(*("`" + c.replace("`", "``") + "`" for c in keep), *(c.alias(new[n]) for n, c in made.items()))
+
+
+def shuffled(mixed: DataFrame, draws: str = "draws", slices: int = 64) -> DataFrame:
+    """A row for each draw of a mix: the row's own columns, with ``shard`` and ``order`` of the draw,
+    in this order within partitions. A shard is dealt to tasks in ``slices`` ranges of the order."""
+    rows = mixed.select(*(c for c in mixed.columns if c != draws), F.explode(draws).alias("draw"))
+    rows = rows.select("*", F.col("draw.shard").alias("shard"), F.col("draw.order").alias("order")).drop("draw")
+    place = F.pmod(F.shiftright("order", 40), F.lit(slices)) if slices & (slices - 1) else F.shiftrightunsigned(F.col("order").bitwiseXOR(F.lit(-(2**63))), 64 - slices.bit_length() + 1)
+    return rows.repartition("shard", place).sortWithinPartitions("shard", place, "order")

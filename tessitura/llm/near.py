@@ -19,9 +19,10 @@ similar to each other in one of two ways, by their overlaps with the center and
 - Or it may suffice, which takes a partner smaller than the center. Such nodes form a smaller
   band without the center.
 
-Groups of either kind of up to ``SMALL_BAND`` nodes are confirmed pair by pair; larger ones are the
-bands of the next round, with a center of their own, unless they are one component already. Each
-round takes a center out of each band, so rounds end with the input.
+Smaller bands of up to ``SMALL_BAND`` nodes, and groups of up to ``SMALL_GROUP`` that share a shingle, are
+confirmed pair by pair where sizes and overlaps allow it; larger ones are the bands of the next
+round, with a center of their own, unless they are one component already. Each round takes a
+center out of each band, so rounds end with the input.
 
 So groups of near copies, and documents around one common passage, cost about a comparison a
 node, and yet every pair of a band that could be similar is confirmed or refuted. Sets stream
@@ -30,7 +31,6 @@ past the center's set, which is sent once for a few hundred nodes (``PER_SALT``)
 
 from __future__ import annotations
 
-import functools
 import hashlib
 import itertools
 from collections.abc import Iterator
@@ -49,6 +49,7 @@ ROWS, BANDS = 5, 40
 BINS = ROWS * BANDS
 PERCENT = 80
 SMALL_BAND = 64
+SMALL_GROUP = 1024
 #: A center's set is sent again for about so many nodes, by its band neighbours in all bands.
 PER_SALT = 8192
 
@@ -220,14 +221,12 @@ def _prefixes(met: DataFrame, percent: int) -> DataFrame:
     return ranked.where(F.col("extra") - F.col("many") + F.col("rank") <= F.col("extra") - F.col("t") + 1).select("c", "node", "n", "overlap", "linked", "extra", "item")
 
 
-def _labels(links: list[DataFrame]) -> DataFrame:
-    """(node, label) for the ends of links: equal labels are of one component, which two steps to
-    the smallest neighbour make of most groups."""
-    edges = functools.reduce(DataFrame.unionByName, links)
-    both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct()
-    first = both.groupBy("u").agg(F.least("u", F.min("v")).alias("label"))
-    second = both.join(first.withColumnRenamed("u", "v"), "v").groupBy("u").agg(F.min("label").alias("near"))
-    return first.join(second, "u").select(F.col("u").alias("node"), F.least("label", "near").alias("label"))
+def _named(links: DataFrame, state: DataFrame) -> DataFrame:
+    """Links between the components that their ends are in."""
+    comp = state.select("node", "comp").unionByName(state.select(F.col("c").alias("node"), F.col("c").alias("comp"))).groupBy("node").agg(F.min("comp").alias("comp"))
+    left = comp.select(F.col("node").alias("u"), F.col("comp").alias("cu"))
+    right = comp.select(F.col("node").alias("v"), F.col("comp").alias("cv"))
+    return links.join(left, "u").join(right, "v").select(F.col("cu").alias("u"), F.col("cv").alias("v"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = PERCENT) -> DataFrame:
@@ -253,7 +252,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     live = scratch.save(banded.groupBy("band").agg(F.min("node").alias("x"), F.max("node").alias("y"), F.count("*").alias("m")).where("x < y").select("band", "m"), "live")
     state = scratch.save(banded.join(live, "band").distinct(), "banded")
     central = state.groupBy("node").agg(F.sum("m").alias("central"))
-    state = scratch.save(state.drop("m").join(central, "node"), "state-0")
+    state = scratch.save(state.drop("m").join(central, "node").withColumn("comp", F.col("node")), "state-0")
     scratch.drop("live", "banded")
     sets = scratch.save(_full_sets(rows.join(state.select(F.col("node").alias("id")).distinct(), "id", "left_semi"), words), "sets")
     found: list[DataFrame] = []
@@ -271,17 +270,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         parts = scratch.save(_prefixes(met, percent), f"parts-{i}")
         open_ = ~F.col("linked")
         sharing = parts.groupBy("c", "item").agg(F.count("*").alias("m"), F.bool_or(open_).alias("open")).where("m > 1 AND open").drop("open")
-        few = parts.join(sharing.where(F.col("m") <= SMALL_BAND), ["c", "item"])
+        few = parts.join(sharing.where(F.col("m") <= SMALL_GROUP), ["c", "item"])
         other = few.select("c", "item", *(F.col(x).alias(f"o_{x}") for x in ("node", "n", "overlap", "linked", "extra")))
         need = percent * (F.col("n") + F.col("o_n"))
         can = (100 + percent) * (F.least("overlap", "o_overlap") + F.least("extra", "o_extra")) >= need
         not_both = (F.col("node") < F.col("o_node")) & ~(F.col("linked") & F.col("o_linked"))
         tried = few.join(other, ["c", "item"]).where(not_both & can).select(F.col("node").alias("a"), F.col("o_node").alias("b"))
-        many = parts.join(sharing.where(F.col("m") > SMALL_BAND), ["c", "item"]).select(F.xxhash64("c", "item").alias("band"), "node", "n", F.col("m").alias("central"))
+        many = parts.join(sharing.where(F.col("m") > SMALL_GROUP), ["c", "item"]).select(F.xxhash64("c", "item").alias("band"), "node", "n", F.col("m").alias("central"))
         # nodes that could be similar to one another by what they share with the center alone
         rest = state.join(met.select("c", "node", "overlap", "linked"), ["c", "node"]).withColumn("room", most("overlap", "n"))
-        bounds = rest.groupBy("band").agg(F.min(F.when(open_, F.col("n"))).alias("open_low"), F.max(F.when(open_, F.col("room"))).alias("open_room"))
-        rest = rest.join(bounds, "band").where(F.when(open_, F.col("room") >= F.col("low")).otherwise((F.col("n") <= F.col("open_room")) & (F.col("room") >= F.col("open_low"))))
+        bounds = rest.groupBy("band").agg(F.min("n").alias("least"), F.min(F.when(open_, F.col("n"))).alias("open_low"), F.max(F.when(open_, F.col("room"))).alias("open_room"))
+        rest = rest.join(bounds, "band").where(F.when(open_, F.col("room") >= F.col("least")).otherwise((F.col("n") <= F.col("open_room")) & (F.col("room") >= F.col("open_low"))))
         rest = scratch.save(rest.select("band", "node", "n", "central", "overlap", "linked"), f"rest-{i}")
         left = rest.groupBy("band").agg(F.count("*").alias("left")).where("left > 1")
         few = rest.join(left.where(F.col("left") <= SMALL_BAND), "band")
@@ -289,14 +288,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         enough = (100 + percent) * F.least("overlap", "o_overlap") >= need
         tried = tried.unionByName(few.join(peer, "band").where(not_both & enough).select(F.col("node").alias("a"), F.col("o_node").alias("b")))
         tried = scratch.save(tried.distinct(), f"tried-{i}")
-        found += [met.where("linked").select(F.col("c").alias("u"), F.col("node").alias("v")), scratch.save(_confirmed(tried, sets, percent), f"links-{i}")]
-        following = scratch.save(rest.join(left.where(F.col("left") > SMALL_BAND), "band", "left_semi").select("band", "node", "n", "central").unionByName(many), f"following-{i}")
-        scratch.drop(f"parts-{i}", f"tried-{i}", f"rest-{i}", f"centered-{i}")
+        linked = met.where("linked").select(F.col("c").alias("u"), F.col("node").alias("v"))
+        links = scratch.save(linked.unionByName(_confirmed(tried, sets, percent)), f"links-{i}")
+        found.append(links)
+        following = rest.join(left.where(F.col("left") > SMALL_BAND), "band", "left_semi").select("band", "node", "n", "central").unionByName(many)
+        following = scratch.save(following.join(state.select("node", "comp").distinct(), "node"), f"following-{i}")
         if following.isEmpty():
             break
-        labelled = following.join(_labels(found), "node", "left").withColumn("label", F.coalesce("label", "node"))
-        still = labelled.groupBy("band").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x < y").select("band")
-        state = scratch.save(following.join(still, "band", "left_semi"), f"state-{i + 1}")
+        merged = components(_named(links, state), scratch, f"merge-{i}")
+        renamed = following.join(merged.withColumnRenamed("v", "comp"), "comp", "left").select("band", "node", "n", "central", F.coalesce("root", "comp").alias("comp"))
+        still = renamed.groupBy("band").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x < y").select("band")
+        state = scratch.save(renamed.join(still, "band", "left_semi"), f"state-{i + 1}")
+        scratch.drop(*(n for n in scratch.names if n.endswith(f"-{i}") and n != f"links-{i}" and not n.startswith("state") or n.startswith(f"merge-{i}-")))
     out = sketched.select("id", "n", "d1", "d2").join(reps, ["d1", "d2"], "left")
     # a document with several texts ties the nodes that stand for them
     several = out.where("n > 0 AND id IS NOT NULL").groupBy("id").agg(F.min("node").alias("x"), F.max("node").alias("y")).where("x < y").select("id")

@@ -43,7 +43,7 @@ def test_only_turns_have_bare_controls(spark):
     formatted, _ = run(spark, [(1, 0, "user", HARD[0], "", 0), (1, 1, "assistant", HARD[6], "", 0)])
     text = formatted.first().formatted
     assert text.count("</s>") == 2 == text.count("[/INST]") == text.count("<s>")
-    a, b = formatted.first().loss_spans[0]
+    a, b, *_ = formatted.first().loss_spans[0]
     assert text[a : a + b].replace("\\", "") == HARD[6]
 
 

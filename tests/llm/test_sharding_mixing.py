@@ -91,13 +91,83 @@ def test_mix(spark):
     assert key(got) == key(again)
 
 
+def plain_mix(rows, upto, quota, most, block_words, seed_places, start_of):
+    """What each row gives, word by word: blocks at the places that shards take, the last one cut."""
+    out = {}
+    for i, (source, size) in enumerate(rows):
+        n = sum(z for x, z in rows if x == source)
+        blocks = [list(range(b, min(b + block_words, most * n))) for b in range(0, most * n, block_words)]
+        taken, left = set(), quota[source]
+        for place in range(len(blocks)):
+            if place < upto[source][-1]:
+                words = blocks[seed_places[source].index(place)][:left]
+                taken |= set(words)
+                left -= len(words)
+        out[i] = sum(c * n + start_of[i] + k in taken for c in range(most) for k in range(size))
+    return out
+
+
+def test_mix_against_word_by_word(spark):
+    """Each document's words against a plain walk over the blocks, places and quotas of the tree."""
+    block_words, seed = 16, mixing.SEED
+    given = [(i, words(1 + i * 7 % 40), "ab"[i % 3 > 0]) for i in range(60)]
+    df = spark.createDataFrame(given, "doc_id long, text string, source string")
+    got = {r.doc_id: r for r in mixing.mix(df, block_words=block_words).collect()}
+    h = {r.doc_id: r.h for r in df.select("doc_id", F.xxhash64(F.lit(seed), F.col("doc_id").cast("string"), "source").alias("h")).collect()}
+    sizes = Counter()
+    for _, t, s in given:
+        sizes[s] += len(t.split())
+    goal = {s: round(t) for s, t in water(sizes).items()}
+    start, at = {}, Counter()
+    for i, t, s in sorted(given, key=lambda r: h[r[0]] % 2**64):
+        start[i] = at[s]
+        at[s] += len(t.split())
+    frame = spark.createDataFrame([("=" + s, s, n) for s, n in sizes.items()], "key string, source string, source_size long")
+    goals = {r.key[1:]: r for r in mixing._goals(frame, mixing.WEIGHTS, 3, 8, block_words, seed).collect()}
+    places = {s: [r[0] for r in spark.range(g.blocks).select(mixing.permuted(F.col("id"), F.lit(g.blocks), seed + 1000, F.lit(g.rank))).collect()] for s, g in goals.items()}
+    want = plain_mix([(s, len(t.split())) for _, t, s in given], {s: g.upto for s, g in goals.items()}, goal, 3, block_words, places, start)
+    assert {i: r.taken for i, r in got.items()} == want
+    for s in goal:
+        assert sum(want[i] for i, _, x in given if x == s) == goal[s]
+
+
+def test_the_tree_decides(spark, monkeypatch):
+    """What documents give changes if the tree's quotas or the permutation are replaced by stubs."""
+    df = corpus(spark)[1].drop("TAKEN")
+    take = lambda: sorted((str(r.doc_id), r.taken) for r in mixing.mix(df, block_words=64, keep=["doc_id"]).collect())
+    right = take()
+    with monkeypatch.context() as m:
+        m.setattr(mixing, "permuted", lambda number, size, seed, key: number)
+        assert take() != right
+    real = mixing.quotas
+    with monkeypatch.context() as m:
+        m.setattr(mixing, "quotas", lambda blocks, shards, seed: real(blocks.withColumn("blocks", F.floor(F.col("blocks") / 2)), shards, seed))
+        assert take() != right
+
+
+def test_whole_documents(spark):
+    rows, df = corpus(spark)
+    got = mixing.mix(df, block_words=64, cut=False).collect()
+    taken, sizes = Counter(), Counter()
+    for r in got:
+        assert all(d.words == r.size for d in r.draws) and len(r.draws) <= 3
+        taken[r.source] += r["_taken"]
+        sizes[r.source] += r.size
+    for s, t in water(sizes).items():
+        longest = max([len((r[1] or "").split()) for r in rows if r[2] == s], default=0)
+        assert abs(taken[s] - t) <= longest + 0.1 * t
+    out = mixing.shuffled(mixing.mix(df, block_words=64, cut=False)).collect()
+    assert len(out) == sum(len(r.draws) for r in got) and {r.shard for r in out} == set(range(8))
+
+
 def test_shards_hold_their_quotas(spark):
     rows, df = corpus(spark)
     got = mixing.mix(df, block_words=16, shards=8, keep=["source"])
     blocks = got.select("source", F.explode("draws").alias("d")).select("source", "d.block", "d.shard").distinct().groupBy("source", "block").count()
     assert blocks.where("count > 1").count() == 0  # a block is in one shard
     by = got.select(F.explode("draws").alias("d")).groupBy("d.shard").agg(F.sum("d.words").alias("w")).collect()
-    assert len(by) == 8 and max(r.w for r in by) < 40_000
+    total = sum(r.w for r in by)
+    assert len(by) == 8 and all(abs(r.w - total / 8) < 200 for r in by)
 
 
 def test_quotas_are_exact(spark):
