@@ -7,6 +7,8 @@ count or stop.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -27,6 +29,11 @@ def numbers(n: Column) -> Column:
     return F.when(n > 0, F.sequence(F.lit(0), n - 1)).when(n.isNotNull(), F.array().cast("array<int>"))
 
 
+def bound_to(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is worked out once, however often it is named."""
+    return F.transform(F.array(value), lambda v: use(v))[0]
+
+
 def lit_array(values: list) -> Column:
     return F.array(*[F.lit(v) for v in values])
 
@@ -67,8 +74,8 @@ def mimi_interleave(codebooks: Column) -> Column:
 
 def mimi_deinterleave(codes: Column, codebooks: int) -> Column:
     """Codebooks over time, codes brought into 0 to 2047; null if there is no whole frame."""
-    frames = whole_frames(codes, codebooks)
-    books = F.transform(F.sequence(F.lit(0), F.lit(codebooks - 1)), lambda k: F.transform(frames, lambda f: bound(F.get(f, k) - k * MIMI_SIZE, MIMI_SIZE)))
+    n = F.floor(F.size(codes) / codebooks).cast("int")
+    books = F.transform(F.sequence(F.lit(0), F.lit(codebooks - 1)), lambda k: F.transform(numbers(n), lambda t: bound(F.get(codes, t * codebooks + k) - k * MIMI_SIZE, MIMI_SIZE)))
     return F.when(F.size(codes) >= codebooks, books)
 
 
@@ -86,9 +93,14 @@ def drop_repeated_frames(codes: Column, group: int, by_first: bool = False) -> C
     length that is no multiple of ``group``. The last kept frame always equals the one before, so
     neighbours alone decide."""
     frames = whole_frames(codes, group)
-    known = lambda f: f[0] if by_first else f
-    kept = F.filter(frames, lambda f, i: (i == 0) | (known(f) != known(F.get(frames, F.greatest(i - 1, F.lit(0))))))
-    return F.when(F.size(codes) % group == 0, F.flatten(kept))
+
+    def kept(f: Column) -> Column:
+        # each frame beside the one before it; the first has null there
+        pairs = F.zip_with(f, F.concat(F.array(F.lit(None).cast("array<int>")), f), lambda own, last: F.struct(own.alias("own"), last.alias("last")))
+        changed = lambda p: p["own"][0] != p["last"][0] if by_first else p["own"] != p["last"]
+        return F.transform(F.filter(pairs, lambda p: p["own"].isNotNull() & (p["last"].isNull() | changed(p))), lambda p: p["own"])
+
+    return F.when(F.size(codes) % group == 0, F.flatten(bound_to(frames, kept)))
 
 
 def in_phase(token: Column, place: Column, group: int, size: int, start: int = 0) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -19,34 +21,38 @@ def pairs_from_rows(rows: DataFrame, group: str, index: str, reward: CompositeRe
     Chosen: highest reward, then lowest index, among those that pass the gates. Rejected: lowest
     reward, then highest index, among those at least ``gap`` below that the chosen one is
     preferred to. Aggregations by group only, partial before the shuffle, so a large group
-    is never gathered. Groups without a pair are left out.
+    is never gathered. Groups without a pair are left out, as are groups with a metric that is not
+    finite or a candidate without any; a metric that is missing stops the job.
     """
     own = lambda n: F.col(n)
-    names = sorted({*reward.weights, *reward.pareto, *reward.protected, *reward.thresholds})
+    names = reward.names
     score = reward.aggregate(own)
-    rows = rows.select(F.col(group).alias("g"), F.col(index).alias("i"), *names, (F.round(score, decimals) if decimals is not None else score).alias("score")).where(reward.passes(own))
+    fault = stopping(reward.fault(own))
+    rows = rows.select(F.col(group).alias("g"), F.col(index).alias("i"), *names, (F.round(score, decimals) if decimals is not None else score).alias("score"), fault.alias("fault"), reward.passes(own).alias("passes"))
     kept = F.struct("score", *names, "i")
-    best = rows.groupBy("g").agg(F.max_by(kept, F.struct("score", (-F.col("i")).alias("i"))).alias("best"), F.count("*").alias("n")).where("n >= 2")
-    met = rows.join(best, "g").where(F.col("i") != F.col("best.i"))
+    best = rows.groupBy("g").agg(F.max_by(kept, F.when(F.col("passes"), F.struct("score", (-F.col("i")).alias("i")))).alias("best"), F.count_if("passes").alias("n"), F.max("fault").alias("group_fault")).where("n >= 2 AND group_fault IS NULL")
+    met = rows.where("passes").join(best, "g").where(F.col("i") != F.col("best.i"))
     chosen = lambda n: F.col("best")[n]
     test = (F.col("best.score") - F.col("score") >= gap) & (F.col("best.score") > F.col("score")) & reward.preserves(chosen, own) & reward.not_worse(chosen, own)
     worst = met.where(test).groupBy("g").agg(F.min_by(F.struct("i", "score", F.col("best.i").alias("chosen"), F.col("best.score").alias("top")), F.struct("score", (-F.col("i")).alias("i"))).alias("w"))
     return worst.select(F.col("g").alias(group), F.col("w.chosen").alias("chosen"), F.col("w.i").alias("rejected"), (F.col("w.top") - F.col("w.score")).alias("reward_gap"))
 
 
+def stopping(fault: Column) -> Column:
+    """The fault, but an error where a metric is missing: that is a fault of the data, not of a group."""
+    return F.when(fault.startswith("missing"), F.raise_error(F.concat(F.lit("a candidate lacks a metric: "), fault)).cast("string")).otherwise(fault)
+
+
 def pairs_from_groups(groups: DataFrame, reward: CompositeReward, gap: float = 0.3, group_codes: int | None = None, audio_start: int = 2, weight_by_gap: bool = False) -> DataFrame:
     """For a row a prompt with its array of candidates: the pair, or ``reject_reason``.
 
     All within the row, by array functions: no shuffle. A missing metric stops the job, as a
-    fault of the data; groups without a safe pair get a reason.
+    fault of the data; groups without a safe pair, or with a metric that is not finite, get a reason.
     """
     metric = lambda c: lambda n: F.element_at(c["metrics"], n)
-    names = list(reward.weights)
-    prepared = F.transform("candidates", lambda c, i: F.struct(reward.aggregate(metric(c)).alias("score"), (-i).alias("back"), reward.passes(metric(c)).alias("passes"), c.alias("c")))
-    if not reward.allow_missing:
-        absent = F.exists("candidates", lambda c: ~F.forall(arrays.lit_array(names), lambda n: F.map_contains_key(c["metrics"], n)))
-        prepared = F.when(absent, F.raise_error(F.lit("a candidate lacks a metric")).cast(_prepared_type())).otherwise(prepared)
+    prepared = F.transform("candidates", lambda c, i: F.struct(reward.aggregate(metric(c)).alias("score"), (-i).alias("back"), reward.passes(metric(c)).alias("passes"), stopping(reward.fault(metric(c))).alias("fault"), c.alias("c")))
     df = groups.withColumn("_all", prepared).withColumn("_ok", F.filter("_all", lambda p: p["passes"]))
+    fault = F.get(F.filter(F.transform("_all", lambda p: p["fault"]), lambda f: f.isNotNull()), F.lit(0))
     slim = lambda p: F.struct(p["score"].alias("score"), p["back"].alias("back"))
     df = df.withColumn("_best", F.array_max(F.transform("_ok", slim)))
     df = df.withColumn("_chosen", F.get(F.filter("_ok", lambda p: p["back"] == F.col("_best.back")), F.lit(0)))
@@ -66,6 +72,7 @@ def pairs_from_groups(groups: DataFrame, reward: CompositeReward, gap: float = 0
     reason = (
         F.when(arrays.tokens_fault(F.col("prompt_input_ids")).isNotNull(), "bad prompt")
         .when(F.size("candidates") < 2, "fewer than two candidates")
+        .when(fault.isNotNull(), fault)
         .when(bad_tokens, "bad tokens")
         .when(F.size("_ok") < 2, "fewer than two pass the thresholds")
         .when(F.col("_rejected").isNull(), "no safe pair meets the gap")
@@ -88,20 +95,41 @@ def pairs_from_groups(groups: DataFrame, reward: CompositeReward, gap: float = 0
     )
 
 
-def _prepared_type() -> str:
-    return f"array<struct<score:double,back:int,passes:boolean,c:{CANDIDATES[6:-1]}>>"
-
-
-def skyline(rows: DataFrame, group: str, index: str, reward: CompositeReward) -> DataFrame:
+def skyline(rows: DataFrame, group: str, index: str, reward: CompositeReward, buckets: int = 256) -> DataFrame:
     """Rows of each group that no other row of it dominates on the Pareto metrics.
 
-    Only maximal points can dominate, so rows are first thinned to those whose metrics differ,
-    and the rest is an anti join within the group.
+    A group is dealt to buckets of its points' hashes, whose own maximal points are found first, so what
+    meets in the last step is the maximal points of buckets and not the group. With one or two metrics,
+    points are sorted by the first one, best first, and the best of the second one so far decides;
+    with more, they are compared. A row without one of the metrics is dominated by none and dominates none.
     """
     names = list(reward.pareto)
-    points = rows.select(F.col(group).alias("g2"), *(F.col(n).alias(f"o_{n}") for n in names)).distinct()
-    beaten = reward.dominates(lambda n: F.col(f"o_{n}"), lambda n: F.col(n))
-    return rows.join(points, (F.col(group) == F.col("g2")) & beaten, "left_anti")
+    if not names:
+        raise ValueError("there are no Pareto metrics")
+    signed = [F.col(n) if reward.higher(n) else -F.col(n) for n in names]
+    whole = reduce(lambda x, y: x & y, (F.col(n).isNotNull() for n in names))
+    points = rows.where(whole).select(F.col(group).alias("g2"), *(x.alias(f"o_{n}") for x, n in zip(signed, names, strict=True))).distinct()
+    points = points.withColumn("bucket", F.pmod(F.xxhash64(*(f"o_{n}" for n in names)), F.lit(buckets)))
+    if len(names) <= 2:
+        first, last = f"o_{names[0]}", f"o_{names[-1]}"
+
+        def maximal(df: DataFrame, *by: str) -> DataFrame:
+            tops = df.groupBy(*by, first).agg(F.max(last).alias("top"))
+            before = Window.partitionBy(*by).orderBy(F.desc(first)).rowsBetween(Window.unboundedPreceding, -1)
+            tops = tops.withColumn("above", F.max("top").over(before))
+            kept = F.col("above").isNull() | (F.col("top") > F.col("above")) if len(names) == 2 else F.col("above").isNull()
+            return tops.where(kept).select(*by, first, F.col("top").alias(last))
+
+        best = maximal(maximal(points, "g2", "bucket"), "g2") if len(names) == 2 else points.groupBy("g2").agg(F.max(first).alias(first))
+        same = F.col(group).eqNullSafe(F.col("g2")) & reduce(lambda x, y: x & y, (x == F.col(f"o_{n}") for x, n in zip(signed, names, strict=True)))
+        return rows.where(whole).join(best, same, "left_semi").unionByName(rows.where(~whole))
+    beats = lambda a, b: reduce(lambda x, y: x & y, (a(n) >= b(n) for n in names)) & reduce(lambda x, y: x | y, (a(n) > b(n) for n in names))
+    rivals = points.select(F.col("g2").alias("g3"), F.col("bucket").alias("bucket3"), *(F.col(f"o_{n}").alias(f"p_{n}") for n in names))
+    beaten = beats(lambda n: F.col(f"p_{n}"), lambda n: F.col(f"o_{n}"))
+    own = points.join(rivals, F.col("g2").eqNullSafe(F.col("g3")) & (F.col("bucket") == F.col("bucket3")) & beaten, "left_anti").drop("bucket")
+    signs = dict(zip(names, signed, strict=True))
+    over = beats(lambda n: F.col(f"o_{n}"), lambda n: signs[n])
+    return rows.join(own, F.col(group).eqNullSafe(F.col("g2")) & over, "left_anti")
 
 
 def rank_in_group(rows: DataFrame, group: str, score: str, index: str) -> DataFrame:

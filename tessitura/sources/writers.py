@@ -9,7 +9,7 @@ import wave
 from collections.abc import Mapping
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 TRAINING_COLUMNS = ("input_ids", "labels", "attention_mask", "reference_text", "speaker_id", "duration", "dnsmos")
@@ -31,10 +31,12 @@ def write_lines(df: DataFrame, path: str) -> None:
 
 
 def write_pairs(pairs: DataFrame, path: str) -> tuple[int, int]:
-    """Writes accepted pairs as JSON lines; returns how many were accepted and rejected."""
-    counts = pairs.agg(F.count_if(F.col("reject_reason").isNull()), F.count_if(F.col("reject_reason").isNotNull())).first()
-    write_lines(pairs.where("reject_reason IS NULL").drop("reject_reason"), path)
-    return int(counts[0]), int(counts[1])
+    """Writes accepted pairs as JSON lines; returns how many were accepted and rejected. Both counts
+    are seen by the one pass that writes."""
+    seen = Observation()
+    counted = pairs.observe(seen, F.count_if(F.col("reject_reason").isNull()).alias("accepted"), F.count_if(F.col("reject_reason").isNotNull()).alias("rejected"))
+    write_lines(counted.where("reject_reason IS NULL").drop("reject_reason"), path)
+    return int(seen.get["accepted"]), int(seen.get["rejected"])
 
 
 def publish(content: bytes, path: str) -> None:

@@ -136,6 +136,79 @@ def test_pair_reasons_and_ties(spark):
         preferences.pairs_from_groups(spark.createDataFrame([([1], [([1], {"x": 1.0}, None, None)] * 2)], GROUPS), r).collect()
 
 
+def test_bad_metrics_never_win(spark):
+    nan = float("nan")
+    c = lambda ids, **m: (ids, m, None, None)
+    r = rewards.CompositeReward({"s": 1.0}, pareto=("p",), thresholds={"t": 0.1})
+    rows = [([1], [c([i], s=s, p=0.5, t=0.5) for i, s in enumerate((nan, 0.9, 0.1))]), ([1], [c([i], s=s, p=p, t=0.5) for i, (s, p) in enumerate(((0.9, nan), (0.1, 0.1)))])]
+    got = preferences.pairs_from_groups(spark.createDataFrame(rows, GROUPS).coalesce(1), r).collect()
+    assert [x.reject_reason for x in got] == ["not finite s", "not finite p"]
+    for missing in ("s", "p", "t"):
+        given = [{k: v for k, v in {"s": s, "p": 0.5, "t": 0.5}.items() if k != missing} for s in (0.9, 0.1)]
+        with pytest.raises(Exception, match=f"missing {missing}"):
+            preferences.pairs_from_groups(spark.createDataFrame([([1], [([1], m, None, None) for m in given])], GROUPS), r).collect()
+    lax = rewards.CompositeReward({"s": 1.0, "z": 0.0}, allow_missing=True)
+    only = preferences.pairs_from_groups(spark.createDataFrame([([1], [c([1], z=1.0), c([2], s=0.1)])], GROUPS), lax).first()
+    assert only.reject_reason == "nothing active"
+    flat = spark.createDataFrame([(g, i, s, 0.5, 0.5) for g, scores in enumerate(((nan, 0.9, 0.1), (0.9, 0.1, 0.2))) for i, s in enumerate(scores)], "g int, i int, s double, p double, t double")
+    assert [tuple(x)[:3] for x in preferences.pairs_from_rows(flat, "g", "i", r).collect()] == [(1, 0, 1)]
+    with pytest.raises(Exception, match="missing s"):
+        preferences.pairs_from_rows(flat.withColumn("s", F.when(F.col("i") > 0, F.col("s"))), "g", "i", r).collect()
+
+
+def test_breakdown(spark):
+    r = rewards.CompositeReward({"a": 0.5, "b": 0.5}, thresholds={"c": 0.1})
+    rows = [({"a": "0.5", "b": "1", "transcript": "hello", "total": "9"}, {"c": 0.3}), ({"a": "nan", "b": "1"}, {"c": 1.0}), (None, {"a": 1.0, "b": 0.0, "c": 0.5}), ({"a": "1", "b": "1", "c": "2"}, {"total": 1.0}), ({"a": "1", "b": "1"}, None)]
+    metrics, fault = r.breakdown([F.col("m")], F.col("e"))
+    got = spark.createDataFrame(rows, "m map<string,string>, e map<string,double>").coalesce(1).select(metrics.alias("metrics"), fault.alias("fault")).collect()
+    assert got[0].metrics == {"a": 0.5, "b": 1.0, "c": 0.3, "total": 0.75} and got[2].metrics["total"] == 0.5
+    assert [x.fault for x in got] == [None, "not finite a", None, "reserved name", "missing c"]
+    assert rewards.scorers_needed({"weights": {"wer_reward": 1.0, "quality_reward": 1.0}, "quality": False}) == ["asr"]
+    with pytest.raises(ValueError, match="finite"):
+        rewards.CompositeReward({"a": float("nan")})
+
+
+def test_prosody_needs_both_halves(one):
+    a, none = ints(1, 3).cast("array<double>"), F.lit(None).cast("double")
+    values = F.lit(None).cast("array<double>")
+    got = one(rewards.prosody(a, F.lit(0.5), a, F.lit(0.5)), rewards.prosody(a, none, a, F.lit(0.5)), rewards.prosody(values, none, a, F.lit(0.5)), rewards.prosody(values, none, values, none), rewards.prosody(values, F.lit(0.5), a, F.lit(0.5)), rewards.speaker_cosine(F.lit(1.5), clamped=False))
+    assert got == [1.0, None, 1.0, None, None, None]
+
+
+@pytest.mark.parametrize("names", [("x",), ("x", "y"), ("x", "y", "z")])
+def test_skyline(spark, names):
+    import random
+
+    rng = random.Random(len(names))
+    rows = [(i % 3, i, float(rng.randint(0, 8)), float(rng.randint(0, 8)), float(rng.randint(0, 8))) for i in range(240)] + [(0, 900, None, 1.0, 1.0)]
+    r = rewards.CompositeReward({"x": 1.0}, maximize={"y": "min"}, pareto=names)
+    up = lambda row: [(-v if n == "y" else v) for n, v in zip("xyz", row[2:], strict=True) if n in names]
+    beats = lambda a, b: None not in (a[2], b[2]) and up(a) != up(b) and all(p >= q for p, q in zip(up(a), up(b), strict=True))
+    want = sorted(b[1] for b in rows if not any(a[0] == b[0] and beats(a, b) for a in rows))
+    got = preferences.skyline(spark.createDataFrame(rows, "g int, i int, x double, y double, z double"), "g", "i", r, buckets=4)
+    assert sorted(x.i for x in got.collect()) == want
+
+
+def test_edit_distance_beyond_letters(spark):
+    import random
+
+    rng = random.Random(2)
+
+    def plain(a, b):
+        row = list(range(len(a) + 1))
+        for t in b:
+            new = [row[0] + 1]
+            for i in range(1, len(a) + 1):
+                new.append(min(row[i - 1] + (a[i - 1] != t), row[i] + 1, new[-1] + 1))
+            row = new
+        return row[-1]
+
+    rows = [tuple([rng.choice("abcdef") for _ in range(rng.randint(0, 14))] for _ in range(2)) for _ in range(40)]
+    df = spark.createDataFrame(rows, "a array<string>, b array<string>")
+    for x in df.select("a", "b", text.token_distance(F.col("a"), F.col("b")).alias("d"), text._folded(F.col("a"), F.col("b")).alias("f")).collect():
+        assert x.d == x.f == plain(x.a, x.b)
+
+
 def test_mixture(spark):
     assert (batches.parse_ratio("3:2"), batches.parse_ratio(2)) == (1.5, 2.0)
     with pytest.raises(ValueError):
