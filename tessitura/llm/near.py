@@ -52,6 +52,8 @@ SMALL_BAND = 64
 SMALL_GROUP = 1024
 #: A center's set is sent again for about so many nodes, by its band neighbours in all bands.
 PER_SALT = 8192
+#: Nodes of a band that one task sees at most, about; how many ways bands are cut before their size is known.
+PER_CUT, FIRST_CUTS = 1024, 16
 
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _U = np.uint64
@@ -131,8 +133,9 @@ def _full_sets(rows: DataFrame, words: int) -> DataFrame:
 
 def _beside(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """For pairs (a, b, salt): the set of each b, sorted by (a, salt), after a row with the set of a."""
-    rows = pairs.join(sets.withColumnRenamed("id", "b"), "b").select("a", "salt", "b", "items")
-    heads = pairs.select("a", "salt").distinct().join(sets.withColumnRenamed("id", "a"), "a").select("a", "salt", F.lit(None).cast(dict(rows.dtypes)["b"]).alias("b"), "items")
+    # by merge at every size: neither side has a bound
+    rows = pairs.hint("merge").join(sets.withColumnRenamed("id", "b"), "b").select("a", "salt", "b", "items")
+    heads = pairs.select("a", "salt").distinct().hint("merge").join(sets.withColumnRenamed("id", "a"), "a").select("a", "salt", F.lit(None).cast(dict(rows.dtypes)["b"]).alias("b"), "items")
     return rows.unionByName(heads).repartition("a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first())
 
 
@@ -203,6 +206,16 @@ def components(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
         mark = got
 
 
+def _cut(rows: DataFrame) -> DataFrame:
+    """Rows with ``cut``: a band of m nodes is cut into about m / PER_CUT parts, by node."""
+    return rows.withColumn("cut", F.pmod(F.xxhash64("node"), F.ceil(F.col("m") / PER_CUT)))
+
+
+def _each_cut(bands: DataFrame) -> DataFrame:
+    """A row a band becomes one for each part of it."""
+    return bands.withColumn("cut", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("m") / PER_CUT) - 1)))
+
+
 def _prefixes(met: DataFrame, percent: int) -> DataFrame:
     """An entry for each (c, node, item) that the inverted index of residual shingles needs.
 
@@ -250,19 +263,21 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     banded = nodes.select(F.explode("bands").alias("band"), F.col("id").alias("node"), "n")
     # a repeated row repeats its node here, which the joins below undo once bands are few
     live = scratch.save(banded.groupBy("band").agg(F.min("node").alias("x"), F.max("node").alias("y"), F.count("*").alias("m")).where("x < y").select("band", "m"), "live")
-    state = scratch.save(banded.join(live, "band").distinct(), "banded")
+    cuts = live.withColumn("cut", F.explode(F.sequence(F.lit(0), F.lit(FIRST_CUTS - 1))))
+    banded = banded.withColumn("cut", F.pmod(F.xxhash64("node"), F.lit(FIRST_CUTS)).cast("int"))
+    state = scratch.save(banded.join(cuts, ["band", "cut"]).drop("cut").distinct(), "banded")
     central = state.groupBy("node").agg(F.sum("m").alias("central"))
-    state = scratch.save(state.drop("m").join(central, "node").withColumn("comp", F.col("node")), "state-0")
+    state = scratch.save(state.join(central, "node").withColumn("comp", F.col("node")), "state-0")
     scratch.drop("live", "banded")
-    sets = scratch.save(_full_sets(rows.join(state.select(F.col("node").alias("id")).distinct(), "id", "left_semi"), words), "sets")
+    sets = scratch.save(_full_sets(rows.join(state.select(F.col("node").alias("id")).distinct().hint("merge"), "id", "left_semi"), words), "sets")
     found: list[DataFrame] = []
     most = lambda o, n: F.floor((100 + percent) * F.col(o) / percent).cast("long") - F.col(n)
     for i in itertools.count():
         if state.isEmpty():
             break
         best = F.max(F.struct("central", F.xxhash64("node").alias("h"), "node")).alias("best")
-        centers = state.groupBy("band").agg(best, F.min("n").alias("low")).select("band", F.col("best.node").alias("c"), F.ceil(F.col("best.central") / PER_SALT).alias("salts"), "low")
-        state = scratch.save(state.join(centers, "band"), f"centered-{i}").where("node <> c")
+        centers = state.groupBy("band").agg(best, F.min("n").alias("low"), F.max("m").alias("m")).select("band", F.col("best.node").alias("c"), F.ceil(F.col("best.central") / PER_SALT).alias("salts"), "low", "m")
+        state = scratch.save(_cut(state).join(_each_cut(centers).drop("m"), ["band", "cut"]), f"centered-{i}").where("node <> c")
         pairs = state.groupBy("c", "node").agg(F.max("salts").alias("salts"), F.min("low").alias("low"))
         salted = pairs.select(F.col("c").alias("a"), F.col("node").alias("b"), F.pmod(F.xxhash64("node"), "salts").alias("salt"))
         met = _compared(salted, sets, percent, extra=True).withColumnsRenamed({"a": "c", "b": "node"})
@@ -276,14 +291,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         can = (100 + percent) * (F.least("overlap", "o_overlap") + F.least("extra", "o_extra")) >= need
         not_both = (F.col("node") < F.col("o_node")) & ~(F.col("linked") & F.col("o_linked"))
         tried = few.join(other, ["c", "item"]).where(not_both & can).select(F.col("node").alias("a"), F.col("o_node").alias("b"))
-        many = parts.join(sharing.where(F.col("m") > SMALL_GROUP), ["c", "item"]).select(F.xxhash64("c", "item").alias("band"), "node", "n", F.col("m").alias("central"))
+        many = parts.join(sharing.where(F.col("m") > SMALL_GROUP), ["c", "item"]).select(F.xxhash64("c", "item").alias("band"), "m", "node", "n", F.col("m").alias("central"))
         # nodes that could be similar to one another by what they share with the center alone
         rest = state.join(met.select("c", "node", "overlap", "linked"), ["c", "node"]).withColumn("room", most("overlap", "n"))
-        bounds = rest.groupBy("band").agg(F.min("n").alias("least"), F.min(F.when(open_, F.col("n"))).alias("open_low"), F.max(F.when(open_, F.col("room"))).alias("open_room"))
-        rest = rest.join(bounds, "band").where(F.when(open_, F.col("room") >= F.col("least")).otherwise((F.col("n") <= F.col("open_room")) & (F.col("room") >= F.col("open_low"))))
-        rest = scratch.save(rest.select("band", "node", "n", "central", "overlap", "linked"), f"rest-{i}")
-        left = rest.groupBy("band").agg(F.count("*").alias("left")).where("left > 1")
-        few = rest.join(left.where(F.col("left") <= SMALL_BAND), "band")
+        bounds = rest.groupBy("band").agg(F.min("n").alias("least"), F.min(F.when(open_, F.col("n"))).alias("open_low"), F.max(F.when(open_, F.col("room"))).alias("open_room"), F.max("m").alias("m"))
+        rest = rest.join(_each_cut(bounds).drop("m"), ["band", "cut"]).where(F.when(open_, F.col("room") >= F.col("least")).otherwise((F.col("n") <= F.col("open_room")) & (F.col("room") >= F.col("open_low"))))
+        rest = scratch.save(rest.select("band", "m", "cut", "node", "n", "central", "overlap", "linked"), f"rest-{i}")
+        left = rest.groupBy("band").agg(F.count("*").alias("left"), F.max("m").alias("m")).where("left > 1")
+        few = rest.join(left.where(F.col("left") <= SMALL_BAND).drop("m"), "band")
         peer = few.select("band", *(F.col(x).alias(f"o_{x}") for x in ("node", "n", "overlap", "linked")))
         enough = (100 + percent) * F.least("overlap", "o_overlap") >= need
         tried = tried.unionByName(few.join(peer, "band").where(not_both & enough).select(F.col("node").alias("a"), F.col("o_node").alias("b")))
@@ -291,12 +306,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         linked = met.where("linked").select(F.col("c").alias("u"), F.col("node").alias("v"))
         links = scratch.save(linked.unionByName(_confirmed(tried, sets, percent)), f"links-{i}")
         found.append(links)
-        following = rest.join(left.where(F.col("left") > SMALL_BAND), "band", "left_semi").select("band", "node", "n", "central").unionByName(many)
+        large = _each_cut(left.where(F.col("left") > SMALL_BAND)).select("band", "cut", F.col("left"))
+        following = rest.join(large, ["band", "cut"]).select("band", F.col("left").alias("m"), "node", "n", "central").unionByName(many)
         following = scratch.save(following.join(state.select("node", "comp").distinct(), "node"), f"following-{i}")
         if following.isEmpty():
             break
         merged = components(_named(links, state), scratch, f"merge-{i}")
-        renamed = following.join(merged.withColumnRenamed("v", "comp"), "comp", "left").select("band", "node", "n", "central", F.coalesce("root", "comp").alias("comp"))
+        renamed = following.join(merged.withColumnRenamed("v", "comp"), "comp", "left").select("band", "m", "node", "n", "central", F.coalesce("root", "comp").alias("comp"))
         still = renamed.groupBy("band").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x < y").select("band")
         state = scratch.save(renamed.join(still, "band", "left_semi"), f"state-{i + 1}")
         scratch.drop(*(n for n in scratch.names if n.endswith(f"-{i}") and n != f"links-{i}" and not n.startswith("state") or n.startswith(f"merge-{i}-")))
