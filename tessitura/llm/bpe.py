@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from tessitura.llm.common import at, require
-from tessitura.llm.tokenization import Decoder, TreeEncoder, encoder_for, pieces
+from tessitura.llm.tokenization import Decoder, TreeEncoder, encoder_for, pieces, trim
 
 #: What ``bpe`` can return beside the id and ``n_tokens``.
 OUTPUTS = {
@@ -71,6 +71,7 @@ def bpe(docs: DataFrame, tokenizer_path: str, outputs: tuple[str, ...] = ("token
                     else:
                         columns.append(pa.array([hashlib.sha256(d.decode(errors="replace").encode()).hexdigest() for d in decoded]))
                 yield pa.RecordBatch.from_arrays(columns, names=[id_name, "n_tokens", *outputs])
+        trim()
 
     id_name = "id"
     schema = T.StructType([T.StructField(id_name, docs.schema[id_col].dataType), T.StructField("n_tokens", T.LongType()), *(T.StructField(n, OUTPUTS[n]) for n in outputs)])

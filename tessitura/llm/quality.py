@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessitura.llm.common import Scratch, at, require
-from tessitura.llm.tokenization import pieces
+from tessitura.llm.tokenization import pieces, release
 
 SAMPLE = 4000
 ROUNDS = 4
@@ -248,6 +248,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     rows = docs.select(at(docs, id_col).alias("id"), *_inputs(docs, text_col, lang_col, source_col)).where("id IS NOT NULL")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in batches:
             for piece, content, metadata in _batches(batch, "text", "lang", "source"):
                 yield pa.RecordBatch.from_arrays([piece.column(0), *(pa.array([x.tobytes() for x in f], pa.binary()) for f in (content, metadata))], names=["id", "content", "metadata"])
@@ -265,6 +266,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
     def surest(model: Model, wanted: dict[tuple[int, int], int]) -> dict[tuple[int, int], list[tuple]]:
         def scores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            release()
             for batch in batches:
                 for i in range(0, batch.num_rows, 1024):
                     piece = batch.slice(i, 1024)
@@ -296,6 +298,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in batches:
             for piece, content, metadata in _batches(batch, "text", "lang", "source"):
                 content, metadata = content.astype(np.float32), metadata.astype(np.float32)
@@ -316,6 +319,7 @@ def keep_good(docs: DataFrame, model: Model, threshold: float = THRESHOLD, text_
     columns = [f.name for f in fields]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in batches:
             for piece, content, metadata in _batches(batch, "text", "lang", "source"):
                 good = model.score(content.astype(np.float32), metadata.astype(np.float32)) >= threshold

@@ -6,6 +6,9 @@ around, each distinct chunk is encoded once, and the ids of all chunks are gathe
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import json
 import re
 import string
@@ -19,11 +22,11 @@ import pyarrow.compute as pc
 from tokenizers import Tokenizer
 
 #: Entries of a worker's chunk table; when it is full, the half that is used most stays.
-CACHE_ENTRIES = 400_000
+CACHE_ENTRIES = 300_000
 #: Only chunks up to this length are kept in the table.
 CACHE_CHARS = 48
 #: Bytes of text that are worked on at once.
-PIECE_BYTES = 4 << 20
+PIECE_BYTES = 2 << 20
 
 _MARKS = string.punctuation
 _SAFE_CUT = re.compile(r"(?<=\S)(?= [^\s\u180e])(?<!\u180e)")
@@ -340,6 +343,21 @@ def encoder_for(data: bytes) -> ChunkEncoder:
     return _KEPT[key]
 
 
+def release() -> None:
+    """Gives back what this worker keeps of earlier tasks: workers serve the tasks of all operators in
+    turn, and the table of one must not add to the memory of the next."""
+    _KEPT.clear()
+    trim()
+
+
+def trim() -> None:
+    """Gives free memory back to the system."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # where the C library has it
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def _drops_white_space(spec: dict) -> bool:
     """Whether white space only parts words: a split that removes what its pattern leaves out."""
     pre = spec.get("pre_tokenizer") or {}
