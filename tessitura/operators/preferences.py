@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -132,6 +132,14 @@ def skyline(rows: DataFrame, group: str, index: str, reward: CompositeReward, bu
     return rows.join(own, F.col(group).eqNullSafe(F.col("g2")) & over, "left_anti")
 
 
+def build_pairs(spark: SparkSession, candidates: str, out: str, reward: CompositeReward, **options) -> tuple[int, int]:
+    """Candidate lines in, pairs with their ``source_line`` out, in one pass; how many lines were
+    accepted and rejected. ``options`` are those of ``pairs_from_groups``."""
+    from tessitura.sources import readers, writers
+
+    return writers.write_pairs(pairs_from_groups(readers.read_candidates(spark, candidates), reward, **options), out)
+
+
 def rank_in_group(rows: DataFrame, group: str, score: str, index: str) -> DataFrame:
     order = Window.partitionBy(group).orderBy(F.col(score).desc(), F.col(index))
     return rows.withColumn("rank", F.row_number().over(order))

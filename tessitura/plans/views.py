@@ -16,7 +16,7 @@ SNAC = f"SELECT vec_id AS id, list_transform(embedding[1:63], lambda x, i: {_COD
 LAYERS = f"SELECT vec_id AS id, v[1:9] AS coarse, v[10:27] AS middle, v[28:63] AS fine FROM (SELECT vec_id, list_transform(embedding, lambda x, i: {_CODE.format(half=2048, top=4095)}) AS v FROM embeddings)"
 REPEATS = "SELECT user_id, list(CASE event_type WHEN 'view' THEN 0 WHEN 'click' THEN 1 ELSE length(event_type) END::INTEGER ORDER BY ts, event_id) AS codes FROM events GROUP BY user_id"
 CANDIDATES = "SELECT user_id AS g, event_id AS i, round(exp(-value / 100), 6) AS clear, CAST(props->>'$.k' AS DOUBLE) / 99 AS speaker, (event_id % 11) / 10.0::DOUBLE AS quality, value FROM events"
-PAIRS = """SELECT a.conv_id AS id, a.turn, array_to_string(string_split_regex(trim(a.text), '\\s+')[1:60], ' ') AS ref, array_to_string(string_split_regex(trim(b.text), '\\s+')[1:60], ' ') AS hyp
+PAIRS = """SELECT a.conv_id AS id, a.turn, a.text AS ref, b.text AS hyp
     FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1 WHERE a.role = 'user' AND b.role = 'assistant'"""
 
 
@@ -65,9 +65,3 @@ def asr_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = df.where("role = 'user'").select(F.col("conv_id").alias("id"), "turn", F.col("text").alias("ref"))
     heard = df.where("role = 'assistant'").select(F.col("conv_id").alias("id"), (F.col("turn") - 1).alias("turn"), F.col("text").alias("hyp"))
     return said.join(heard, ["id", "turn"]).select("id", "turn", "ref", "hyp")
-
-
-def asr_prefixes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first 60 words of both texts of each pair, as in ``PAIRS``."""
-    first = lambda c: F.array_join(F.slice(F.split(F.btrim(c), r"\s+"), 1, 60), " ").alias(c)
-    return asr_pairs(spark, sf_dir).select("id", "turn", first("ref"), first("hyp"))

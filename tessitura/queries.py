@@ -16,7 +16,7 @@ from tessitura.functions import arrays, objectives, rewards, text
 from tessitura.operators import batches, filters, groups, preferences, sequences
 from tessitura.plans import views
 from tessitura.plans.layout import codec, layout
-from tessitura.sources import cache
+from tessitura.sources import audio, cache, readers, shared, writers
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -46,17 +46,17 @@ def r9(x: Column) -> Column:
 def _toy_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token sequences from frames, spoiled by kind: id % 7 says how."""
     df = views.frames(spark, sf_dir)
-    raised = arrays.offset(F.slice("codes", 1, 24), 100)
+    raised = arrays.offset(F.col("codes"), 100)
     kind = F.col("id") % 7
-    body = F.when(kind == 3, F.array().cast("array<int>")).when(kind == 4, F.slice(raised, 1, 21)).when(kind == 5, F.reverse(raised)).otherwise(raised)
+    body = F.when(kind == 3, F.array().cast("array<int>")).when(kind == 4, F.slice(raised, 1, 61)).when(kind == 5, F.reverse(raised)).otherwise(raised)
     start = F.when(kind == 1, F.array(F.lit(5))).when(kind == 6, F.array(*map(F.lit, (7, 101, 7)))).otherwise(F.array(F.lit(7)))
     end = F.when(kind == 2, F.array(F.lit(9))).otherwise(F.array(F.lit(8), F.lit(9)))
     return df.select("id", F.concat(F.array(F.lit(99)), start, body, end).alias("tokens"))
 
 
 _TOY = f"""frames AS ({views.FRAMES}), toy AS (SELECT id, [99] || CASE id % 7 WHEN 1 THEN [5] WHEN 6 THEN [7, 101, 7] ELSE [7] END
-    || CASE id % 7 WHEN 3 THEN []::INTEGER[] WHEN 4 THEN r[1:21] WHEN 5 THEN list_reverse(r) ELSE r END || CASE id % 7 WHEN 2 THEN [9] ELSE [8, 9] END AS tokens
-    FROM (SELECT id, list_transform(codes[1:24], lambda c: c + 100) AS r FROM frames))"""
+    || CASE id % 7 WHEN 3 THEN []::INTEGER[] WHEN 4 THEN r[1:61] WHEN 5 THEN list_reverse(r) ELSE r END || CASE id % 7 WHEN 2 THEN [9] ELSE [8, 9] END AS tokens
+    FROM (SELECT id, list_transform(codes, lambda c: c + 100) AS r FROM frames))"""
 _SPEECH = f"""{_TOY}, cut AS (SELECT id, tokens, CASE WHEN list_contains(tokens, 7) THEN tokens[len(tokens) - list_position(list_reverse(tokens), 7) + 2:] END AS rest FROM toy),
     speech AS (SELECT id, tokens, rest, list_contains(rest, 8) AS ended, CASE WHEN list_contains(rest, 8) THEN rest[1:list_position(rest, 8) - 1] ELSE rest END AS audio FROM cut),
     phased AS (SELECT *, len(list_filter(audio, lambda t, i: NOT (t >= 100 + (i - 1) % 8 * 2048 AND t < 100 + (i - 1) % 8 * 2048 + 2048))) AS wrong,
@@ -144,7 +144,7 @@ def arr_9_restore_end(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.select("id", joined(arrays.restore_end(F.col("tokens"), 8, reason, F.when(m == 0, 8).when(m == 1, 3))).alias("tokens"))
 
 
-_SUFFIX = f"""{_TOY}, x AS (SELECT id, CASE id % 6 WHEN 0 THEN []::INTEGER[] WHEN 1 THEN [6] WHEN 2 THEN [7] ELSE [6] || tokens[2:CAST(2 + id % 19 AS INTEGER)] || CASE WHEN id % 6 = 5 THEN [8] ELSE []::INTEGER[] END END AS s FROM toy),
+_SUFFIX = f"""{_TOY}, x AS (SELECT id, CASE id % 6 WHEN 0 THEN []::INTEGER[] WHEN 1 THEN [6] WHEN 2 THEN [7] ELSE [6] || tokens[2:CAST(2 + id % 67 AS INTEGER)] || CASE WHEN id % 6 = 5 THEN [8] ELSE []::INTEGER[] END END AS s FROM toy),
     y AS (SELECT id, s, coalesce(list_position(s, 8), 0) AS stop, s[3:] AS audio, len(list_filter(s[3:], lambda t, i: NOT (t >= 100 + (i - 1) % 8 * 2048 AND t < 100 + (i - 1) % 8 * 2048 + 2048))) AS wrong FROM x),
     z AS (SELECT *, CASE WHEN len(s) > 0 AND s[1] <> 6 THEN 'no start of answer' WHEN len(s) > 1 AND s[2] <> 7 THEN 'no start of speech' WHEN stop > 0 AND (stop - 3 < 8 OR (stop - 3) % 8 <> 0) THEN 'early end' WHEN stop = 0 AND len(s) > 2 AND wrong > 0 THEN 'phase' END AS fault FROM y)"""
 
@@ -155,7 +155,7 @@ _SUFFIX = f"""{_TOY}, x AS (SELECT id, CASE id % 6 WHEN 0 THEN []::INTEGER[] WHE
 def arr_10_next_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("id") % 6
     none = F.array().cast("array<int>")
-    cut = F.concat(F.array(F.lit(6)), F.slice("tokens", F.lit(2), (1 + F.col("id") % 19).cast("int")), F.when(k == 5, F.array(F.lit(8))).otherwise(none))
+    cut = F.concat(F.array(F.lit(6)), F.slice("tokens", F.lit(2), (1 + F.col("id") % 67).cast("int")), F.when(k == 5, F.array(F.lit(8))).otherwise(none))
     suffix = F.when(k == 0, none).when(k == 1, F.array(F.lit(6))).when(k == 2, F.array(F.lit(7))).otherwise(cut)
     df = _toy_pairs(spark, sf_dir).select("id", suffix.alias("s"))
     return df.select("id", arrays.next_tokens(F.col("s"), 6, 7, 8, 100, MIMI, pad=5).alias("n")).select("id", "n.*")
@@ -242,11 +242,11 @@ def flt_2_6_reject_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filters.count_reasons(df, filters.reject_reason(df, 3.0, 30.0, 300.0))
 
 
-@query("SELECT doc_id, length(text) AS n FROM (SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN NULL WHEN 1 THEN ' ' || chr(9) || chr(160) ELSE text END AS text FROM documents) WHERE doc_id % 4 > 1")
+@query("SELECT doc_id, length(text) AS n FROM documents WHERE text IS NOT NULL AND trim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || chr(160)) <> ''")
 def flt_1_with_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    k = F.col("doc_id") % 4
-    df = views.table(spark, sf_dir, "documents").select("doc_id", F.when(k == 1, " \t\xa0").when(k > 1, F.col("text")).alias("text"))
-    return filters.with_text(df).select("doc_id", F.length("text").cast("long").alias("n"))
+    df = views.table(spark, sf_dir, "documents").select("doc_id", "text")
+    spoilt = df.select(-1 - F.col("doc_id"), F.when(F.col("doc_id") % 2 == 0, " \t\xa0"))
+    return filters.with_text(df.unionAll(spoilt)).select("doc_id", F.length("text").cast("long").alias("n"))
 
 
 _SEQ = f"""ids AS (SELECT *, list_transform(string_split(speaker || ': ' || trim(text, ' ' || chr(9) || chr(10) || chr(13)), ''), lambda c: ord(c)) AS t FROM spoken WHERE {_OUTCOME} = 'accepted')"""
@@ -271,13 +271,14 @@ def prm_1_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sequences.prompts(df, LFM, "voice").select("item_id", F.sha2(joined(F.col("prompt")).cast("binary"), 256).alias("prompt"))
 
 
-@query(f"""WITH f AS ({views.FRAMES}), r AS (SELECT f.id % 10 AS k, d.text AS p, f.codes FROM f JOIN benchmark d ON d.item_id = f.id WHERE f.id < 10), rr AS (SELECT k, {_PROMPT} || [{LFM.start_of_ai}, {LFM.start_of_speech}] || list_transform(codes, lambda c: c + {LFM.audio_start}) || [{LFM.end_of_speech}, {LFM.end_of_ai}] AS turn FROM r),
-    t AS (SELECT item_id, item_id % 10 AS k, {_PROMPT} AS q FROM (SELECT item_id, text AS p FROM benchmark)) SELECT item_id, sha256(array_to_string(turn || q, ',')) AS prompt FROM t JOIN rr USING (k)""")
+@query(f"""WITH f AS ({views.FRAMES}), r AS (SELECT f.id AS k, d.text AS p, f.codes FROM f JOIN benchmark d ON d.item_id = f.id), rr AS (SELECT k, {_PROMPT} || [{LFM.start_of_ai}, {LFM.start_of_speech}] || list_transform(codes, lambda c: c + {LFM.audio_start}) || [{LFM.end_of_speech}, {LFM.end_of_ai}] AS turn FROM r),
+    t AS (SELECT item_id, item_id + 1 AS k, {_PROMPT} AS q FROM (SELECT item_id, text AS p FROM benchmark)) SELECT item_id, sha256(array_to_string(turn || q, ',')) AS prompt FROM t JOIN rr USING (k)""")
 def prm_2_clone_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every item that has codes is the voice of the item before it."""
     items = views.table(spark, sf_dir, "benchmark")
-    codes = views.frames(spark, sf_dir).where("id < 10")
-    refs = items.withColumnRenamed("text", "ref_text").join(codes, F.col("item_id") == F.col("id")).select((F.col("id") % 10).alias("k"), "ref_text", F.col("codes").alias("ref_codes"))
-    out = sequences.clone_prompts(refs, items.withColumn("k", F.col("item_id") % 10), LFM, "k")
+    codes = views.frames(spark, sf_dir)
+    refs = items.withColumnRenamed("text", "ref_text").join(codes, F.col("item_id") == F.col("id")).select(F.col("id").alias("k"), "ref_text", F.col("codes").alias("ref_codes"))
+    out = sequences.clone_prompts(refs, items.withColumn("k", F.col("item_id") + 1), LFM, "k")
     return out.select("item_id", F.sha2(joined(F.col("prompt")).cast("binary"), 256).alias("prompt"))
 
 
@@ -296,10 +297,9 @@ def t_3_code_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     return views.table(spark, sf_dir, "benchmark").select("item_id", joined(text.code_points(F.col("text"))).alias("ids"))
 
 
-@query("SELECT doc_id, md5(trim(regexp_replace(regexp_replace(lower(t), '[[:punct:]]', CASE WHEN true THEN ' ' END, 'g'), '\\s+', ' ', 'g'))) AS plain FROM (SELECT doc_id, regexp_replace(text, '[^A-Za-z0-9 .,]', '', 'g') AS t FROM documents)")
+@query("SELECT doc_id, md5(trim(regexp_replace(regexp_replace(lower(text), '[\\p{P}\\p{Z}]', ' ', 'g'), '[\\s\\v]+', ' ', 'g'))) AS plain FROM documents")
 def t_4_5_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
-    plain = F.regexp_replace("text", "[^A-Za-z0-9 .,]", "")
-    return views.table(spark, sf_dir, "documents").select("doc_id", F.md5(text.normalizer("ascii")(plain).cast("binary")).alias("plain"))
+    return views.table(spark, sf_dir, "documents").select("doc_id", F.md5(text.normalizer("ascii")(F.col("text")).cast("binary")).alias("plain"))
 
 
 @query()
@@ -318,13 +318,14 @@ _ASCII = "regexp_replace({0}, '[^!-~]', '', 'g')"
 
 
 @query(f"WITH p AS ({views.PAIRS}), a AS (SELECT id, turn, {_ASCII.format('ref')} AS r, {_ASCII.format('hyp')} AS h FROM p) SELECT id, turn, round(levenshtein(r, h) / greatest(length(r), 1), 9) AS cer FROM a")
-def t_8_character_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+def t_8_ascii_character_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of the ASCII characters of whole texts, which is what SQL can count; the next one takes all."""
     clean = lambda c: F.regexp_replace(c, "[^!-~]", "")
-    return views.asr_prefixes(spark, sf_dir).select("id", "turn", r9(text.character_error_rate(clean("ref"), clean("hyp"))).alias("cer"))
+    return views.asr_pairs(spark, sf_dir).select("id", "turn", r9(text.character_error_rate(clean("ref"), clean("hyp"))).alias("cer"))
 
 
 @query()
-def t_8_whole_character_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+def t_8_character_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return views.asr_pairs(spark, sf_dir).select("id", "turn", r9(text.character_error_rate(F.col("ref"), F.col("hyp"))).alias("cer"))
 
 
@@ -355,11 +356,11 @@ def r_7_11_16_scales(spark: SparkSession, sf_dir: str) -> DataFrame:
 _CV = "CASE WHEN len({0}) = 0 THEN NULL ELSE sqrt(list_sum(list_transform({0}, lambda x: (x - list_avg({0})) * (x - list_avg({0})))) / len({0})) / abs(list_avg({0})) END"
 
 
-@query(f"""WITH e AS (SELECT vec_id AS id, list_transform(embedding[1:16], lambda x: round(x::DOUBLE, 4)) AS f, list_transform(embedding[17:32], lambda x: round(abs(x::DOUBLE), 4)) AS g FROM embeddings), p AS (SELECT id, list_filter(f, lambda x: x > 0) AS f, g FROM e),
+@query(f"""WITH e AS (SELECT vec_id AS id, list_transform(embedding[1:32], lambda x: round(x::DOUBLE, 4)) AS f, list_transform(embedding[33:64], lambda x: round(abs(x::DOUBLE), 4)) AS g FROM embeddings), p AS (SELECT id, list_filter(f, lambda x: x > 0) AS f, g FROM e),
     c AS (SELECT id, {_CV.format('f')} AS cf, {_CV.format('g')} AS cg FROM p) SELECT id, round(cg, 7) AS variation, round(exp(-abs(cf - 0.5) / 0.5), 7) AS f0, round(exp(-abs(cg - 0.8) / 0.8), 7) AS energy, round(0.5 * exp(-abs(cf - 0.5) / 0.5) + 0.5 * exp(-abs(cg - 0.8) / 0.8), 7) AS prosody FROM c""")
 def r_12_15_prosody(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = F.transform(F.slice("embedding", 1, 16), lambda x: F.round(x.cast("double"), 4))
-    g = F.transform(F.slice("embedding", 17, 16), lambda x: F.round(F.abs(x.cast("double")), 4))
+    f = F.transform(F.slice("embedding", 1, 32), lambda x: F.round(x.cast("double"), 4))
+    g = F.transform(F.slice("embedding", 33, 32), lambda x: F.round(F.abs(x.cast("double")), 4))
     df = views.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), f.alias("f"), g.alias("g"))
     r7 = lambda x: F.round(x, 7)
     a, b = F.lit(0.5), F.lit(0.8)
@@ -413,6 +414,56 @@ def pp_1_preference_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("reward_gap", F.round("reward_gap", 9))
 
 
+@query(f"""WITH {_CAND}, m AS (SELECT *, CASE WHEN i % 7 = 0 THEN clear ELSE 1.5 END AS clear2 FROM cand)
+    SELECT g, i, CASE WHEN i % 89 = 0 THEN 'reserved name' WHEN i % 83 = 0 THEN 'missing quality' WHEN i % 97 = 0 THEN 'not finite speaker' END AS fault,
+        CASE WHEN i % 97 <> 0 AND i % 89 <> 0 AND i % 83 <> 0 THEN round(0.5 * clear2 + 0.2 * speaker + 0.3 * quality, 9) END AS total, CASE WHEN i % 97 <> 0 AND i % 89 <> 0 AND i % 83 <> 0 THEN 4 END AS n FROM m""")
+def cr_3_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of two scorers, with texts and a total among them, and extra metrics that go before them."""
+    i = F.col("i")
+    one = F.create_map(F.lit("clear"), F.col("clear").cast("string"), F.lit("transcript"), F.lit("some words"), F.lit("total"), F.lit("7"), F.lit("speaker"), F.lit("0"))
+    two = F.create_map(F.lit("speaker"), F.when(i % 97 == 0, "NaN").otherwise(F.col("speaker").cast("string")), F.lit("quality"), F.when(i % 83 == 0, None).otherwise(F.col("quality").cast("string")))
+    extra = F.when(i % 89 == 0, F.create_map(F.lit("total"), F.lit(1.0))).when(i % 7 != 0, F.create_map(F.lit("clear"), F.lit(1.5)))
+    metrics, fault = REWARD.breakdown([one, two], extra)
+    df = views.candidates(spark, sf_dir).select("g", "i", metrics.alias("m"), fault.alias("fault"))
+    return df.select("g", "i", "fault", r9(F.col("m")["total"]).alias("total"), F.when(F.col("m").isNotNull(), F.size("m")).alias("n"))
+
+
+def _groups(spark: SparkSession, sf_dir: str, bad: bool) -> DataFrame:
+    """Candidates of each user as one row: an array in order of the event."""
+    c = views.candidates(spark, sf_dir)
+    clear = F.when(F.col("i") % 97 == 0, F.lit(float("nan"))).otherwise(F.col("clear")) if bad else F.col("clear")
+    metrics = F.create_map(F.lit("clear"), clear, F.lit("speaker"), "speaker", F.lit("quality"), "quality")
+    own = F.struct(F.array(F.col("i").cast("int")).alias("completion_input_ids"), metrics.alias("metrics"), F.lit(None).cast("array<struct<start_frame:int,end_frame:int,type:string>>").alias("error_spans"), F.lit(None).cast("array<boolean>").alias("selection_mask"))
+    rows = c.select("g", "i", own.alias("own")).groupBy("g").agg(F.collect_list(F.struct("i", "own")).alias("rows"))
+    by_i = F.array_sort("rows", lambda a, b: F.when(a["i"] < b["i"], -1).when(a["i"] > b["i"], 1).otherwise(0))
+    return rows.select("g", F.array(F.col("g").cast("int")).alias("prompt_input_ids"), F.transform(by_i, lambda r: r["own"]).alias("candidates"))
+
+
+_PAIR = """cand AS (SELECT *, 0.0::DOUBLE + 0.5 * clear + 0.2 * speaker + 0.3 * quality AS score FROM ({0})), ok AS (SELECT * FROM cand WHERE clear >= 0.1), best AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY score DESC, i) AS r FROM ok),
+    worst AS (SELECT o.g, b.i AS chosen, o.i AS rejected, b.score - o.score AS gap, row_number() OVER (PARTITION BY o.g ORDER BY o.score, o.i DESC) AS r FROM ok o JOIN best b ON o.g = b.g AND b.r = 1 AND b.i <> o.i
+        WHERE b.score - o.score >= 0.3 AND b.score > o.score AND b.speaker >= o.speaker - 0.5 AND b.clear >= o.clear AND b.quality >= o.quality),
+    size AS (SELECT g, count(*) AS n, count(*) FILTER (clear >= 0.1) AS passing, count(*) FILTER (i % 97 = 0) AS odd FROM cand GROUP BY g)"""
+
+
+@query(f"""WITH {_PAIR.format(views.CANDIDATES)}, x AS (SELECT s.g, CASE WHEN n < 2 THEN 'fewer than two candidates' WHEN odd > 0 THEN 'not finite clear' WHEN passing < 2 THEN 'fewer than two pass the thresholds' WHEN w.g IS NULL THEN 'no safe pair meets the gap' END AS reject_reason, chosen, rejected, gap FROM size s LEFT JOIN (SELECT * FROM worst WHERE r = 1) w ON s.g = w.g)
+    SELECT g, reject_reason, CASE WHEN reject_reason IS NULL THEN chosen END AS chosen, CASE WHEN reject_reason IS NULL THEN rejected END AS rejected, CASE WHEN reject_reason IS NULL THEN round(gap, 9) END AS reward_gap FROM x""")
+def pp_1_array_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = preferences.pairs_from_groups(_groups(spark, sf_dir, True), REWARD, 0.3)
+    return out.select("g", "reject_reason", F.get("chosen_input_ids", F.lit(0)).cast("long").alias("chosen"), F.get("rejected_input_ids", F.lit(0)).cast("long").alias("rejected"), r9(F.col("reward_gap")).alias("reward_gap"))
+
+
+@query(f"""WITH {_PAIR.format(views.CANDIDATES)}, n AS (SELECT count(*) AS accepted, (SELECT count(*) FROM size) - count(*) AS refused FROM worst WHERE r = 1)
+    SELECT chosen, rejected, round(gap, 9) AS reward_gap, accepted, refused FROM worst, n WHERE r = 1""")
+def pp_2_from_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Candidate groups written as JSON lines, read, selected from, written and counted in one pass."""
+    folder = shared.shared_folder(spark, "pairs")
+    writers.write_lines(_groups(spark, sf_dir, False).drop("g"), f"{folder}/in.jsonl")
+    accepted, refused = preferences.build_pairs(spark, f"{folder}/in.jsonl", f"{folder}/out.jsonl", REWARD, gap=0.3)
+    first = lambda c: F.get(c, F.lit(0)).cast("long")
+    out = readers.read_dataset(spark, f"{folder}/out.jsonl", schema="chosen_input_ids array<int>, rejected_input_ids array<int>, reward_gap double")
+    return out.select(first("chosen_input_ids").alias("chosen"), first("rejected_input_ids").alias("rejected"), r9(F.col("reward_gap")).alias("reward_gap"), F.lit(accepted).cast("long").alias("accepted"), F.lit(refused).cast("long").alias("refused"))
+
+
 # -- groups -------------------------------------------------------------------------------------
 @query("SELECT event_id, round(value - avg(value) OVER w, 9) AS centred, round((value - avg(value) OVER w) / stddev_pop(value) OVER w, 9) AS scaled FROM events WINDOW w AS (PARTITION BY user_id)")
 def agg_1_group_advantages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -583,3 +634,89 @@ def cch_7_8_remaining(spark: SparkSession, sf_dir: str) -> DataFrame:
     shards = views.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("shard"))
     done = views.table(spark, sf_dir, "lineitem").where("l_quantity > 45").select(F.col("l_partkey").alias("shard"))
     return cache.remaining(shards, done).withColumn("worker", cache.worker_of("shard", 8))
+
+
+_WS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+_SAID = f"SELECT doc_id, trim(text, {_WS}) AS text, text AS sound, source, n_chars FROM documents WHERE text IS NOT NULL AND trim(text, {_WS}) <> ''"
+
+
+def _sounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as utterances whose audio bytes are the text's own, with blanks around the text."""
+    df = views.table(spark, sf_dir, "documents")
+    return df.select("doc_id", F.encode("text", "UTF-8").alias("bytes"), F.concat(F.lit(" "), "text", F.lit("\n")).alias("text"), "source", "n_chars")
+
+
+@query(f"SELECT md5(text) AS text, md5(sound) AS audio, source AS speaker, n_chars / 16.0::DOUBLE AS duration FROM ({_SAID})")
+def src_1_parquet_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shards with rows that have no bytes or a blank text beside all others."""
+    folder = shared.shared_folder(spark, "shards")
+    df = _sounds(spark, sf_dir)
+    rows = df.select(F.struct(F.col("bytes"), F.lit("p").alias("path")).alias("mp3"), "text", F.col("source").alias("speaker"), (F.col("n_chars") / 16.0).alias("duration"))
+    spoilt = rows.select(F.struct(F.lit(None).cast("binary").alias("bytes"), F.lit("p").alias("path")).alias("mp3"), "text", "speaker", "duration").unionAll(rows.select("mp3", F.lit(" \t"), "speaker", "duration"))
+    writers.write_dataset(rows.unionAll(spoilt), f"{folder}/data")
+    got = readers.read_shards(spark, f"{folder}/data")
+    return got.select(F.md5(F.col("text").cast("binary")).alias("text"), F.md5("audio").alias("audio"), "speaker", "duration")
+
+
+@query(f"SELECT 'd' || doc_id AS stem, md5(text) AS text, md5(sound) AS audio, n_chars / 16.0::DOUBLE AS duration FROM ({_SAID})")
+def src_2_tar_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = shared.shared_folder(spark, "tars")
+    rows = _sounds(spark, sf_dir).where("bytes IS NOT NULL").select(F.concat(F.lit("d"), "doc_id").alias("stem"), F.col("bytes").alias("audio"), "text", (F.col("n_chars") / 16.0).alias("duration"))
+    writers.write_tars(rows, folder, 16)
+    got = readers.read_tars(spark, f"{folder}/*.tar")
+    return got.select("stem", F.md5(F.col("text").cast("binary")).alias("text"), F.md5("audio").alias("audio"), "duration")
+
+
+@query("SELECT doc_id, md5(text) AS text, lang, kind FROM documents, (VALUES ('json'), ('parquet'), ('split')) k(kind)")
+def src_4_snk_1_3_datasets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A table written as JSON lines, as Parquet and as a saved data set with splits, and read back by suffix."""
+    folder = shared.shared_folder(spark, "sets")
+    df = views.table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    writers.write_lines(df, f"{folder}/a.jsonl")
+    writers.write_dataset(df, f"{folder}/b.parquet", records_per_file=500)
+    writers.write_dataset(df.withColumn("split", F.lit("train")).unionByName(df.withColumn("split", F.lit("test"))), f"{folder}/saved")
+    parts = {"json": readers.read_dataset(spark, f"{folder}/a.jsonl", schema=df.schema.simpleString().removeprefix("struct<").removesuffix(">").replace(":", " ")), "parquet": readers.read_dataset(spark, f"{folder}/b.parquet"), "split": readers.read_dataset(spark, f"{folder}/saved", "test")}
+    out = None
+    for kind, part in parts.items():
+        part = part.select("doc_id", F.md5(F.col("text").cast("binary")).alias("text"), "lang", F.lit(kind).alias("kind"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+@query("SELECT vec_id AS id, 64 AS samples, round(embedding[1]::DOUBLE, 9) AS first FROM embeddings WHERE list_max(list_transform(embedding, lambda x: abs(x))) <= 1 UNION ALL SELECT vec_id, 64, round(least(greatest(embedding[1]::DOUBLE, -1), 1), 9) FROM embeddings WHERE NOT list_max(list_transform(embedding, lambda x: abs(x))) <= 1")
+def src_9_audio_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Arrays go before bytes, and come through without a change of rate."""
+    df = views.table(spark, sf_dir, "embeddings")
+    clipped = F.transform("embedding", lambda x: F.least(F.greatest(x.cast("double"), F.lit(-1.0)), F.lit(1.0)))
+    value = F.struct(F.encode(F.lit("no wave"), "UTF-8").alias("bytes"), F.lit(None).cast("string").alias("path"), clipped.alias("array"), F.lit(24000).alias("sampling_rate"))
+    return df.select(F.col("vec_id").alias("id"), audio.waveform(value).alias("w")).select("id", F.size("w").alias("samples"), r9(F.col("w")[0]).alias("first"))
+
+
+@query("SELECT CAST(vec_id AS VARCHAR) AS name, 64 AS samples, 64 AS read FROM embeddings")
+def snk_5_waves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector as a WAV file, with rows of null between, and the files read back."""
+    folder = shared.shared_folder(spark, "waves")
+    df = views.table(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("string").alias("name"), "embedding")
+    rows = df.unionAll(df.select(F.concat(F.lit("none"), "name"), F.lit(None).cast("array<float>")))
+    written = folder + "/list"
+    writers.write_dataset(writers.save_waves(rows, f"{folder}/out", "name", "embedding"), written)
+    files = spark.read.format("binaryFile").load(f"{folder}/out/*.wav").select(F.regexp_extract("path", r"([^/]*)\.wav$", 1).alias("name"), F.col("content").alias("bytes"))
+    value = F.struct("bytes", F.lit(None).cast("string").alias("path"), F.lit(None).cast("array<float>").alias("array"), F.lit(24000).alias("sampling_rate"))
+    files = files.select("name", F.size(audio.waveform(value)).alias("read"))
+    return spark.read.parquet(written).select("name", F.col("samples").cast("int").alias("samples")).join(files, "name")
+
+
+@query("SELECT source, count(*) AS n, 0 AS \"left\" FROM documents WHERE source IS NOT NULL GROUP BY source")
+def cch_1_6_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Source files made into rows of a cache in two passes, the second one over what the first left."""
+    folder = shared.shared_folder(spark, "cache")
+    df = views.table(spark, sf_dir, "documents").where("source IS NOT NULL").select("doc_id", "source")
+    df.repartition(6, "doc_id").write.parquet(f"{folder}/in")
+    files = cache.source_files(spark, f"{folder}/in", pattern="*.parquet")
+    files = files.withColumn("name", F.regexp_extract("path", "[^/]*$", 0))
+    for few in (True, False):
+        made = cache.TokenCache(files, {"codec": "toy", "start": 100}, f"{folder}/work")
+        left = [r["path"] for r in made.remaining().orderBy("shard").collect()]
+        rows = spark.read.parquet(*(left[:3] if few else left)).withColumn("name", F.regexp_extract(F.input_file_name(), "[^/]*$", 0))
+        made.add(rows.join(files.select("name", "shard"), "name").drop("name"))
+    return made.rows().groupBy("source").agg(F.count("*").alias("n")).withColumn("left", F.lit(made.remaining().count()))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import json
 import tempfile
 import uuid
@@ -16,7 +17,7 @@ def _path(spark: SparkSession, uri: str):  # noqa: ANN202
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new folder under ``spark.checkpoint.dir``, which all executors share. Without the setting
+    """A folder under ``spark.checkpoint.dir``, which all executors share, removed at exit. Without the setting
     local runs get a temporary folder; a cluster gets an error."""
     root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not root:
@@ -24,7 +25,17 @@ def shared_folder(spark: SparkSession, name: str) -> str:
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="tessitura-")
         spark.conf.set("spark.checkpoint.dir", root)
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    folder = f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    atexit.register(_remove, spark, folder)
+    return folder
+
+
+def _remove(spark: SparkSession, uri: str) -> None:
+    try:
+        where, store = _path(spark, uri)
+        store.delete(where, True)
+    except Exception:  # noqa: BLE001 - the session may be gone; the folder is scratch
+        return
 
 
 def exists(spark: SparkSession, uri: str) -> bool:
