@@ -6,13 +6,18 @@ Resampling is a windowed-sinc filter of our own: close to, not equal to, any oth
 from __future__ import annotations
 
 import io
+import os
 import wave
+from collections.abc import Callable, Mapping
 
 import numpy as np
 import pandas as pd
+from pyarrow import fs
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+#: Output samples that are resampled at once.
+BLOCK = 8192
 MONO_RULES = ("smaller", "second", "last", "strict", "first")
 
 
@@ -46,43 +51,69 @@ def resample(samples: np.ndarray, rate: int, target: int, zeros: int = 16) -> np
     n = int(np.ceil(len(samples) * target / rate))
     cut = min(1.0, target / rate)
     width = int(np.ceil(zeros / cut))
-    at = np.arange(n) * rate / target
-    left = np.floor(at).astype(int)[:, None] + np.arange(-width + 1, width + 1)[None, :]
-    gap = at[:, None] - left
-    weight = cut * np.sinc(cut * gap) * np.cos(np.pi * np.clip(gap / width, -1, 1) / 2) ** 2
-    inside = (left >= 0) & (left < len(samples))
-    return (weight * np.where(inside, samples[np.clip(left, 0, len(samples) - 1)], 0)).sum(axis=1)
+    padded = np.concatenate([np.zeros(width), samples, np.zeros(width + 1)])
+    out = np.empty(n)
+    for first in range(0, n, BLOCK):  # the matrix of taps is as large as a block, not as the recording
+        at = np.arange(first, min(first + BLOCK, n)) * rate / target
+        left = np.floor(at).astype(int)[:, None] + np.arange(-width + 1, width + 1)[None, :]
+        gap = at[:, None] - left
+        weight = cut * np.sinc(cut * gap) * np.cos(np.pi * np.clip(gap / width, -1, 1) / 2) ** 2
+        out[first : first + BLOCK] = (weight * padded[np.clip(left + width, 0, len(padded) - 1)]).sum(axis=1)
+    return out
 
 
 def decode_wave(data: bytes) -> tuple[np.ndarray, int]:
     with wave.open(io.BytesIO(data)) as f:
-        kind = {1: np.uint8, 2: np.dtype("<i2"), 4: np.dtype("<i4")}[f.getsampwidth()]
-        raw = np.frombuffer(f.readframes(f.getnframes()), kind).astype(np.float64)
-        raw = (raw - 128) / 128 if kind is np.uint8 else raw / float(2 ** (8 * f.getsampwidth() - 1))
+        data, width = f.readframes(f.getnframes()), f.getsampwidth()
+        if width == 3:  # as the upper three bytes of four
+            three = np.frombuffer(data, np.uint8).reshape(-1, 3)
+            data, width = np.concatenate([np.zeros((len(three), 1), np.uint8), three], axis=1).tobytes(), 4
+        kind = {1: np.uint8, 2: np.dtype("<i2"), 4: np.dtype("<i4")}[width]
+        raw = np.frombuffer(data, kind).astype(np.float64)
+        raw = (raw - 128) / 128 if kind is np.uint8 else raw / float(2 ** (8 * width - 1))
         return raw.reshape(-1, f.getnchannels()), f.getframerate()
 
 
-def waveform(audio: Column, target: int = 24000, rule: str = "second") -> Column:
+Decoder = Callable[[bytes], tuple[np.ndarray, int]]
+
+
+def waveform(audio: Column, target: int = 24000, rule: str = "second", decoders: Mapping[str, Decoder] | None = None) -> Column:
     """Samples at the target rate of an audio struct (array, bytes, path, sampling_rate); null where
-    it can't be decoded. An array goes before bytes; only wave data is decoded here."""
+    it can't be decoded. An array goes before bytes, bytes before the file at the path, which is a
+    local path of the executors or a URI. Wave data is decoded here; ``decoders`` has what decodes other
+    kinds, by the suffix of the path. ``fault`` tells which rows had audio and gave none."""
+    known = dict(decoders or {})
 
     @F.pandas_udf("array<double>")
-    def run(array: pd.Series, data: pd.Series, rate: pd.Series) -> pd.Series:
-        def one(a, b, r):  # noqa: ANN001, ANN202
+    def run(array: pd.Series, data: pd.Series, path: pd.Series, rate: pd.Series) -> pd.Series:
+        def one(a, b, p, r):  # noqa: ANN001, ANN202
             try:
                 if a is not None:
                     samples, own = np.asarray(a, np.float64), int(r)
-                elif b is not None:
-                    samples, own = decode_wave(bytes(b))
+                elif b is not None or p is not None:
+                    suffix = os.path.splitext(p or "")[1].lower()
+                    samples, own = known.get(suffix, decode_wave)(bytes(b) if b is not None else read_file(p))
                 else:
                     return None
                 return resample(mono(samples, rule), own, target)
-            except (ValueError, TypeError, EOFError, KeyError, wave.Error):
+            except (ValueError, TypeError, EOFError, KeyError, OSError, wave.Error):
                 return None
 
-        return pd.Series([one(a, b, r) for a, b, r in zip(array, data, rate, strict=True)])
+        return pd.Series([one(*x) for x in zip(array, data, path, rate, strict=True)])
+
+    return run(audio["array"], audio["bytes"], audio["path"], audio["sampling_rate"])
+
+
+def read_file(path: str) -> bytes:
+    where, place = fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path.removeprefix("file:"))
+    with where.open_input_stream(place) as f:
+        return f.read()
+
 
-    return run(audio["array"], audio["bytes"], audio["sampling_rate"])
+def fault(audio: Column, wave_: Column) -> Column:
+    """``no audio`` where there is none, ``cannot decode`` where it gave no samples; else null."""
+    there = audio["array"].isNotNull() | audio["bytes"].isNotNull() | audio["path"].isNotNull()
+    return F.when(~there, "no audio").when(wave_.isNull(), "cannot decode")
 
 
 def duration(given: Column, wave_: Column, rate: int) -> Column:

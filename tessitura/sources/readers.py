@@ -73,7 +73,7 @@ def pair_members(path: str, content: BinaryIO) -> Iterator[dict]:
         for m in tar:
             if m.isfile():
                 members[m.name] = m
-    except (tarfile.TarError, EOFError):
+    except (tarfile.TarError, EOFError, OSError):
         if not members:
             return
     for name in sorted(members):
@@ -89,7 +89,7 @@ def pair_members(path: str, content: BinaryIO) -> Iterator[dict]:
             number = lambda key, meta=meta: None if meta.get(key) is None else float(meta[key])
             speaker = meta.get("speaker")
             yield {"path": path, "stem": stem, "audio": tar.extractfile(members[audio]).read(), "audio_name": audio, "text": text.strip(), "speaker": None if speaker is None else str(speaker), "duration": number("duration"), "dnsmos": number("dnsmos")}
-        except (ValueError, TypeError, AttributeError, tarfile.TarError, EOFError):
+        except (ValueError, TypeError, AttributeError, tarfile.TarError, EOFError, OSError):
             continue
 
 

@@ -155,6 +155,40 @@ def test_waveform_and_toy_codec(spark, tmp_path):
     assert codes == [[5, 18, 2, 17], None, [7, 18]]
 
 
+def test_audio_by_path_and_plug_in(spark, tmp_path):
+    path = str(tmp_path / "w.wav")
+    writers.save_wave([0.0, 0.5], path)
+    rows = [((None, path, None, None),), ((None, f"file://{path}", None, None),), ((b"xy", "a.mp3", None, None),), ((b"xy", "a.flac", None, None),), ((None, "gone.wav", None, None),), ((None, None, None, None),)]
+    df = spark.createDataFrame(rows, "audio struct<bytes:binary,path:string,array:array<float>,sampling_rate:int>").coalesce(1)
+    w = audio.waveform(F.col("audio"), decoders={".mp3": lambda data: (np.array([float(len(data))]), 24000)})
+    got = df.select("audio", w.alias("w")).select("w", audio.fault(F.col("audio"), F.col("w")).alias("f")).collect()
+    assert [len(r.w) if r.w else None for r in got] == [2, 2, 1, None, None, None]
+    assert [r.f for r in got] == [None, None, None, "cannot decode", "cannot decode", "no audio"]
+
+
+def test_resample_in_blocks():
+    rng = np.random.default_rng(1)
+    x = rng.standard_normal(30_000)
+    whole = audio.resample(x, 3, 2)
+    assert len(whole) == 20_000 and np.allclose(audio.resample(x[:9000], 3, 2)[:5000], whole[:5000])
+
+
+def test_damaged_archives(spark, tmp_path):
+    def member(tar, name, data):
+        info = tarfile.TarInfo(name)
+        info.size = len(data)
+        tar.addfile(info, io.BytesIO(data))
+
+    with tarfile.open(tmp_path / "a.tar", "w") as tar:
+        for k, meta in enumerate((b'{"text": " said "}', b'{"text": 5}', b'[1]', b'{"text": "x", "duration": "long"}')):
+            member(tar, f"{k}.json", meta)
+            member(tar, f"{k}.wav", b"w")
+    (tmp_path / "b.tar").write_bytes(b"no archive at all" * 100)
+    (tmp_path / "c.tar").write_bytes((tmp_path / "a.tar").read_bytes()[:1600])
+    rows = readers.read_tars(spark, f"file://{tmp_path}/*.tar").collect()
+    assert [(r.stem, r.text) for r in rows if r.path.endswith("a.tar")] == [("0", "said")] and len(rows) <= 2
+
+
 def test_stages(tmp_path):
     seen = []
     given = [{"name": "a"}, {"name": "off", "enabled": False}, {"name": "b"}, {"name": "c", "input_from": "a"}, {"name": "d", "input_from": "initial"}]
