@@ -41,9 +41,14 @@ def assemble(df: DataFrame, lay: TokenLayout, text_ids: Column, completion_only:
     return df.select(*keys, "input_ids", labels.alias("labels"), arrays.attention(F.col("input_ids")).alias("attention_mask"), F.col("text").alias("reference_text"), F.col("speaker").alias("speaker_id"), *optional)
 
 
-def prompts(df: DataFrame, lay: TokenLayout, voice: str | None = None) -> DataFrame:
-    """Inference prompts from ``text``, and the column named ``voice``."""
-    said = text.prompt_text(F.col("text"), F.col(voice) if voice else None, "voice")
+def prompts(df: DataFrame, lay: TokenLayout, voice: str | None = None, voices: tuple[str, ...] = (), seed: int = 0) -> DataFrame:
+    """Inference prompts from ``text``, and the column named ``voice``. With ``voices``, rows without a
+    voice get one of these, drawn by the seed and the row's own values, so that reruns agree."""
+    speaker = F.col(voice) if voice else None
+    if voices:
+        drawn = F.element_at(F.array(*map(F.lit, voices)), (F.pmod(F.xxhash64(F.lit(seed), *df.columns), F.lit(len(voices))) + 1).cast("int"))
+        speaker = drawn if speaker is None else F.coalesce(speaker, drawn)
+    said = text.prompt_text(F.col("text"), speaker, "voice")
     return df.withColumn("prompt", prompt_tokens(text.code_points(said), lay))
 
 

@@ -30,10 +30,12 @@ def resolve(stages: list[Mapping], output_dir: str, initial: str) -> list[dict]:
 
 
 def run(stages: list[Mapping], output_dir: str, initial: str, runner: Callable[[dict], None] | None, dry_run: bool = False) -> dict[str, str]:
-    """Runs the stages and keeps ``pipeline_state.json`` up to date; returns the outputs by name."""
+    """Runs the stages and keeps ``pipeline_state.json`` up to date; returns the outputs by name.
+    What a stage was given, its input and output resolved, stands in its folder as ``resolved.json``."""
     plan = resolve(stages, output_dir, initial)
     finished: dict[str, str] = {}
     for stage in plan:
+        publish_json(stage, os.path.join(stage["output"], "resolved.json"))
         if not dry_run:
             runner(stage)
             finished[stage["name"]] = stage["output"]

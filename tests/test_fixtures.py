@@ -189,6 +189,17 @@ def test_skyline(spark, names):
     assert sorted(x.i for x in got.collect()) == want
 
 
+def test_random_voices(spark):
+    from tessitura.operators import sequences
+
+    df = spark.createDataFrame([(k, f"text {k}", "own" if k % 2 else None) for k in range(40)], "k long, text string, v string")
+    lay = layout("lfm2_5")
+    draw = lambda seed: {r.k: "".join(map(chr, r.prompt[1:-2])) for r in sequences.prompts(df, lay, "v", ("ann", "bob"), seed).collect()}
+    got = draw(1)
+    assert got == draw(1) != draw(2)
+    assert {got[k].split(": ")[0] for k in got if k % 2} == {"own"} and {got[k].split(": ")[0] for k in got if not k % 2} == {"ann", "bob"}
+
+
 def test_edit_distance_beyond_letters(spark):
     import random
 

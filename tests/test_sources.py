@@ -195,6 +195,7 @@ def test_stages(tmp_path):
     out = stages.run(given, str(tmp_path), "base", seen.append)
     assert [(s["name"], os.path.basename(s["input"])) for s in seen] == [("a", "base"), ("b", "a"), ("c", "a"), ("d", "base")]
     assert json.loads((tmp_path / "pipeline_state.json").read_text())["completed"] == out
+    assert json.loads((tmp_path / "c" / "resolved.json").read_text()) == {"name": "c", "input": out["a"], "output": out["c"], "config": {}}
     for bad in ([{"name": "a"}, {"name": "a"}], [{"name": "../x"}], [{"name": "a", "input_from": "z"}]):
         with pytest.raises(ValueError):
             stages.resolve(bad, "o", "i")
