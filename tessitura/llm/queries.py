@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessitura.llm import bpe, chat, common, fingerprints, lines, mixing, near, neighbours, pii, quality, sharding, token_files
+from tessitura.llm import bpe, chat, collocations, common, fingerprints, lines, mixing, near, neighbours, pii, quality, ranking, sharding, token_files
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -66,6 +66,14 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.edit_probe(_table(spark, sf_dir, "documents"))
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.mine(_table(spark, sf_dir, "documents"))
+
+
+def op12_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranking.rank(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op13_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find_pii(_table(spark, sf_dir, "documents"))
     base = F.filter("spans", lambda s: s["base"])
@@ -90,6 +98,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_sharding": op8_sharding,
     "op9_line_dedup": op9_line_dedup,
     "op10_fingerprints": op10_fingerprints,
+    "op11_collocations": op11_collocations,
+    "op12_ranking": op12_ranking,
     "op13_pii": op13_pii,
     "pipeline": pipeline,
 }
@@ -122,4 +132,44 @@ ORACLE_SQL: dict[str, str] = {
             length(CASE WHEN n_removed > 0 THEN kept ELSE text END) AS kept_chars,
             sha256(CASE WHEN n_removed > 0 THEN kept ELSE text END) AS text_sha256
         FROM documents d LEFT JOIN per USING (doc_id)""",
+    "op11_collocations": r"""
+        WITH pieces AS (
+            SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+            FROM documents),
+        split AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS words FROM pieces),
+        starts AS (SELECT lang, words, unnest(range(1, len(words) + 1)) AS i FROM split),
+        grams AS (SELECT lang, words, i, unnest(range(1, least(4, len(words) - i + 1) + 1)) AS m FROM starts),
+        f AS (SELECT lang, array_to_string(words[i : i + m - 1], ' ') AS phrase, CAST(count(*) AS BIGINT) AS f FROM grams GROUP BY ALL),
+        total AS (SELECT lang, CAST(count(*) AS BIGINT) AS n FROM starts GROUP BY lang),
+        candidate AS (SELECT lang, phrase, f AS a, string_split(phrase, ' ') AS words FROM f WHERE f >= 30 AND contains(phrase, ' ')),
+        cut AS (SELECT *, unnest(range(1, len(words))) AS k FROM candidate),
+        parts AS (
+            SELECT c.lang, c.phrase, c.a, c.k, l.f AS l, r.f AS r, CAST((2000000::HUGEINT * c.a) // (l.f + r.f) AS BIGINT) AS score
+            FROM cut c JOIN f l ON l.lang = c.lang AND l.phrase = array_to_string(c.words[1 : c.k], ' ')
+            JOIN f r ON r.lang = c.lang AND r.phrase = array_to_string(c.words[c.k + 1 :], ' ')),
+        weakest AS (SELECT * FROM parts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+        held AS (
+            SELECT DISTINCT c.lang, c.phrase FROM candidate c JOIN candidate o ON o.lang = c.lang AND len(o.words) > len(c.words)
+                AND contains(' ' || o.phrase || ' ', ' ' || c.phrase || ' ') AND 100 * o.a >= 80 * c.a)
+        SELECT w.lang, row_number() OVER (PARTITION BY w.lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
+        FROM weakest w JOIN total USING (lang) WHERE NOT EXISTS (FROM held h WHERE h.lang = w.lang AND h.phrase = w.phrase)
+        QUALIFY rank <= 2000""",
+    "op12_ranking": r"""
+        WITH terms AS (
+            SELECT row_number() OVER () AS row, doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms
+            FROM documents),
+        docs AS (SELECT row, doc_id, CAST(len(terms) AS BIGINT) AS n, terms FROM terms WHERE len(terms) > 0),
+        whole AS (SELECT count(*) AS docs, CAST(sum(n) AS BIGINT) AS length FROM docs),
+        asked AS (
+            SELECT item_id, term, count(*) AS qtf FROM (
+                SELECT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+                FROM benchmark) GROUP BY ALL),
+        postings AS (SELECT row, doc_id, n, term, count(*) AS tf FROM (SELECT row, doc_id, n, unnest(terms) AS term FROM docs) WHERE term IN (SELECT term FROM asked) GROUP BY ALL),
+        weights AS (SELECT term, CAST(floor(1000 * ln((2 * any_value(docs) + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM postings, whole GROUP BY term),
+        worth AS (SELECT row, doc_id, term, (1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * docs) // length)) AS impact FROM postings, whole),
+        scores AS (
+            SELECT item_id, doc_id, row, CAST(sum(qtf * w * impact) AS BIGINT) AS score
+            FROM asked JOIN weights USING (term) JOIN worth USING (term) GROUP BY ALL)
+        SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST) AS INTEGER) AS rank, doc_id, score
+        FROM scores WHERE score > 0 QUALIFY rank <= 10""",
 }
