@@ -1,10 +1,10 @@
 """Line dedup by distinct-site spread.
 
-A line that stands on many sites is boilerplate. A HyperLogLog sketch of the sites of each
-line's hash is merged by aggregation, map side first; lines whose estimate is clear of the
-threshold are decided by it, lines near it by an exact count of distinct sites. Boilerplate
-lines are then taken out wherever they stand. Equal texts count as one site, the least of theirs,
-so that copies of a page do not vote its own lines out.
+A line that stands on many sites is boilerplate, if it also stands in as many different texts: a page
+that is copied to many sites does not vote its own lines out. HyperLogLog sketches of the sites and of
+the texts of each line's hash are merged by aggregation, map side first; lines whose estimates are
+both clear of the threshold are decided by them, lines near it by exact counts of distinct sites
+and texts. Boilerplate lines are then taken out wherever they stand.
 
 Everything is built-in column functions. The lines' keys, two 64-bit hashes each, are written
 once and read by all passes; texts are shuffled once, to meet the numbers of the lines they lose, by
@@ -51,14 +51,18 @@ def _text_keys(docs: DataFrame, id_col: str, site_col: str, text_col: str) -> di
 
 
 def boilerplate(lines: DataFrame, scratch: Scratch, min_sites: int = MIN_SITES) -> DataFrame:
-    """The keys of lines that stand on ``min_sites`` sites at least. A null site is a site of its own."""
-    # by line and text first, so that neither a common line nor a group of copies meets in one task
-    once = lambda x: x.groupBy(*KEYS, "t1", "t2").agg(F.min("site").alias("site")).select(*KEYS, "site")
-    spread = once(lines).groupBy(*KEYS).agg(F.hll_sketch_estimate(F.hll_sketch_agg("site", LG_REGISTERS)).alias("sites")).where(F.col("sites") >= min_sites * (1 - MARGIN))
-    spread = scratch.save(spread, "spread")
-    near = spread.where(F.col("sites") < min_sites * (1 + MARGIN)).select(*KEYS)
-    exact = once(lines.join(near, KEYS, "left_semi")).distinct().groupBy(*KEYS).count().where(F.col("count") >= min_sites).select(*KEYS)
-    return scratch.save(spread.where(F.col("sites") >= min_sites * (1 + MARGIN)).select(*KEYS).unionAll(exact), "boilerplate")
+    """The keys of lines that stand on ``min_sites`` sites and in as many different texts, at least. A
+    null site is a site of its own."""
+    # each site and text of a line once, so that neither a common line nor a group of copies meets in one task
+    once = lines.select(*KEYS, "t1", "t2", "site").distinct()
+    sketch = lambda c: F.hll_sketch_estimate(F.hll_sketch_agg(c, LG_REGISTERS))
+    least, clear = min_sites * (1 - MARGIN), min_sites * (1 + MARGIN)
+    spread = once.groupBy(*KEYS).agg(sketch("site").alias("sites"), sketch("t1").alias("texts"))
+    spread = scratch.save(spread.where((F.col("sites") >= least) & (F.col("texts") >= least)), "spread")
+    sure = (F.col("sites") >= clear) & (F.col("texts") >= clear)
+    near = once.join(spread.where(~sure).select(*KEYS), KEYS, "left_semi")
+    exact = near.groupBy(*KEYS).agg(F.count_distinct("site").alias("sites"), F.count_distinct("t1", "t2").alias("texts")).where((F.col("sites") >= min_sites) & (F.col("texts") >= min_sites))
+    return scratch.save(spread.where(sure).select(*KEYS).unionAll(exact.select(*KEYS)), "boilerplate")
 
 
 def strip_boilerplate(docs: DataFrame, id_col: str = "doc_id", site_col: str = "source", text_col: str = "text", min_sites: int = MIN_SITES) -> DataFrame:

@@ -226,10 +226,19 @@ def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", tex
     return line.select(*("`" + c.replace("`", "``") + "`" for c in keep), *(c.alias(new[n]) for n, c in made.items()))
 
 
+def shard_words(draws: Column, shards: int = SHARDS) -> Column:
+    """How many of a document's words each shard takes: an array with a number for each shard."""
+    words = lambda shard: F.aggregate(F.filter(draws, lambda d: d["shard"] == shard), F.lit(0).cast("long"), lambda a, d: a + d["words"])
+    return F.transform(F.sequence(F.lit(0), F.lit(shards - 1)), words)
+
+
 def shuffled(mixed: DataFrame, draws: str = "draws", slices: int = 64) -> DataFrame:
     """A row for each draw of a mix: the row's own columns, with ``shard`` and ``order`` of the draw,
-    in this order within partitions. A shard is dealt to tasks in ``slices`` ranges of the order."""
-    rows = mixed.select(*(c for c in mixed.columns if c != draws), F.explode(draws).alias("draw"))
+    in this order within partitions. A shard is dealt to tasks in ``slices`` ranges of the order.
+
+    Rows whose ``draws`` are null or empty give none, copies give a row each, and an empty mix an empty
+    table. Columns ``shard`` and ``order`` of the mix are replaced."""
+    rows = mixed.select(*("`" + c.replace("`", "``") + "`" for c in mixed.columns if c.lower() not in (draws.lower(), "shard", "order")), F.explode(draws).alias("draw"))
     rows = rows.select("*", F.col("draw.shard").alias("shard"), F.col("draw.order").alias("order")).drop("draw")
     place = F.pmod(F.shiftright("order", 40), F.lit(slices)) if slices & (slices - 1) else F.shiftrightunsigned(F.col("order").bitwiseXOR(F.lit(-(2**63))), 64 - slices.bit_length() + 1)
     return rows.repartition("shard", place).sortWithinPartitions("shard", place, "order")

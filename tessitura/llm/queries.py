@@ -39,7 +39,7 @@ def op4_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(_table(spark, sf_dir, "documents"), keep=["doc_id"]).select("doc_id", "size", "source_size", "target", "taken")
+    return mixing.mix(_table(spark, sf_dir, "documents"), keep=["doc_id"]).select("doc_id", "size", "source_size", "target", "taken", mixing.shard_words(F.col("draws")).alias("shard_words"))
 
 
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -121,8 +121,7 @@ ORACLE_SQL: dict[str, str] = {
         WITH split AS (SELECT doc_id, coalesce('=' || source, '') AS site, string_split(text, chr(10)) AS parts, md5(text) AS copy FROM documents),
         line AS (SELECT doc_id, site, copy, unnest(parts) AS raw, unnest(range(1, len(parts) + 1)) AS pos FROM split),
         trimmed AS (SELECT *, trim(raw, ' ' || chr(9) || chr(11) || chr(12) || chr(13)) AS line FROM line),
-        once AS (SELECT line, copy, min(site) AS site FROM trimmed WHERE line <> '' GROUP BY line, copy),
-        spread AS (SELECT line FROM once GROUP BY line HAVING count(DISTINCT site) >= {lines.MIN_SITES}),
+        spread AS (SELECT line FROM trimmed WHERE line <> '' GROUP BY line HAVING count(DISTINCT site) >= {lines.MIN_SITES} AND count(DISTINCT copy) >= {lines.MIN_SITES}),
         marked AS (SELECT *, line IN (SELECT line FROM spread) AS gone FROM trimmed),
         per AS (
             SELECT doc_id, CAST(count(*) FILTER (line <> '') AS BIGINT) AS n_lines, CAST(count(*) FILTER (gone) AS BIGINT) AS n_removed,

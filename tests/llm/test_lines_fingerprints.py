@@ -11,18 +11,15 @@ SCHEMA = "doc_id long, source string, text string, n_lines int"
 
 def plain_strip(rows, min_sites):
     trim = lambda x: x.strip(" \t\r\x0b\x0c")
-    least = {}  # the site that stands for all copies of a text
+    sites, texts = defaultdict(set), defaultdict(set)
     for _, s, t, _ in rows:
-        if t is not None:
-            least[t] = min(least.get(t, (s is not None, s or "")), (s is not None, s or ""))
-    sites = defaultdict(set)
-    for t, s in least.items():
-        for x in t.split("\n"):
-            sites[trim(x)].add(s)
+        for x in [] if t is None else t.split("\n"):
+            sites[trim(x)].add((s is not None, s or ""))
+            texts[trim(x)].add(t)
     out = []
     for i, _, t, _ in rows:
         parts = [] if t is None else t.split("\n")
-        gone = [bool(trim(x)) and len(sites[trim(x)]) >= min_sites for x in parts]
+        gone = [bool(trim(x)) and min(len(sites[trim(x)]), len(texts[trim(x)])) >= min_sites for x in parts]
         kept = "\n".join(x for x, g in zip(parts, gone, strict=True) if not g)
         out.append((i, None if t is None else kept, sum(bool(trim(x)) for x in parts), sum(gone)))
     return sorted(map(repr, out))
@@ -42,6 +39,14 @@ def test_lines_against_plain(spark):
     assert lines.strip_boilerplate(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
+def test_articles_that_each_stand_on_many_sites(spark):
+    rows = [(20 * a + s, f"s{s}", f"article {a}\nsubscribe to our newsletter\nits own end {a}", 1) for a in range(100) for s in range(20)]
+    rows += [(5000 + s, f"s{s}", "one page\nthat is copied", 1) for s in range(20)]
+    got = lines.strip_boilerplate(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert sum(r.n_removed for r in got) == 2000
+    assert all(r.n_removed == (r.doc_id < 5000) and "newsletter" not in r.text for r in got)
+
+
 ROWS = [(5, "First paragraph here. And more of it!\n\nSecond one. " * 9), (2, "short"), (9, None), (None, "null id text"), (7, ""), (2, "short"), (11, "é👍" * 300), (3, "word " * 20_000), (-1, "x\ny")]
 
 

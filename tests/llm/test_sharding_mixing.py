@@ -132,17 +132,24 @@ def test_mix_against_word_by_word(spark):
 
 
 def test_the_tree_decides(spark, monkeypatch):
-    """What documents give changes if the tree's quotas or the permutation are replaced by stubs."""
+    """What shards take changes if the permutation, or the quotas, are replaced by stubs; the quotas'
+    stub keeps every source's sum, so that what a document gives in all stays."""
     df = corpus(spark)[1].drop("TAKEN")
-    take = lambda: sorted((str(r.doc_id), r.taken) for r in mixing.mix(df, block_words=64, keep=["doc_id"]).collect())
-    right = take()
+
+    def take():
+        rows = mixing.mix(df, block_words=64, keep=["doc_id"]).select("*", mixing.shard_words(F.col("draws")).alias("shard_words")).collect()
+        assert all(sum(r.shard_words) == r.taken and len(r.shard_words) == 8 for r in rows)
+        return sorted((str(r.doc_id), r.taken) for r in rows), sorted((str(r.doc_id), r.shard_words) for r in rows)
+
+    taken, shards = take()
     with monkeypatch.context() as m:
         m.setattr(mixing, "permuted", lambda number, size, seed, key: number)
-        assert take() != right
+        assert take()[0] != taken
     real = mixing.quotas
     with monkeypatch.context() as m:
-        m.setattr(mixing, "quotas", lambda blocks, shards, seed: real(blocks.withColumn("blocks", F.floor(F.col("blocks") / 2)), shards, seed))
-        assert take() != right
+        m.setattr(mixing, "quotas", lambda blocks, n, seed: real(blocks, n, seed).withColumn("upto", F.array_repeat(F.element_at("upto", -1), n)))
+        stub = take()
+        assert stub[0] == taken and stub[1] != shards and all(sum(w[1:]) == 0 for _, w in stub[1])
 
 
 def test_whole_documents(spark):
