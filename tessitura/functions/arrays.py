@@ -176,6 +176,35 @@ def next_tokens(suffix: Column, start_of_ai: int, start: int, end: int, audio_st
     return F.struct(F.when(fault.isNull(), forced).alias("forced"), low.cast("int").alias("low"), (low + codec.size).cast("int").alias("high"), F.when(low.isNotNull(), (F.size(audio) >= least) & (phase == 0)).alias("end_ok"), fault.alias("fault"))
 
 
+def next_tokens_everywhere(tokens: Column, start_of_ai: int, start: int, end: int, audio_start: int, codec: Codec, pad: int | None = None, min_frames: int = 1) -> Column:
+    """``next_tokens`` of every prefix of a sequence, the empty and the whole one too: an array of structs
+    with ``position``, the length of the prefix, and its fields.
+
+    Once in a fault, the grammar stays in it, and what the states before depend on are the places of the
+    first end and of the first code out of phase; one pass finds them, and each position follows from them.
+    """
+    least = min_frames * codec.group
+    out_of_phase = F.transform(tokens, lambda t, i: F.when((i > 1) & ~in_phase(t, i - 2, codec.group, codec.size, audio_start), i))
+    seen = F.struct(F.array_position(tokens, end).alias("stop"), F.array_min(out_of_phase).alias("wrong"), F.get(tokens, F.lit(0)).alias("first"), F.get(tokens, F.lit(1)).alias("second"))
+
+    def at(n: Column, s: Column) -> Column:
+        stopped = (s["stop"] > 0) & (s["stop"] <= n)
+        codes = s["stop"] - 3
+        fault = (
+            F.when((n > 0) & (s["first"] != start_of_ai), "no start of answer")
+            .when((n > 1) & (s["second"] != start), "no start of speech")
+            .when(stopped & ((codes < least) | (codes % codec.group != 0)), "early end")
+            .when(~stopped & (s["wrong"] < n), "phase")
+        )
+        right = fault.isNull()
+        phase = F.pmod(n - 2, F.lit(codec.group))
+        forced = F.when(right, F.when(stopped, F.lit(end if pad is None else pad)).when(n == 0, F.lit(start_of_ai)).when(n == 1, F.lit(start)))
+        low = F.when(right & ~stopped & (n > 1), audio_start + phase * codec.size).cast("int")
+        return F.struct(n.alias("position"), forced.alias("forced"), low.alias("low"), (low + codec.size).cast("int").alias("high"), F.when(low.isNotNull(), (n - 2 >= least) & (phase == 0)).alias("end_ok"), fault.alias("fault"))
+
+    return bound_to(seen, lambda s: F.transform(F.sequence(F.lit(0), F.size(tokens)), lambda n: at(n, s)))
+
+
 # -- labels and masks ---------------------------------------------------------------------------
 def completion_fault(tokens: Column, marker: int) -> Column:
     at = F.array_position(tokens, marker)

@@ -5,15 +5,12 @@ from __future__ import annotations
 import unicodedata
 from collections.abc import Callable
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
-from tessitura.functions.arrays import bound_to
+from tessitura.functions.alignment import token_distance
 
-#: Characters that stand for words; pairs with more distinct words take the slower way.
-_LETTERS = "".join(chr(0x4E00 + i) for i in range(4000))
 _SPACE = r"[\s\p{Z}\x1c-\x1f\x85]"
 
 
@@ -58,11 +55,16 @@ def basic_normalize(text: str) -> str:
     return " ".join("".join(" " if unicodedata.category(c)[0] in "PZ" else c for c in folded).split())
 
 
-@F.pandas_udf(StringType())
-def normalize(text: pd.Series) -> pd.Series:
-    """NFKC, case folding, punctuation and separators to single spaces, for any language. SQL has
-    no such functions, hence the Arrow UDF."""
-    return text.map(lambda t: None if t is None else basic_normalize(t))
+def _normalized(texts: pa.Array) -> pa.Array:
+    return pa.array([None if t is None else basic_normalize(t) for t in texts.to_pylist()], pa.string())
+
+
+def normalize(text: str | Column) -> Column:
+    """NFKC, case folding, punctuation and separators to single spaces, for any language. SQL has the
+    classes of ASCII text, which is done there; only what else there is goes to a function."""
+    text = F.col(text) if isinstance(text, str) else text
+    plain = text.rlike(r"^[\x00-\x7F]*$")
+    return F.when(plain, normalize_ascii(text)).otherwise(F.arrow_udf(_normalized, "string")(F.when(~plain, text)))
 
 
 def normalizer(name: str | None) -> Callable[[Column], Column]:
@@ -79,44 +81,10 @@ def words(text: Column) -> Column:
     return F.filter(F.split(text, f"{_SPACE}+"), lambda w: w != "")
 
 
-def token_distance(a: Column, b: Column) -> Column:
-    """Edit distance of two arrays of tokens. Up to as many distinct ones as there are ``_LETTERS`` stand for
-    characters of the built-in function; beyond that a fold over the rows of the table works it out."""
-
-    def spelt(s: Column) -> Column:
-        # a map finds a token's letter in one step
-        numbers = F.transform(s["known"], lambda w, i: F.struct(w.alias("w"), F.substring(F.lit(_LETTERS), i + 1, F.lit(1)).alias("c")))
-        return bound_to(F.map_from_entries(numbers), lambda m: F.levenshtein(*(F.array_join(F.transform(s[x], lambda w: F.element_at(m, w)), "") for x in "ab")))
-
-    sides = F.struct(a.alias("a"), b.alias("b"), F.array_distinct(F.concat(a, b)).alias("known"))
-    return bound_to(sides, lambda s: F.when(F.size(s["known"]) <= len(_LETTERS), spelt(s)).otherwise(_folded(s["a"], s["b"])))
-
-
-def _folded(a: Column, b: Column) -> Column:
-    """The edit distance by rows of the table. Within a row, a cell's way from the left is the
-    least of cell minus place so far, so each row is two passes and no array grows by one."""
-    first = F.sequence(F.lit(0), F.size(a))
-
-    def row(above: Column, token: Column) -> Column:
-        down = F.transform(above, lambda x: x + 1)
-        change = F.concat(F.array(F.lit(2**30)), F.zip_with(F.slice(above, F.lit(1), F.size(a)), a, lambda x, t: x + F.when(t == token, 0).otherwise(1)))
-        slanted = F.transform(F.zip_with(down, change, lambda x, y: F.least(x, y)), lambda x, i: x - i)
-        return F.transform(_running_least(slanted), lambda x, i: x + i)
-
-    return F.element_at(F.aggregate(b, first, row), -1)
-
-
-def _running_least(values: Column) -> Column:
-    """The least of each value and those before it, by doubling steps back."""
-    steps = F.transform(F.sequence(F.lit(0), F.ceil(F.log2(F.greatest(F.size(values), F.lit(2)))).cast("int")), lambda k: F.pow(F.lit(2), k).cast("int"))
-    back = lambda v, k: F.zip_with(v, F.slice(F.concat(F.array_repeat(F.lit(2**30), k), v), F.lit(1), F.size(v)), lambda x, y: F.least(x, y))
-    return bound_to(values, lambda v: F.aggregate(steps, v, back))
-
-
 def word_error_rate(reference: Column, hypothesis: Column) -> Column:
     """Word edits over the reference's words, or over 1 if it has none."""
-    r, h = words(reference), words(hypothesis)
-    return token_distance(r, h) / F.greatest(F.size(r), F.lit(1))
+    r = words(reference)
+    return token_distance(r, words(hypothesis)) / F.greatest(F.size(r), F.lit(1))
 
 
 def character_error_rate(reference: Column, hypothesis: Column, keep_space: bool = False) -> Column:

@@ -5,10 +5,11 @@ from __future__ import annotations
 import math
 from fractions import Fraction
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
+from tessitura.operators.numbering import prefix_maps
 from tessitura.plans.layout import IGNORE
 
 
@@ -71,17 +72,34 @@ def mixture(spark: SparkSession, n1: int, n2: int, batch: int, initial: float, f
     return df.select("index", F.when(first, 1).otherwise(2).alias("source"), F.when(first, row % n1).otherwise(row % n2).cast("long").alias("row"))
 
 
-def numbered(df: DataFrame, key: str, slices: int = 256) -> DataFrame:
-    """Adds ``row``, from 0 in order of an integer key, by sums of key ranges and ranks inside them."""
-    low, high = df.agg(F.min(key), F.max(key)).first()
-    if low is None:
-        return df.withColumn("row", F.lit(0).cast("long"))
-    width = max(1, -(-(high - low + 1) // slices))
-    part = F.floor((F.col(key) - low) / width)
-    df = df.withColumn("_part", part)
-    before = df.groupBy("_part").count().withColumn("_before", F.sum("count").over(Window.orderBy("_part")) - F.col("count")).drop("count")
-    rank = F.row_number().over(Window.partitionBy("_part").orderBy(key))
-    return df.withColumn("_rank", rank).join(before, "_part").withColumn("row", F.col("_before") + F.col("_rank") - 1).drop("_part", "_rank", "_before")
+def _cycles(ratios: pa.Array) -> pa.Array:
+    return pa.array([None if r is None else dict(zip(("first", "second"), batch_counts(r), strict=True)) for r in ratios.to_pylist()], pa.struct([("first", pa.int64()), ("second", pa.int64())]))
+
+
+def schedule(spark: SparkSession, n1: int, n2: int, batch: int, initial: float, final: float, steps: int, accumulation: int = 1) -> DataFrame:
+    """A whole run while its ratio moves: for each of the ``accumulation`` batches of each ``step`` and each place ``inside``
+    it, the ``source`` and the ``row`` there.
+
+    A batch is of one source. Its place in the cycle, and ``row``, follow from its number and from the ratio of its
+    own step, as if that had held from the start; so rows can come again or be passed over when the ratio
+    moves. ``next_row`` goes on where the source's last batch ended instead: the batches of a source before
+    each are a prefix sum over the run, worked out by blocks.
+    """
+    if min(n1, n2, batch, accumulation) <= 0:
+        raise ValueError("sources, batches and accumulation are positive")
+    runs = spark.range(steps * accumulation).withColumnRenamed("id", "number").withColumn("step", F.floor(F.col("number") / accumulation))
+    cycle = F.arrow_udf(_cycles, "struct<first:bigint,second:bigint>")(ratio_at(F.col("step"), initial, final, steps))
+    runs = runs.withColumn("c", cycle)
+    a, b = F.col("c.first"), F.col("c.second")
+    place, whole = F.col("number") % (a + b), F.floor(F.col("number") / (a + b))
+    runs = runs.select("number", "step", (place < a).alias("is_first"), F.when(place < a, whole * a + place).otherwise(whole * b + place - a).alias("own"))
+    runs = runs.withColumns({"_mul": F.lit(1.0), "_add": F.col("is_first").cast("double")})
+    runs = prefix_maps(runs, "number", "_mul", "_add")
+    following = F.when(F.col("is_first"), F.col("prefix_add")).otherwise(F.col("number") - F.col("prefix_add")).cast("long")
+    rows = runs.select("number", "step", "is_first", "own", following.alias("following"), F.explode(F.sequence(F.lit(0), F.lit(batch - 1))).alias("inside"))
+    size = F.when(F.col("is_first"), F.lit(n1)).otherwise(F.lit(n2))
+    at = lambda c: ((F.col(c) * batch + F.col("inside")) % size).cast("long")
+    return rows.select("step", (F.col("number") % accumulation).alias("micro"), "inside", F.when(F.col("is_first"), 1).otherwise(2).alias("source"), at("own").alias("row"), at("following").alias("next_row"))
 
 
 def shuffle_blocks(df: DataFrame, index: str, block: int, seed: int, epoch: int = 0) -> DataFrame:

@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 UTTERANCES = "SELECT d.doc_id AS id, d.text, d.source AS speaker, d.n_chars / 15.0::DOUBLE AS duration, 1.0::DOUBLE + 3 * l.quality - l.toxic AS dnsmos FROM documents d LEFT JOIN labels l USING (doc_id)"
 _CODE = "CAST(least(greatest(floor((x::DOUBLE + 1) * {half}), 0), {top}) AS INTEGER)"
 FRAMES = f"SELECT vec_id AS id, label, list_transform(embedding, lambda x, i: {_CODE.format(half=1024, top=2047)} + CAST((i - 1) % 8 * 2048 AS INTEGER)) AS codes FROM embeddings"
-SNAC = f"SELECT vec_id AS id, list_transform(embedding[1:63], lambda x, i: {_CODE.format(half=2048, top=4095)} + CAST((i - 1) % 7 * 4096 AS INTEGER)) AS codes FROM embeddings"
-LAYERS = f"SELECT vec_id AS id, v[1:9] AS coarse, v[10:27] AS middle, v[28:63] AS fine FROM (SELECT vec_id, list_transform(embedding, lambda x, i: {_CODE.format(half=2048, top=4095)}) AS v FROM embeddings)"
+SNAC = f"SELECT vec_id AS id, list_transform(embedding || embedding[1:6], lambda x, i: {_CODE.format(half=2048, top=4095)} + CAST((i - 1) % 7 * 4096 AS INTEGER)) AS codes FROM embeddings"
+LAYERS = f"SELECT vec_id AS id, v[1:10] AS coarse, v[11:30] AS middle, v[31:70] AS fine FROM (SELECT vec_id, list_transform(embedding || embedding[1:6], lambda x, i: {_CODE.format(half=2048, top=4095)}) AS v FROM embeddings)"
 REPEATS = "SELECT user_id, list(CASE event_type WHEN 'view' THEN 0 WHEN 'click' THEN 1 ELSE length(event_type) END::INTEGER ORDER BY ts, event_id) AS codes FROM events GROUP BY user_id"
 CANDIDATES = "SELECT user_id AS g, event_id AS i, round(exp(-value / 100), 6) AS clear, CAST(props->>'$.k' AS DOUBLE) / 99 AS speaker, (event_id % 11) / 10.0::DOUBLE AS quality, value FROM events"
 PAIRS = """SELECT a.conv_id AS id, a.turn, a.text AS ref, b.text AS hyp
@@ -38,14 +38,19 @@ def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.select(F.col("vec_id").alias("id"), "label", F.transform(_quantized("embedding", 1024, 2047), lambda c, i: c + i % 8 * 2048).alias("codes"))
 
 
+def _whole_frames():  # noqa: ANN202
+    """All 64 components and the first six again, which makes ten frames of seven codes."""
+    return F.concat("embedding", F.slice("embedding", 1, 6))
+
+
 def snac(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = table(spark, sf_dir, "embeddings")
-    return df.select(F.col("vec_id").alias("id"), F.transform(_quantized(F.slice("embedding", 1, 63), 2048, 4095), lambda c, i: c + i % 7 * 4096).alias("codes"))
+    return df.select(F.col("vec_id").alias("id"), F.transform(_quantized(_whole_frames(), 2048, 4095), lambda c, i: c + i % 7 * 4096).alias("codes"))
 
 
 def layers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), _quantized("embedding", 2048, 4095).alias("v"))
-    return df.select("id", F.slice("v", 1, 9).alias("coarse"), F.slice("v", 10, 18).alias("middle"), F.slice("v", 28, 36).alias("fine"))
+    df = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), _quantized(_whole_frames(), 2048, 4095).alias("v"))
+    return df.select("id", F.slice("v", 1, 10).alias("coarse"), F.slice("v", 11, 20).alias("middle"), F.slice("v", 31, 40).alias("fine"))
 
 
 def repeats(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,12 +2,15 @@
 
 Source files are a table with a key for each, from path, size and time of change, so a file
 that is replaced is another shard. A cache is a folder named by the digest of all keys and of
-the settings that its contents depend on; rows go in partitioned by shard, and what is left
-to do is an anti join.
+the settings that its contents depend on. Rows go in by attempts, each in a folder of its own, and
+count once the attempt's log entries are there: one for each shard that it made, with its number of rows, be
+it none. What is left to do is an anti join with the log, so a shard all of whose rows were rejected is done, and
+an attempt that broke off has left nothing that a reader sees. Of two attempts at a shard the later one holds.
 """
 
 from __future__ import annotations
 
+import json
 from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -17,6 +20,7 @@ from tessitura.sources import shared
 
 LAYOUT = 2
 KEY_HEX = 20
+LOG = "shard string, attempt long, rows long"
 
 
 def source_files(spark: SparkSession, *paths: str, pattern: str | None = None) -> DataFrame:
@@ -58,21 +62,46 @@ class TokenCache:
         elif shared.read_json(self.spark, place) != record:
             raise RuntimeError(f"the record in {self.folder} is of something else")
 
-    def finished(self) -> list[str]:
-        """Shards that have rows here, sorted."""
-        return [n.removeprefix("shard=") for n in shared.folders(self.spark, f"{self.folder}/rows") if n.startswith("shard=")]
+    def log(self) -> DataFrame:
+        """(shard, attempt, rows): the last finished attempt at each shard."""
+        logs = [f"{self.folder}/log/{n}" for n in shared.folders(self.spark, f"{self.folder}/log") if shared.exists(self.spark, f"{self.folder}/log/{n}/_SUCCESS")]
+        if not logs:
+            return self.spark.createDataFrame([], LOG)
+        entries = self.spark.read.schema(LOG).parquet(*logs)
+        return entries.groupBy("shard").agg(F.max_by(F.struct("attempt", "rows"), "attempt").alias("last")).select("shard", "last.attempt", "last.rows")
+
+    def finished(self) -> DataFrame:
+        """(shard, rows) of the shards that are done, those without rows too."""
+        return self.log().select("shard", "rows")
 
     def remaining(self) -> DataFrame:
         """Source files whose shard is not finished."""
-        done = self.spark.createDataFrame([(n,) for n in self.finished()], "shard string")
-        return remaining(self.files, done)
-
-    def add(self, rows: DataFrame) -> None:
-        """Appends rows with a ``shard`` column; a shard's rows come in one call."""
-        rows.write.mode("append").partitionBy("shard").parquet(f"{self.folder}/rows")
+        return remaining(self.files, self.log())
+
+    def add(self, rows: DataFrame, shards: DataFrame) -> None:
+        """Rows with a ``shard`` column, made of all of ``shards`` (a table with their keys), some of which may
+        have no rows. A shard's rows come in one call; a later call for it replaces them. Rows of other
+        shards are an error, found before anything counts."""
+        numbers = [int(n.removeprefix("attempt=")) for kind in ("log", "rows") for n in shared.folders(self.spark, f"{self.folder}/{kind}")]
+        attempt = max(numbers, default=0) + 1
+        place = f"{self.folder}/rows/attempt={attempt:08d}"
+        rows.write.partitionBy("shard").parquet(place)
+        schema = f"{self.folder}/schema.json"
+        if not shared.exists(self.spark, schema):
+            shared.publish_json(self.spark, {"schema": rows.schema.json()}, schema)
+        made = self.spark.read.schema(rows.schema).parquet(place).groupBy("shard").agg(F.count("*").alias("n"))
+        both = shards.select("shard", F.lit(True).alias("asked")).distinct().join(made, "shard", "full")
+        checked = F.when(F.col("asked"), F.coalesce("n", F.lit(0))).otherwise(F.raise_error(F.concat(F.lit("rows of another shard: "), F.col("shard"))).cast("long"))
+        both.select("shard", F.lit(attempt).cast("long").alias("attempt"), checked.alias("rows")).write.parquet(f"{self.folder}/log/attempt={attempt:08d}")
 
     def rows(self) -> DataFrame:
-        return self.spark.read.option("basePath", f"{self.folder}/rows").parquet(f"{self.folder}/rows")
+        """All rows of finished shards; those of broken and replaced attempts are left out."""
+        from pyspark.sql.types import LongType, StructField, StructType
+
+        schema = StructType.fromJson(json.loads(shared.read_json(self.spark, f"{self.folder}/schema.json")["schema"]))
+        whole = StructType([*schema.fields, StructField("attempt", LongType())])
+        there = self.spark.read.schema(whole).option("basePath", f"{self.folder}/rows").parquet(f"{self.folder}/rows")
+        return there.join(self.log().where("rows > 0").select("shard", "attempt"), ["shard", "attempt"], "left_semi").select(*schema.names)
 
 
 def remaining(shards: DataFrame, done: DataFrame, key: str = "shard") -> DataFrame:

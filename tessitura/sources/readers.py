@@ -11,6 +11,7 @@ from typing import BinaryIO
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tessitura.functions.text import is_blank, strip
 from tessitura.operators.preferences import CANDIDATES
@@ -132,21 +133,23 @@ def read_pairs(spark: SparkSession, path: str, fine_grained: bool = False, split
     return df
 
 
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(source_file, source_line, value) of text files. Lines are numbered within the block of the file that a task
+    reads; how many lines come before a block is a sum over the blocks of its file, a row for each, which meets
+    the lines again by file and block."""
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("source_file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"))
+    blocks = lines.groupBy("source_file", "block").agg(F.min("at").alias("first"), F.count("*").alias("n"))
+    before = Window.partitionBy("source_file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = blocks.select("source_file", "block", (F.coalesce(F.sum("n").over(before), F.lit(0)) - F.col("first") + 1).alias("shift"))
+    return lines.join(blocks, ["source_file", "block"]).select("source_file", (F.col("at") + F.col("shift")).alias("source_line"), "value")
+
+
 def read_candidates(spark: SparkSession, path: str) -> DataFrame:
-    """JSON lines of (prompt_input_ids, candidates) with ``source_line``, from 1; blank lines
-    are left out but counted. A line that is no such object stops the job.
-
-    Line numbers come from byte order within a file: counts by partition are summed first, and
-    only those counts, a number for each partition, meet the driver."""
-    lines = spark.read.text(path).select("value", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("at"))
-    counts = {r["part"]: r["n"] for r in lines.groupBy("part").agg(F.count("*").alias("n")).collect()}
-    before, total = {}, 0
-    for part in sorted(counts):
-        before[part], total = total, total + counts[part]
-    start = F.element_at(F.create_map(*(F.lit(x) for p, n in before.items() for x in (p, n))), F.col("part")) if before else F.lit(0)
-    number = (start + F.col("at").bitwiseAND(F.lit((1 << 33) - 1)) + 1).cast("long")
+    """JSON lines of (prompt_input_ids, candidates) with their file, ``source_file``, and ``source_line``, from 1 in each
+    file; blank lines are left out but counted. A line that is no such object stops the job."""
+    lines = numbered_lines(spark, path)
     parsed = F.from_json("value", f"prompt_input_ids array<int>, candidates {CANDIDATES}", {"mode": "FAILFAST"})
-    return lines.select(number.alias("source_line"), "value").where(~is_blank(F.col("value"))).select("source_line", parsed.alias("r")).select("source_line", "r.prompt_input_ids", "r.candidates")
+    return lines.where(~is_blank(F.col("value"))).select("source_file", "source_line", parsed.alias("r")).select("source_file", "source_line", "r.prompt_input_ids", "r.candidates")
 
 
 def read_speakers(spark: SparkSession, root: str) -> DataFrame:

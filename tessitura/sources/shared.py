@@ -67,6 +67,9 @@ def publish_json(spark: SparkSession, value: Mapping, uri: str) -> None:
         stream.write(bytearray((json.dumps(value, ensure_ascii=False, indent=1, sort_keys=True) + "\n").encode()))
     finally:
         stream.close()
-    store.delete(where, False)
-    if not store.rename(aside, where):
-        raise OSError(f"cannot publish {uri}")
+    jvm = spark.sparkContext._jvm
+    options = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    options[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+    # one rename over what is there: no moment without a file, on stores that rename in one step
+    context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(store.makeQualified(where).toUri(), spark.sparkContext._jsc.hadoopConfiguration())
+    context.rename(store.makeQualified(aside), store.makeQualified(where), options)

@@ -47,13 +47,78 @@ def test_word_errors_against_plain_table(spark):
         assert r.edits == _levenshtein(ref, hyp) and r.n_ref == len(ref)
 
 
-def test_folded_distance(spark):
+def _backtrace(a, b):
+    """(substitutions, deletions, insertions) by the whole table, walked back from its last cell."""
+    table = [list(range(len(b) + 1))]
+    for x in a:
+        row = [table[-1][0] + 1]
+        for j, y in enumerate(b):
+            row.append(min(row[-1] + 1, table[-1][j + 1] + 1, table[-1][j] + (x != y)))
+        table.append(row)
+    i, j, subs, dels, ins = len(a), len(b), 0, 0, 0
+    while i or j:
+        if i and j and a[i - 1] == b[j - 1]:
+            i, j = i - 1, j - 1
+        elif i and j and table[i - 1][j - 1] + 1 == table[i][j]:
+            subs, i, j = subs + 1, i - 1, j - 1
+        elif i and table[i - 1][j] + 1 == table[i][j]:
+            dels, i = dels + 1, i - 1
+        else:
+            ins, j = ins + 1, j - 1
+    return subs, dels, ins
+
+
+def test_edit_counts_of_all_pairs(spark):
+    from tessitura.plans import views
+
+    pairs = {(r.id, r.turn): (r.ref, r.hyp) for r in views.asr_pairs(spark, SF).collect()}
+    got = QUERIES["t_7_edit_counts"](spark, SF).collect()
+    assert len(got) == len(pairs) > 0
+    by_turn = {}
+    for r in got:
+        ref, hyp = pairs[r.id, r.turn]
+        want = _backtrace(ref.split(), hyp.split())
+        assert (r.substitutions, r.deletions, r.insertions) == want and sum(want) == _levenshtein(ref.split(), hyp.split())
+        by_turn.setdefault(r.turn, []).append((want, len(ref.split())))
+    for r in QUERIES["agg_9_evaluation"](spark, SF).collect():
+        rows = by_turn.get(r.turn, [])
+        assert r.scored == len(rows) <= r.n and r.coverage == round(len(rows) / r.n, 9) and r.words == sum(n for _, n in rows)
+        assert [r.substitutions, r.deletions, r.insertions] == [sum(c[k] for c, _ in rows) for k in range(3)]
+        if rows:
+            assert r.edits == sum(sum(c) for c, _ in rows)
+            assert r.macro == round(sum(sum(c) / max(n, 1) for c, n in rows) / len(rows), 9) and r.corpus == round(r.edits / r.words, 9)
+
+
+def test_alignment_against_the_whole_table():
+    import random
+
+    from tessitura.functions.alignment import distance, edit_counts
+
+    rng = random.Random(1)
+    for _ in range(600):
+        a, b = ([rng.choice(["a", "b", "c", 4, "日"]) for _ in range(rng.randint(0, 40))] for _ in range(2))
+        assert edit_counts(a, b) == _backtrace(a, b) and distance(a, b) == _levenshtein(a, b)
+    long = [rng.randint(0, 9000) for _ in range(20_000)]
+    heard = [x if rng.random() < 0.9 else -1 for x in long if rng.random() < 0.97]
+    assert sum(edit_counts(long, heard)) == distance(long, heard) == distance(heard, long)
+    assert edit_counts([], list("ab")) == (0, 0, 2) and edit_counts(list("ab"), []) == (0, 2, 0)
+
+
+def test_evaluation_with_failures(spark):
     from pyspark.sql import functions as F
 
-    from tessitura.functions.text import _folded
+    from tessitura.operators import groups
+
+    rows = [("a", "one two", "one three", True), ("a", "x", None, True), ("a", "cut off", "cut", False), ("b", "q", None, None), ("a", "", "extra", True), ("a", None, "w", True)]
+    df = spark.createDataFrame(rows, "part string, ref string, hyp string, whole boolean")
+    a, b = sorted(groups.evaluation(df, "ref", "hyp", F.col("whole"), by=("part",)).collect())
+    assert (a.n, a.scored, a.coverage, a.words, a.substitutions, a.deletions, a.insertions, a.edits) == (5, 3, 0.6, 2, 1, 0, 2, 3)
+    assert a.corpus == 1.5 and round(a.macro, 9) == round((0.5 + 1 + 1) / 3, 9)
+    assert (b.n, b.scored, b.coverage, b.edits, b.macro, b.corpus) == (1, 0, 0.0, 0, None, None)
+    nulls = spark.createDataFrame([(["a"], None), (None, ["a"]), (["a", None], ["a"])], "a array<string>, b array<string>")
+    from tessitura.functions.alignment import token_distance
 
-    df = spark.createDataFrame([(["k", "i", "t"], ["s", "i", "t", "t"]), ([], ["a"]), (["a", "b"], []), ([], [])], "a array<string>, b array<string>")
-    assert [r[0] for r in df.select(_folded(F.col("a"), F.col("b"))).collect()] == [2, 1, 2, 0]
+    assert [r[0] for r in nulls.select(token_distance(F.col("a"), F.col("b"))).collect()] == [None, None, 1]
 
 
 def test_error_rates_of_whole_texts(spark, tmp_path):

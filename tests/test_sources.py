@@ -90,11 +90,27 @@ def test_cache(spark, tmp_path):
         assert key != cache.digest(files, SETTINGS | {k: "other"})
     root = f"file://{tmp_path}/work"
     made = cache.TokenCache(files, SETTINGS, root)
-    assert made.finished() == [] and made.remaining().count() == 2
-    made.add(spark.createDataFrame([(names[0], 1), (names[0], 2)], "shard string, token int"))
+    done = lambda c: sorted((r.shard, r.rows) for r in c.finished().collect())
+    assert done(made) == [] and made.remaining().count() == 2
+    tokens = lambda *rows: spark.createDataFrame(list(rows), "shard string, token int")
+    shards = lambda *own: spark.createDataFrame([(n,) for n in own], "shard string")
+    made.add(tokens((names[0], 1), (names[0], 2)), shards(names[0]))
     again = cache.TokenCache(files, SETTINGS, root)
-    assert again.folder == made.folder and again.finished() == names[:1]
+    assert again.folder == made.folder and done(again) == [(names[0], 2)]
     assert [r.shard for r in again.remaining().collect()] == names[1:] and again.rows().count() == 2
+    # an attempt that breaks off, whatever it has written, leaves nothing that is read, and the shard to do
+    broken = tokens((names[1], 3), (names[1], 4)).withColumn("token", F.when(F.col("token") > 3, F.raise_error(F.lit("disk full")).cast("int")).otherwise(F.col("token")))
+    with pytest.raises(Exception, match="disk full"):
+        again.add(broken, shards(names[1]))
+    with pytest.raises(Exception, match="another shard"):
+        again.add(tokens((names[0], 8), (names[1], 9)), shards(names[1]))
+    assert [r.shard for r in again.remaining().collect()] == names[1:] and sorted(r.token for r in again.rows().collect()) == [1, 2]
+    # a shard whose rows were all rejected is done
+    again.add(tokens(), shards(names[1]))
+    assert done(again) == [(names[0], 2), (names[1], 0)] and again.remaining().count() == 0
+    # a second attempt replaces the first
+    again.add(tokens((names[0], 5)), shards(names[0]))
+    assert done(again)[0] == (names[0], 1) and [tuple(r) for r in again.rows().collect()] == [(names[0], 5)] and again.rows().columns == ["shard", "token"]
     shared.publish_json(spark, {}, f"{made.folder}/record.json")
     with pytest.raises(RuntimeError, match="something else"):
         cache.TokenCache(files, SETTINGS, root)
@@ -214,10 +230,52 @@ def test_streaming_is_incremental(spark, tmp_path):
 
 
 def test_numbered_is_gapless(spark):
-    from tessitura.operators.batches import numbered
+    from tessitura.operators.numbering import numbered
 
-    rows = numbered(spark.createDataFrame([(k * k,) for k in range(50)], "k long"), "k", slices=7).orderBy("k").collect()
+    rows = numbered(spark.createDataFrame([(k * k,) for k in range(50)], "k long"), "k").orderBy("k").collect()
     assert [r.row for r in rows] == list(range(50))
+    far = spark.range(4000).select(F.col("id").alias("k")).unionAll(spark.createDataFrame([(2**62,), (-(2**61),)], "k long")).repartition(7)
+    out = numbered(far, "k")
+    assert [r.row for r in out.orderBy("k").collect()] == list(range(4002))
+    sizes = [r["count"] for r in out.groupBy(F.spark_partition_id()).count().collect()]
+    assert max(sizes) <= 2 * 4002 / int(spark.conf.get("spark.sql.shuffle.partitions"))
+    groups = [(g, a, b) for g in ("x", None, "y") for a in range(5) for b in range(4 if g else 3)]
+    got = numbered(spark.createDataFrame(groups, "g string, a int, b int").repartition(5), "a", "b", by=["g"], name="n").collect()
+    for g in ("x", None, "y"):
+        own = sorted((r.a, r.b, r.n) for r in got if r.g == g)
+        assert [n for _, _, n in own] == list(range(len(own))) and len(own) == (20 if g else 15)
+    assert numbered(far.limit(0), "k").count() == 0
+
+
+def test_line_numbers_restart_in_each_file(spark, tmp_path):
+    for k, n in enumerate((2, 5, 3)):
+        (tmp_path / f"f{k}.jsonl").write_text("".join(f'{{"prompt_input_ids": [{k}, {i}], "candidates": []}}\n' + "\n" * (i % 2) for i in range(n)))
+    got = readers.read_candidates(spark, str(tmp_path)).collect()
+    assert sorted((r.source_file[-8:], r.source_line, tuple(r.prompt_input_ids)) for r in got) == sorted((f"f{k}.jsonl", 1 + i + i // 2, (k, i)) for k, n in enumerate((2, 5, 3)) for i in range(n))
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "64")  # many blocks of one file
+    try:
+        assert sorted((r.source_line, r.prompt_input_ids[1]) for r in readers.read_candidates(spark, str(tmp_path / "f1.jsonl")).collect()) == [(1 + i + i // 2, i) for i in range(5)]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+
+
+def test_baselines_of_long_runs(spark):
+    from tessitura.operators import groups
+
+    n = 100_000
+    df = spark.range(n).select(F.lit("long").alias("run"), F.col("id").alias("s"), (F.col("id") * 7919 % 1000 / 10).alias("x")).repartition(6)
+    df = df.unionAll(spark.createDataFrame([("one", 5, 3.0), ("two", 1, 1.0), ("two", 4, None), ("two", 2, 2.0), ("two", 9, 5.0)], "run string, s long, x double"))
+    got = {(r.run, r.s): r.baseline for r in groups.moving_baseline(df, "s", "x", 0.9, run=["run"]).collect()}
+    b = None
+    for k in range(n):
+        x = k * 7919 % 1000 / 10
+        b = x if b is None else b
+        assert abs(got["long", k] - b) < 1e-9
+        b = 0.9 * b + 0.1 * x
+    assert got["one", 5] == 3.0 and got["two", 1] == got["two", 2] == 1.0 and abs(got["two", 9] - 1.1) < 1e-12 and len(got) == n + 4
+    assert groups.moving_baseline(df.limit(0), "s", "x").count() == 0
+
 
 
 def _entry(tmp_path, left_out, code):
