@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -98,38 +103,130 @@ def pairs_from_groups(groups: DataFrame, reward: CompositeReward, gap: float = 0
 def skyline(rows: DataFrame, group: str, index: str, reward: CompositeReward, buckets: int = 256) -> DataFrame:
     """Rows of each group that no other row of it dominates on the Pareto metrics.
 
-    A group is dealt to buckets of its points' hashes, whose own maximal points are found first, so what
-    meets in the last step is the maximal points of buckets and not the group. With one or two metrics,
-    points are sorted by the first one, best first, and the best of the second one so far decides;
-    with more, they are compared. A row without one of the metrics is dominated by none and dominates none.
+    A group is dealt to buckets of its points' hashes, whose own maximal points are found first; what meets in the
+    next, fewer buckets is the maximal points of those before, down to one. With one or two metrics
+    window functions do it. With more, a bucket's points come in an order in which none is dominated by a later
+    one, and each is compared with the maximal ones before it: by a staircase of the second and third of three
+    metrics, in n log n steps, and by blocks of points with four and more. A row without one of the metrics, or
+    with one that is no number, is dominated by none and dominates none.
     """
     names = list(reward.pareto)
     if not names:
         raise ValueError("there are no Pareto metrics")
     signed = [F.col(n) if reward.higher(n) else -F.col(n) for n in names]
-    whole = reduce(lambda x, y: x & y, (F.col(n).isNotNull() for n in names))
-    points = rows.where(whole).select(F.col(group).alias("g2"), *(x.alias(f"o_{n}") for x, n in zip(signed, names, strict=True))).distinct()
-    points = points.withColumn("bucket", F.pmod(F.xxhash64(*(f"o_{n}" for n in names)), F.lit(buckets)))
-    if len(names) <= 2:
-        first, last = f"o_{names[0]}", f"o_{names[-1]}"
-
-        def maximal(df: DataFrame, *by: str) -> DataFrame:
-            tops = df.groupBy(*by, first).agg(F.max(last).alias("top"))
-            before = Window.partitionBy(*by).orderBy(F.desc(first)).rowsBetween(Window.unboundedPreceding, -1)
-            tops = tops.withColumn("above", F.max("top").over(before))
-            kept = F.col("above").isNull() | (F.col("top") > F.col("above")) if len(names) == 2 else F.col("above").isNull()
-            return tops.where(kept).select(*by, first, F.col("top").alias(last))
-
-        best = maximal(maximal(points, "g2", "bucket"), "g2") if len(names) == 2 else points.groupBy("g2").agg(F.max(first).alias(first))
-        same = F.col(group).eqNullSafe(F.col("g2")) & reduce(lambda x, y: x & y, (x == F.col(f"o_{n}") for x, n in zip(signed, names, strict=True)))
-        return rows.where(whole).join(best, same, "left_semi").unionByName(rows.where(~whole))
-    beats = lambda a, b: reduce(lambda x, y: x & y, (a(n) >= b(n) for n in names)) & reduce(lambda x, y: x | y, (a(n) > b(n) for n in names))
-    rivals = points.select(F.col("g2").alias("g3"), F.col("bucket").alias("bucket3"), *(F.col(f"o_{n}").alias(f"p_{n}") for n in names))
-    beaten = beats(lambda n: F.col(f"p_{n}"), lambda n: F.col(f"o_{n}"))
-    own = points.join(rivals, F.col("g2").eqNullSafe(F.col("g3")) & (F.col("bucket") == F.col("bucket3")) & beaten, "left_anti").drop("bucket")
-    signs = dict(zip(names, signed, strict=True))
-    over = beats(lambda n: F.col(f"o_{n}"), lambda n: signs[n])
-    return rows.join(own, F.col(group).eqNullSafe(F.col("g2")) & over, "left_anti")
+    whole = reduce(lambda x, y: x & y, (F.col(n).isNotNull() & ~F.isnan(F.col(n).cast("double")) for n in names))
+    orders = [f"o_{n}" for n in names]
+    points = rows.where(whole).select(F.col(group).alias("g2"), *(x.alias(o) for x, o in zip(signed, orders, strict=True))).distinct()
+    if len(names) == 1:
+        best = points.groupBy("g2").agg(F.max(orders[0]).alias(orders[0]))
+    elif len(names) == 2:
+        best = _staircases(_staircases(points.withColumn("bucket", _bucket(orders, buckets)), orders, "g2", "bucket"), orders, "g2")
+    else:
+        best = points.select("g2", *(F.col(o).cast("double").alias(o) for o in orders))
+        for many in (buckets, max(1, buckets // 16), 1):
+            best = _maximal(best.withColumn("bucket", _bucket(orders, many)), orders)
+    same = F.col(group).eqNullSafe(F.col("g2")) & reduce(lambda x, y: x & y, (x.cast(best.schema[o].dataType) == F.col(o) for x, o in zip(signed, orders, strict=True)))
+    return rows.where(whole).join(best, same, "left_semi").unionByName(rows.where(~whole))
+
+
+def _bucket(orders: list[str], buckets: int) -> Column:
+    return F.pmod(F.xxhash64(*orders), F.lit(buckets)).cast("int")
+
+
+def _staircases(points: DataFrame, orders: list[str], *by: str) -> DataFrame:
+    """Maximal points by two metrics: sorted by the first, best first, those that exceed the second so far."""
+    first, last = orders
+    tops = points.groupBy(*by, first).agg(F.max(last).alias("top"))
+    before = Window.partitionBy(*by).orderBy(F.desc(first)).rowsBetween(Window.unboundedPreceding, -1)
+    tops = tops.withColumn("above", F.max("top").over(before))
+    return tops.where(F.col("above").isNull() | (F.col("top") > F.col("above"))).select(*by, first, F.col("top").alias(last))
+
+
+def _maximal(points: DataFrame, orders: list[str]) -> DataFrame:
+    """The maximal points of each group and bucket, which come sorted and pass through in batches."""
+    score = reduce(lambda x, y: x + y, (F.col(o) for o in orders))
+    # equal sums stand by the metrics, so that a point is always after those that dominate it
+    keys = [F.desc(o) for o in orders] if len(orders) == 3 else [score.desc(), *(F.desc(o) for o in orders)]
+    dealt = points.repartition("g2", "bucket").sortWithinPartitions("g2", "bucket", *keys)
+    schema = points.drop("bucket").schema
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, seen = None, None
+        for batch in batches:
+            if not len(batch):
+                continue
+            cell = [batch.column(0), batch.column(batch.num_columns - 1)]
+            values = np.stack([c.to_numpy(zero_copy_only=False) for c in batch.columns[1:-1]], axis=1)
+            new = np.ones(len(batch), bool)
+            if len(batch) > 1:
+                new[1:] = pc.invert(_equal(cell[0][1:], cell[0][:-1])).to_numpy(zero_copy_only=False) | (np.diff(cell[1].to_numpy()) != 0)
+            starts = np.flatnonzero(new)
+            kept = np.zeros(len(batch), bool)
+            for start, stop in zip(starts, [*starts[1:], len(batch)], strict=True):
+                here = (cell[0][int(start)].as_py(), cell[1][int(start)].as_py())
+                if seen is None or here != last:
+                    last, seen = here, Staircase() if len(orders) == 3 else Front(len(orders))
+                kept[start:stop] = seen.add(values[start:stop])
+            yield pa.RecordBatch.from_arrays([c.filter(pa.array(kept)) for c in batch.columns[:-1]], names=batch.schema.names[:-1])
+
+    return dealt.select("g2", *orders, "bucket").mapInArrow(run, schema)
+
+
+def _equal(a: pa.Array, b: pa.Array) -> pa.Array:
+    return pc.if_else(pc.and_(pc.is_null(a), pc.is_null(b)), True, pc.fill_null(pc.equal(a, b), False))
+
+
+class Staircase:
+    """Maximal points by three metrics that come with the first one falling: what counts then is whether one
+    before reaches the second and the third."""
+
+    def __init__(self):
+        self.second: list[float] = []  # rising, with the third falling
+        self.third: list[float] = []
+
+    def add(self, points: np.ndarray) -> np.ndarray:
+        kept = np.zeros(len(points), bool)
+        for i, (_, b, c) in enumerate(points.tolist()):
+            k = bisect_left(self.second, b)
+            if k < len(self.second) and self.third[k] >= c:
+                continue
+            kept[i] = True
+            if k < len(self.second) and self.second[k] == b:
+                k += 1
+            low = k
+            while low and self.third[low - 1] <= c:
+                low -= 1
+            self.second[low:k] = [b]
+            self.third[low:k] = [c]
+        return kept
+
+
+class Front:
+    """Maximal points by any number of metrics that come in an order in which none is dominated by a later one."""
+
+    BLOCK = 512
+
+    def __init__(self, metrics: int):
+        self.points = np.zeros((0, metrics))
+
+    def add(self, points: np.ndarray) -> np.ndarray:
+        kept = np.zeros(len(points), bool)
+        for start in range(0, len(points), self.BLOCK):
+            left = np.arange(start, min(start + self.BLOCK, len(points)))
+            for k in range(0, len(self.points), 8 * self.BLOCK):
+                left = left[~self.reached(points[left], self.points[k : k + 8 * self.BLOCK])]
+            inside = np.triu(np.ones((len(left), len(left)), bool), 1)  # row before column
+            beaten = (inside & (points[left][:, None, :] >= points[left][None, :, :]).all(axis=2)).any(axis=0)
+            left = left[~beaten]  # what a beaten point beats, the one that beats it beats too
+            kept[left] = True
+            self.points = np.concatenate([self.points, points[left]])
+        return kept
+
+    def reached(self, points: np.ndarray, by: np.ndarray) -> np.ndarray:
+        over = np.ones((len(points), len(by)), bool)
+        for m in range(points.shape[1]):
+            over &= by[None, :, m] >= points[:, None, m]
+        return over.any(axis=1)
 
 
 def build_pairs(spark: SparkSession, candidates: str, out: str, reward: CompositeReward, **options) -> tuple[int, int]:

@@ -17,7 +17,7 @@ from tessitura.operators import batches, filters, groups, preferences, sequences
 from tessitura.operators.numbering import numbered
 from tessitura.plans import views
 from tessitura.plans.layout import codec, layout
-from tessitura.sources import audio, cache, readers, shared, writers
+from tessitura.sources import archives, audio, cache, readers, shared, writers
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -428,6 +428,28 @@ def cr_6_skyline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return preferences.skyline(_scored(spark, sf_dir), "g", "i", REWARD).select("g", "i")
 
 
+_FRONT = "SELECT g, i FROM cand a WHERE NOT EXISTS (SELECT 1 FROM cand b WHERE b.g = a.g AND {all} AND ({some}))"
+
+
+def _over(*names: str) -> rewards.CompositeReward:
+    return rewards.CompositeReward({"clear": 1.0}, pareto=names)
+
+
+def _front(*names: str) -> str:
+    return _FRONT.format(all=" AND ".join(f"b.{n} >= a.{n}" for n in names), some=" OR ".join(f"b.{n} > a.{n}" for n in names))
+
+
+@query(f"WITH {_CAND} {_front('clear', 'quality', 'speaker')}")
+def cr_6_skyline_three(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return preferences.skyline(_scored(spark, sf_dir), "g", "i", _over("clear", "quality", "speaker")).select("g", "i")
+
+
+@query(f"WITH {_CAND}, wide AS (SELECT *, i % 17 AS late FROM cand) {_front('clear', 'quality', 'speaker', 'late').replace('FROM cand', 'FROM wide')}")
+def cr_6_skyline_four(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = _scored(spark, sf_dir).withColumn("late", F.col("i") % 17)
+    return preferences.skyline(df, "g", "i", _over("clear", "quality", "speaker", "late")).select("g", "i")
+
+
 @query(f"""WITH {_CAND}, ok AS (SELECT * FROM cand WHERE clear >= 0.1), best AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY score DESC, i) AS r FROM ok),
     worst AS (SELECT o.g, b.i AS chosen, o.i AS rejected, b.score - o.score AS gap, row_number() OVER (PARTITION BY o.g ORDER BY o.score, o.i DESC) AS r FROM ok o JOIN best b ON o.g = b.g AND b.r = 1 AND b.i <> o.i
         WHERE b.score - o.score >= 0.3 AND b.score > o.score AND b.speaker >= o.speaker - 0.5 AND b.clear >= o.clear AND b.quality >= o.quality)
@@ -734,7 +756,7 @@ def src_2_tar_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = shared.shared_folder(spark, "tars")
     rows = _sounds(spark, sf_dir).where("bytes IS NOT NULL").select(F.concat(F.lit("d"), "doc_id").alias("stem"), F.col("bytes").alias("audio"), "text", (F.col("n_chars") / 16.0).alias("duration"))
     writers.write_tars(rows, folder, 16)
-    got = readers.read_tars(spark, f"{folder}/*.tar")
+    got = archives.read_tars(spark, f"{folder}/*.tar")
     return got.select("stem", F.md5(F.col("text").cast("binary")).alias("text"), F.md5("audio").alias("audio"), "duration")
 
 
@@ -763,6 +785,33 @@ def src_9_audio_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.select(F.col("vec_id").alias("id"), audio.waveform(value).alias("w")).select("id", F.size("w").alias("samples"), r9(F.col("w")[0]).alias("first"))
 
 
+_RESAMPLED = """r AS (SELECT label, CAST((row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1) * 64 AS BIGINT) AS base, embedding FROM embeddings),
+    x AS (SELECT label, base + i AS place, embedding[i + 1]::DOUBLE AS x FROM r, range(0, 64) t(i)), whole AS (SELECT label, count(*) AS length FROM x GROUP BY label),
+    o AS (SELECT label, unnest(range(0, CAST(ceil(length * {up} / {down}.0) AS BIGINT))) AS n FROM whole), w AS (SELECT label, n, n * {down} // {up} AS left_, n * {down} / {up}::DOUBLE AS at_ FROM o),
+    tap AS (SELECT label, n, left_ + k AS place, at_ - (left_ + k) AS gap FROM w, range(1 - {width}, {width} + 1) t(k)),
+    weight AS (SELECT label, n, place, {cut} * CASE WHEN gap = 0 THEN 1 ELSE sin(pi() * {cut} * gap) / (pi() * {cut} * gap) END * pow(cos(pi() * greatest(least(gap / {width}, 1), -1) / 2), 2) AS weight FROM tap)
+    SELECT label, n, round(sum(weight * coalesce(x, 0)), 6) + 0.0 AS sample FROM weight LEFT JOIN x USING (label, place) GROUP BY label, n"""
+
+
+def _resampled(spark: SparkSession, sf_dir: str, rate: int, target: int) -> DataFrame:
+    """Vectors as the parts of a recording for each label, and its samples with their numbers."""
+    df = views.table(spark, sf_dir, "embeddings").select("label", "vec_id", "embedding")
+    out = audio.resample_parts(df, "label", "vec_id", "embedding", rate, target)
+    before = Window.partitionBy("label").orderBy("vec_id").rowsBetween(Window.unboundedPreceding, 0)
+    out = out.withColumn("base", F.sum(F.size("embedding")).over(before) - F.size("embedding"))
+    return out.select("label", "base", F.posexplode("embedding").alias("i", "x")).select("label", (F.col("base") + F.col("i")).alias("n"), (F.round("x", 6) + F.lit(0.0)).alias("sample"))
+
+
+@query("WITH " + _RESAMPLED.format(up=3, down=2, width=16, cut=1.0))
+def aud_2_resample_up(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _resampled(spark, sf_dir, 16_000, 24_000)
+
+
+@query("WITH " + _RESAMPLED.format(up=1, down=2, width=32, cut=0.5))
+def aud_2_resample_down(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _resampled(spark, sf_dir, 48_000, 24_000)
+
+
 @query("SELECT CAST(vec_id AS VARCHAR) AS name, 64 AS samples, 64 AS read FROM embeddings")
 def snk_5_waves(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every vector as a WAV file, with rows of null between, and the files read back."""

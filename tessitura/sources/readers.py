@@ -1,14 +1,9 @@
-"""Readers: utterance shards, tar archives, candidate lines, datasets by suffix, speaker folders."""
+"""Readers: utterance shards, candidate lines, datasets by suffix, speaker folders."""
 
 from __future__ import annotations
 
 import fnmatch
-import json
-import tarfile
-from collections.abc import Iterator
-from typing import BinaryIO
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -16,8 +11,6 @@ from pyspark.sql.window import Window
 from tessitura.functions.text import is_blank, strip
 from tessitura.operators.preferences import CANDIDATES
 
-AUDIO_SUFFIXES = (".mp3", ".wav", ".flac")
-
 
 def has(df: DataFrame, name: str) -> bool:
     return name in df.columns
@@ -38,62 +31,6 @@ def read_shards(spark: SparkSession, path: str) -> DataFrame:
     return out.where(F.col("audio").isNotNull() & ~is_blank(F.col("text"))).withColumn("text", strip(F.col("text")))
 
 
-TAR_SCHEMA = "path string, stem string, audio binary, audio_name string, text string, speaker string, duration double, dnsmos double"
-
-
-def read_tars(spark: SparkSession, path: str) -> DataFrame:
-    """Members of tar archives paired by stem: ``stem.json`` with the first of its ``.mp3``,
-    ``.wav`` and ``.flac``. Archives are read by Spark, one to a task at a time, and so are under 2 GB
-    each; members that cannot be paired or parsed, texts that are blank or no text, and what
-    follows a damaged place of an archive are left out. Texts come stripped."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for name, content in zip(batch.column(0), batch.column(1), strict=True):
-                rows, size = [], 0
-                for row in pair_members(name.as_py(), pa.BufferReader(content.as_buffer())):
-                    rows.append(row)
-                    size += len(row["audio"])
-                    if size > 16 << 20:
-                        yield pa.RecordBatch.from_pylist(rows, schema=_TAR_ARROW)
-                        rows, size = [], 0
-                if rows:
-                    yield pa.RecordBatch.from_pylist(rows, schema=_TAR_ARROW)
-
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, TAR_SCHEMA)
-
-
-_TAR_ARROW = pa.schema([("path", pa.string()), ("stem", pa.string()), ("audio", pa.binary()), ("audio_name", pa.string()), ("text", pa.string()), ("speaker", pa.string()), ("duration", pa.float64()), ("dnsmos", pa.float64())])
-
-
-def pair_members(path: str, content: BinaryIO) -> Iterator[dict]:
-    """Utterances of one archive, by name."""
-    members: dict[str, tarfile.TarInfo] = {}
-    try:
-        tar = tarfile.open(fileobj=content)
-        for m in tar:
-            if m.isfile():
-                members[m.name] = m
-    except (tarfile.TarError, EOFError, OSError):
-        if not members:
-            return
-    for name in sorted(members):
-        stem, dot, suffix = name.rpartition(".")
-        audio = next((stem + s for s in AUDIO_SUFFIXES if stem + s in members), None)
-        if not dot or suffix != "json" or audio is None:
-            continue
-        try:
-            meta = json.loads(tar.extractfile(members[name]).read())
-            text = meta.get("text")
-            if not isinstance(text, str) or not text.strip():
-                continue
-            number = lambda key, meta=meta: None if meta.get(key) is None else float(meta[key])
-            speaker = meta.get("speaker")
-            yield {"path": path, "stem": stem, "audio": tar.extractfile(members[audio]).read(), "audio_name": audio, "text": text.strip(), "speaker": None if speaker is None else str(speaker), "duration": number("duration"), "dnsmos": number("dnsmos")}
-        except (ValueError, TypeError, AttributeError, tarfile.TarError, EOFError, OSError):
-            continue
-
-
 def read_dataset(spark: SparkSession, path: str, split: str | None = None, schema: str | None = None) -> DataFrame:
     """By suffix: json and jsonl, parquet, csv; a folder is a saved dataset, with a folder for each
     split or a ``split`` column if a split is asked for."""

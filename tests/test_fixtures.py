@@ -295,3 +295,45 @@ def test_grammar_at_every_position(spark):
     single = prefixes.select("i", "position", arrays.next_tokens(F.col("s"), 6, 7, 8, 100, mimi, pad=5).alias("n")).select("i", "position", "n.*").collect()
     key = lambda r: (r.i, r.position, *(r[f] for f in fields))
     assert sorted(map(key, every), key=str) == sorted(map(key, single), key=str) and len(every) == sum(len(r) + 1 for r in rows)
+
+
+def _plain_front(points):
+    return sorted(i for i, p in enumerate(points) if not any(q != p and all(a >= b for a, b in zip(q, p, strict=True)) for q in points))
+
+
+@pytest.mark.parametrize("metrics", [3, 4])
+def test_fronts_against_all_pairs(spark, metrics):
+    import random
+
+    rng = random.Random(metrics)
+    names = ("a", "b", "c", "d")[:metrics]
+    r = rewards.CompositeReward({"a": 1.0}, pareto=names)
+    groups = {g: [tuple(float(rng.randint(0, top)) for _ in names) for _ in range(400)] for g, top in (("x", 3), ("y", 40), (None, 12))}
+    rows = [(g, i, *p) for g, points in groups.items() for i, p in enumerate(points)] + [("x", 900, *[float("nan")] * metrics)]
+    df = spark.createDataFrame(rows, "g string, i int, " + ", ".join(f"{n} double" for n in names)).repartition(3)
+    for buckets in (1, 5, 256):
+        got = preferences.skyline(df, "g", "i", r, buckets=buckets).collect()
+        for g, points in groups.items():
+            assert sorted(x.i for x in got if x.g == g and x.i < 900) == _plain_front(points)
+        assert sum(x.i == 900 for x in got) == 1
+
+
+def test_front_of_one_large_group(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(7)
+    values = np.round(rng.random((100_000, 4)), 4)
+    df = spark.createDataFrame([(1, i, *map(float, v)) for i, v in enumerate(values)], "g int, i int, a double, b double, c double, d double").repartition(8)
+    for names in (("a", "b", "c"), ("a", "b", "c", "d")):
+        got = sorted(x.i for x in preferences.skyline(df, "g", "i", rewards.CompositeReward({"a": 1.0}, pareto=names)).select("i").collect())
+        own = values[:, : len(names)]
+        order = np.lexsort(tuple(-own[:, k] for k in reversed(range(len(names)))))
+        front = np.zeros((0, len(names)))
+        want = []
+        for i in order.tolist():
+            p = own[i]
+            over = (front >= p).all(axis=1)
+            if not (over & (front > p).any(axis=1)).any():
+                want.append(i)
+                front = np.concatenate([front, p[None]])
+        assert got == sorted(want)

@@ -1,5 +1,6 @@
 import io
 import json
+import math
 import os
 import tarfile
 
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tessitura.plans import stages
 from tessitura.plans.layout import Codec
-from tessitura.sources import audio, cache, plugins, readers, shared, writers
+from tessitura.sources import archives, audio, cache, plugins, readers, shared, writers
 
 
 def test_tar_pairs_by_stem(spark, tmp_path):
@@ -18,7 +19,7 @@ def test_tar_pairs_by_stem(spark, tmp_path):
             info = tarfile.TarInfo(name)
             info.size = len(data)
             tar.addfile(info, io.BytesIO(data))
-    rows = readers.read_tars(spark, f"file://{tmp_path}/*.tar").collect()
+    rows = archives.read_tars(spark, f"file://{tmp_path}/*.tar").collect()
     assert [(r.stem, r.audio_name, r.audio, r.text, r.duration) for r in rows] == [("x", "x.mp3", bytearray(b"m"), "hi", 2.0)]
 
 
@@ -151,6 +152,84 @@ def test_mono_rules():
         audio.mono(np.zeros((9, 9)), "strict")
 
 
+def _member(tar, name, data):
+    info = tarfile.TarInfo(name)
+    info.size = len(data)
+    tar.addfile(info, io.BytesIO(data))
+
+
+def test_archives_are_split_and_may_be_packed(spark, tmp_path, monkeypatch):
+    said = lambda k: json.dumps({"text": f"t{k}", "duration": k}).encode()
+    for kind, mode in (("plain", "w"), ("packed", "w:gz")):
+        with tarfile.open(tmp_path / f"{kind}.tar", mode) as tar:
+            for k in range(40):
+                _member(tar, f"d.x/{'n' * 120}{k}.json", said(k))
+                _member(tar, f"d.x/{'n' * 120}{k}.{('mp3', 'wav', 'flac')[k % 3]}", bytes([k]) * (1000 + k))
+            _member(tar, f"d.x/{'n' * 120}3.json", said(333))  # the last of one name counts
+            _member(tar, "alone.json", said(1))
+            _member(tar, "bad.json", b"{")
+            _member(tar, "bad.mp3", b"x")
+    monkeypatch.setattr(archives, "TASK_BYTES", 4096)
+    for kind in ("plain", "packed"):
+        df = archives.read_tars(spark, f"file://{tmp_path}/{kind}.tar")
+        got = sorted(df.collect(), key=lambda r: r.audio[0])
+        assert [(r.audio[0], len(r.audio), r.text, r.duration) for r in got] == [(k, 1000 + k, "t333" if k == 3 else f"t{k}", 333.0 if k == 3 else float(k)) for k in range(40)]
+        if kind == "plain":
+            assert df.groupBy(F.spark_partition_id()).count().count() >= 4  # tasks that read one archive
+
+
+def test_archive_over_two_gigabytes(spark, tmp_path):
+    """A sparse file: its first member, a hole of 2.5 GB, is skipped by its header and never read."""
+    size = 5 << 29
+    path = tmp_path / "large.tar"
+    with open(path, "wb") as f:
+        info = tarfile.TarInfo("hole.mp3")
+        info.size = size
+        f.write(info.tobuf())
+        f.seek(512 + size)
+        tail = io.BytesIO()
+        with tarfile.open(fileobj=tail, mode="w") as tar:
+            _member(tar, "a.json", b'{"text": " far "}')
+            _member(tar, "a.wav", b"sound")
+        f.write(tail.getvalue()[:2240])  # the end is damaged too
+    assert os.path.getsize(path) > 2**31 and os.stat(path).st_blocks * 512 < 1 << 20
+    assert [(r.stem, bytes(r.audio), r.text) for r in archives.read_tars(spark, f"file://{path}").collect()] == [("a", b"sound", "far")]
+    index = {r.name: (r.offset, r.size) for r in archives.tar_index(spark, f"file://{path}").collect()}
+    assert index["hole.mp3"] == (512, size) and index["a.json"][0] > 2**31
+
+
+def _convolved(x, rate, target, zeros=16):
+    """Every output by its own sum over a windowed sinc."""
+    cut = min(1.0, target / rate)
+    width = math.ceil(zeros / cut)
+    out = []
+    for n in range(math.ceil(len(x) * target / rate)):
+        at, total = n * rate / target, 0.0
+        left = n * rate // target
+        for k in range(left - width + 1, left + width + 1):
+            if 0 <= k < len(x):
+                gap = at - k
+                sinc = 1.0 if gap == 0 else math.sin(math.pi * cut * gap) / (math.pi * cut * gap)
+                total += x[k] * cut * sinc * math.cos(math.pi * max(-1, min(1, gap / width)) / 2) ** 2
+        out.append(total)
+    return np.array(out)
+
+
+def test_resampling_in_parts(spark):
+    rng = np.random.default_rng(2)
+    x = rng.standard_normal(700)
+    cuts = [0, 5, 6, 6, 40, 300, 301, 690, 700]
+    rows = [(r, k, x[a:b].tolist()) for r in ("one", "two") for k, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False))] + [("two", 99, None), ("three", 0, [1.0])]
+    df = spark.createDataFrame(rows, "r string, k int, x array<double>").repartition(3)
+    for rate, target in ((16_000, 24_000), (48_000, 24_000), (44_100, 24_000), (22_050, 24_000)):
+        whole = audio.resample(x, rate, target)
+        assert np.allclose(whole, _convolved(x, rate, target), atol=1e-12)
+        got = audio.resample_parts(df, "r", "k", "x", rate, target).orderBy("k").collect()
+        for r in ("one", "two"):
+            assert np.concatenate([np.array(g.x) for g in got if g.r == r and g.x is not None]).tolist() == whole.tolist()
+        assert [g.x for g in got if g.k == 99] == [None] and len(got) == len(rows)
+
+
 def test_resample_keeps_a_tone():
     t = np.arange(4800) / 48000
     out = audio.resample(np.sin(2 * np.pi * 440 * t), 48000, 24000)
@@ -201,7 +280,7 @@ def test_damaged_archives(spark, tmp_path):
             member(tar, f"{k}.wav", b"w")
     (tmp_path / "b.tar").write_bytes(b"no archive at all" * 100)
     (tmp_path / "c.tar").write_bytes((tmp_path / "a.tar").read_bytes()[:1600])
-    rows = readers.read_tars(spark, f"file://{tmp_path}/*.tar").collect()
+    rows = archives.read_tars(spark, f"file://{tmp_path}/*.tar").collect()
     assert [(r.stem, r.text) for r in rows if r.path.endswith("a.tar")] == [("0", "said")] and len(rows) <= 2
 
 
