@@ -41,6 +41,8 @@ RANGE_TOKENS = 1 << 21
 #: Sampled documents, one path in so many of theirs, paths sent to the driver, bytes of their words.
 SAMPLE_DOCS, SAMPLE_EVERY, SAMPLE_PATHS, SAMPLE_BYTES = 20_000, 64, 50_000, 32
 UNKNOWN = "und"
+#: Parts of a language whose best phrases are found first.
+BUCKETS = 64
 
 # lower case for A-Z, a line feed for the marks at which pieces end, a space for a tab
 _TABLE = bytes(c + 32 if 65 <= c <= 90 else 10 if c in b".,;:!?\n\x0b\x0c\r" else 32 if c == 9 else c for c in range(256))
@@ -324,7 +326,11 @@ def mine(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", min_co
     spans = F.flatten(F.transform(F.sequence(F.lit(2), F.col("size") - 1), lambda m: F.transform(F.sequence(F.lit(1), F.col("size") - m + 1), lambda i: F.array_join(F.slice("words", i, m), " "))))
     longer = candidates.where("size > 2").select("lang", "f", F.explode(F.array_distinct(spans)).alias("phrase")).groupBy("lang", "phrase").agg(F.max("f").alias("longest"))
     left = scored.join(longer, ["lang", "phrase"], "left").where(F.col("longest").isNull() | (100 * F.col("longest").cast("decimal(19,0)") < covered * wide("a")))
-    order = Window.partitionBy("lang").orderBy(F.desc("cut.score"), F.desc("a"), "phrase")
-    best = left.withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= top)
+    # the best of each of 64 parts of a language first, so that one task sees those and not every task's best
+    order = [F.desc("cut.score"), F.desc("a"), F.asc("phrase")]
+    rank = lambda *by: F.row_number().over(Window.partitionBy(*by).orderBy(*order)).cast("long")
+    best = left.withColumn("bucket", F.pmod(F.xxhash64("phrase"), F.lit(BUCKETS)))
+    best = best.withColumn("rank", rank("lang", "bucket")).where(F.col("rank") <= top)
+    best = best.withColumn("rank", rank("lang")).where(F.col("rank") <= top)
     totals = table.where("phrase = ''").select("lang", F.col("f").alias("n"))
     return best.join(totals, "lang").select("lang", "rank", "phrase", "a", F.col("cut.l").alias("l"), F.col("cut.r").alias("r"), "n", F.col("cut.score").alias("score"))

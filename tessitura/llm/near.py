@@ -19,10 +19,10 @@ similar to each other in one of two ways, by their overlaps with the center and
 - Or it may suffice, which takes a partner smaller than the center. Such nodes form a smaller
   band without the center.
 
-Smaller bands of up to ``SMALL_BAND`` nodes, and groups of up to ``SMALL_GROUP`` that share a shingle, are
-confirmed pair by pair where sizes and overlaps allow it; larger ones are the bands of the next
-round, with a center of their own, unless they are one component already. Each round takes a
-center out of each band, so rounds end with the input.
+Smaller bands of up to ``SMALL_BAND`` nodes, twice as many in each later round up to ``SMALL_GROUP``, and groups of
+up to ``SMALL_GROUP`` that share a shingle, are confirmed pair by pair where sizes and overlaps allow it; larger
+ones are the bands of the next round, with a center of their own, unless they are one component already.
+Each round takes a center out of each band, so rounds end with the input.
 
 So groups of near copies, and documents around one common passage, cost about a comparison a
 node, and yet every pair of a band that could be similar is confirmed or refuted. Sets stream
@@ -278,6 +278,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     for i in itertools.count():
         if state.isEmpty():
             break
+        small = min(SMALL_GROUP, SMALL_BAND << min(i, 10))  # later rounds have few bands, which else lose little a round
         best = F.max(F.struct("central", F.xxhash64("node").alias("h"), "node")).alias("best")
         centers = state.groupBy("band").agg(best, F.min("n").alias("low"), F.max("m").alias("m")).select("band", F.col("best.node").alias("c"), F.ceil(F.col("best.central") / PER_SALT).alias("salts"), "low", "m")
         state = scratch.save(_cut(state).join(_each_cut(centers).drop("m"), ["band", "cut"]), f"centered-{i}").where("node <> c")
@@ -301,7 +302,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         rest = rest.join(_each_cut(bounds).drop("m"), ["band", "cut"]).where(F.when(open_, F.col("room") >= F.col("least")).otherwise((F.col("n") <= F.col("open_room")) & (F.col("room") >= F.col("open_low"))))
         rest = scratch.save(rest.select("band", "m", "cut", "node", "n", "central", "overlap", "linked"), f"rest-{i}")
         left = rest.groupBy("band").agg(F.count("*").alias("left"), F.max("m").alias("m")).where("left > 1")
-        few = rest.join(left.where(F.col("left") <= SMALL_BAND).drop("m"), "band")
+        few = rest.join(left.where(F.col("left") <= small).drop("m"), "band")
         peer = few.select("band", *(F.col(x).alias(f"o_{x}") for x in ("node", "n", "overlap", "linked")))
         enough = (100 + percent) * F.least("overlap", "o_overlap") >= need
         tried = tried.unionByName(few.join(peer, "band").where(not_both & enough).select(F.col("node").alias("a"), F.col("o_node").alias("b")))
@@ -309,7 +310,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         linked = met.where("linked").select(F.col("c").alias("u"), F.col("node").alias("v"))
         links = scratch.save(linked.unionByName(_confirmed(tried, sets, percent)), f"links-{i}")
         found.append(links)
-        large = _each_cut(left.where(F.col("left") > SMALL_BAND)).select("band", "cut", F.col("left"))
+        large = _each_cut(left.where(F.col("left") > small)).select("band", "cut", F.col("left"))
         following = rest.join(large, ["band", "cut"]).select("band", F.col("left").alias("m"), "node", "n", "central").unionByName(many)
         following = scratch.save(following.join(state.select("node", "comp").distinct(), "node"), f"following-{i}")
         if following.isEmpty():
