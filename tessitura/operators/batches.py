@@ -76,6 +76,11 @@ def _cycles(ratios: pa.Array) -> pa.Array:
     return pa.array([None if r is None else dict(zip(("first", "second"), batch_counts(r), strict=True)) for r in ratios.to_pylist()], pa.struct([("first", pa.int64()), ("second", pa.int64())]))
 
 
+def cycle(ratio: Column) -> Column:
+    """``batch_counts`` of a column: a struct of ``first`` and ``second``."""
+    return F.arrow_udf(_cycles, "struct<first:bigint,second:bigint>")(ratio)
+
+
 def schedule(spark: SparkSession, n1: int, n2: int, batch: int, initial: float, final: float, steps: int, accumulation: int = 1) -> DataFrame:
     """A whole run while its ratio moves: for each of the ``accumulation`` batches of each ``step`` and each place ``inside``
     it, the ``source`` and the ``row`` there.
@@ -88,8 +93,7 @@ def schedule(spark: SparkSession, n1: int, n2: int, batch: int, initial: float,
     if min(n1, n2, batch, accumulation) <= 0:
         raise ValueError("sources, batches and accumulation are positive")
     runs = spark.range(steps * accumulation).withColumnRenamed("id", "number").withColumn("step", F.floor(F.col("number") / accumulation))
-    cycle = F.arrow_udf(_cycles, "struct<first:bigint,second:bigint>")(ratio_at(F.col("step"), initial, final, steps))
-    runs = runs.withColumn("c", cycle)
+    runs = runs.withColumn("c", cycle(ratio_at(F.col("step"), initial, final, steps)))
     a, b = F.col("c.first"), F.col("c.second")
     place, whole = F.col("number") % (a + b), F.floor(F.col("number") / (a + b))
     runs = runs.select("number", "step", (place < a).alias("is_first"), F.when(place < a, whole * a + place).otherwise(whole * b + place - a).alias("own"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -41,20 +43,20 @@ def assemble(df: DataFrame, lay: TokenLayout, text_ids: Column, completion_only:
     return df.select(*keys, "input_ids", labels.alias("labels"), arrays.attention(F.col("input_ids")).alias("attention_mask"), F.col("text").alias("reference_text"), F.col("speaker").alias("speaker_id"), *optional)
 
 
-def prompts(df: DataFrame, lay: TokenLayout, voice: str | None = None, voices: tuple[str, ...] = (), seed: int = 0) -> DataFrame:
-    """Inference prompts from ``text``, and the column named ``voice``. With ``voices``, rows without a
+def prompts(df: DataFrame, lay: TokenLayout, voice: str | None = None, voices: tuple[str, ...] = (), seed: int = 0, tokenizer: Callable[[Column], Column] = text.code_points) -> DataFrame:
+    """Inference prompts from ``text``, and the column named ``voice``, in the ids of ``tokenizer`` (see ``plugins.tokenize_with``). With ``voices``, rows without a
     voice get one of these, drawn by the seed and the row's own values, so that reruns agree."""
     speaker = F.col(voice) if voice else None
     if voices:
         drawn = F.element_at(F.array(*map(F.lit, voices)), (F.pmod(F.xxhash64(F.lit(seed), *df.columns), F.lit(len(voices))) + 1).cast("int"))
         speaker = drawn if speaker is None else F.coalesce(speaker, drawn)
     said = text.prompt_text(F.col("text"), speaker, "voice")
-    return df.withColumn("prompt", prompt_tokens(text.code_points(said), lay))
+    return df.withColumn("prompt", prompt_tokens(tokenizer(said), lay))
 
 
-def clone_prompts(references: DataFrame, targets: DataFrame, lay: TokenLayout, key: str) -> DataFrame:
+def clone_prompts(references: DataFrame, targets: DataFrame, lay: TokenLayout, key: str, tokenizer: Callable[[Column], Column] = text.code_points) -> DataFrame:
     """For each target (key, text) and the references (key, ref_text, ref_codes) with its key: the
     reference's whole turn, then the target's opened turn."""
     both = targets.join(references, key)
-    turn = F.concat(prompt_tokens(text.code_points(F.col("ref_text")), lay), answer_tokens(arrays.offset(F.col("ref_codes"), lay.audio_start), lay))
-    return both.withColumn("prompt", F.concat(turn, prompt_tokens(text.code_points(F.col("text")), lay)))
+    turn = F.concat(prompt_tokens(tokenizer(F.col("ref_text")), lay), answer_tokens(arrays.offset(F.col("ref_codes"), lay.audio_start), lay))
+    return both.withColumn("prompt", F.concat(turn, prompt_tokens(tokenizer(F.col("text")), lay)))

@@ -17,7 +17,7 @@ from tessitura.operators import batches, filters, groups, preferences, sequences
 from tessitura.operators.numbering import numbered
 from tessitura.plans import views
 from tessitura.plans.layout import codec, layout
-from tessitura.sources import archives, audio, cache, readers, shared, writers
+from tessitura.sources import archives, audio, cache, plugins, readers, shared, writers
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -295,6 +295,28 @@ def prm_2_clone_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("item_id", F.sha2(joined(F.col("prompt")).cast("binary"), 256).alias("prompt"))
 
 
+@query()
+def prm_1_subword_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's prompt in the ids of a vocabulary file, by the tokenizer plug-in."""
+    import public_tokenizers
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    df = views.table(spark, sf_dir, "documents").select("doc_id", "text", F.col("source").alias("voice"))
+    out = sequences.prompts(df, LFM, "voice", tokenizer=plugins.tokenize_with(lambda: plugins.LibraryTokenizer(path)))
+    return out.select("doc_id", F.size("prompt").alias("n"), F.sha2(joined(F.col("prompt")).cast("binary"), 256).alias("prompt"))
+
+
+@query(f"WITH {_SPOKEN}, {_SEQ} SELECT len(t) + 4 + len(codes) + 4 AS n, sha256(trim(text, ' ' || chr(9) || chr(10) || chr(13))) AS reference_text, speaker AS speaker_id, 7 AS columns FROM ids")
+def snk_2_training_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Training rows written with the known columns, and read back."""
+    df = _spoken(spark, sf_dir).withColumn("codes", arrays.offset(F.col("codes"), LFM.audio_start))
+    rows = sequences.assemble(df, LFM, text.code_points(text.prompt_text(F.col("text"), F.col("speaker"))), min_quality=3.0, min_duration=30.0, max_duration=300.0)
+    folder = shared.shared_folder(spark, "training") + "/rows"
+    writers.write_training(rows.withColumn("extra", F.lit(1)), folder)
+    back = readers.read_dataset(spark, folder)
+    return back.select((F.size("input_ids") + 1).cast("long").alias("n"), F.sha2(text.strip(F.col("reference_text")).cast("binary"), 256).alias("reference_text"), "speaker_id", F.lit(len(back.columns)).alias("columns"))
+
+
 # -- text ---------------------------------------------------------------------------------------
 @query(f"""WITH u AS (SELECT id, ' ' || text || chr(9) AS text, CASE id % 3 WHEN 0 THEN NULL WHEN 1 THEN '' ELSE speaker END AS s FROM ({views.UTTERANCES})), v AS (SELECT *, trim(text, ' ' || chr(9) || chr(10) || chr(13)) AS b FROM u)
     SELECT id, md5(b) AS stripped, md5(CASE WHEN coalesce(s, '') <> '' THEN s || ': ' || b ELSE b END) AS sharded, md5(coalesce(s, 'None') || ': ' || text) AS generic, md5(coalesce(s, 'None') || ': ' || b) AS always, md5(CASE WHEN s IS NULL THEN text ELSE s || ': ' || text END) AS voice FROM v""")
@@ -497,6 +519,16 @@ def pp_1_array_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("g", "reject_reason", F.get("chosen_input_ids", F.lit(0)).cast("long").alias("chosen"), F.get("rejected_input_ids", F.lit(0)).cast("long").alias("rejected"), r9(F.col("reward_gap")).alias("reward_gap"))
 
 
+@query(f"WITH {_PAIR.format(views.CANDIDATES)} SELECT g AS prompt, chosen, rejected FROM worst WHERE r = 1")
+def src_5_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Selected pairs saved as a dataset and loaded with its checks."""
+    folder = shared.shared_folder(spark, "pairs")
+    writers.write_lines(_groups(spark, sf_dir, False).drop("g"), f"{folder}/in.jsonl")
+    preferences.build_pairs(spark, f"{folder}/in.jsonl", f"{folder}/out.jsonl", REWARD, gap=0.3)
+    first = lambda c: F.get(c, F.lit(0)).cast("long")
+    return readers.read_pairs(spark, f"{folder}/out.jsonl").select(first("prompt_input_ids").alias("prompt"), first("chosen_input_ids").alias("chosen"), first("rejected_input_ids").alias("rejected"))
+
+
 @query("SELECT doc_id, row_number() OVER (PARTITION BY doc_id % 3 ORDER BY doc_id) AS source_line FROM documents")
 def src_6_line_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as JSON lines in three files, read back with the number of each line in its file."""
@@ -608,6 +640,14 @@ def mix_4_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plan.join(both, ["source", "row"]).select("index", "source", "row", "n")
 
 
+@query("""WITH r AS (SELECT DISTINCT round(0.05 + abs(value) / 37, 3) AS ratio FROM events WHERE value IS NOT NULL), near AS (SELECT ratio, CAST(round(ratio * q) AS BIGINT) AS p, q FROM r, range(1, 17) t(q)
+    QUALIFY row_number() OVER (PARTITION BY ratio ORDER BY abs(ratio - round(ratio * q) / q), q) = 1) SELECT ratio, p AS first, q AS second FROM near""")
+def mix_3_cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The batches in a cycle for every ratio that events' values make."""
+    df = views.table(spark, sf_dir, "events").where("value IS NOT NULL").select(F.round(0.05 + F.abs("value") / 37, 3).alias("ratio")).distinct()
+    return df.select("ratio", batches.cycle(F.col("ratio")).alias("c")).select("ratio", "c.*")
+
+
 _RUN = """n AS (SELECT (SELECT count(*) FROM conversations) AS n1, (SELECT count(*) FROM documents) AS n2), step AS (SELECT i AS step, 2 - 1.0::DOUBLE * (i / 99.0::DOUBLE) AS ratio FROM range(0, 100) t(i)),
     near AS (SELECT step, CAST(round(ratio * q) AS BIGINT) AS p, q FROM step, range(1, 17) t(q) QUALIFY row_number() OVER (PARTITION BY step ORDER BY abs(ratio - round(ratio * q) / q), q) = 1),
     batch AS (SELECT step, p, q, step % (p + q) AS place, step // (p + q) AS cycle FROM near),
@@ -826,6 +866,33 @@ def snk_5_waves(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(written).select("name", F.col("samples").cast("int").alias("samples")).join(files, "name")
 
 
+@query("SELECT doc_id, (row_number() OVER (ORDER BY doc_id) - 1) % 5 AS part, row_number() OVER (ORDER BY doc_id) - 1 AS place FROM documents")
+def cch_9_row_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents dealt to five parts in turn, saved by part, and put together in their order again."""
+    folder = shared.shared_folder(spark, "parts") + "/rows"
+    rows = numbered(views.table(spark, sf_dir, "documents").select("doc_id"), "doc_id", name="row")
+    cache.shard_rows(rows, "row", 5).write.partitionBy("part").parquet(folder)
+    back = spark.read.schema("doc_id long, row long, part long").parquet(folder)
+    return numbered(back, "row", name="place").select("doc_id", "part", "place")
+
+
+@query("SELECT source, count(*) AS n FROM documents GROUP BY source")
+def cch_11_made_once(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A table that is there is taken as it is: the second call would fail if it made it again."""
+    folder = shared.shared_folder(spark, "once") + "/table"
+    docs = views.table(spark, sf_dir, "documents")
+    cache.skip_if_there(spark, folder, lambda: docs.select("source"))
+    again = cache.skip_if_there(spark, folder, lambda: docs.select(F.raise_error(F.lit("made twice")).cast("string").alias("source")))
+    return again.groupBy("source").agg(F.count("*").alias("n"))
+
+
+@query("SELECT vec_id, CASE WHEN vec_id % 3 = 0 THEN 1.5::DOUBLE ELSE len(embedding) / 24000.0::DOUBLE END AS duration FROM embeddings")
+def aud_3_duration(spark: SparkSession, sf_dir: str) -> DataFrame:
+    value = F.struct(F.lit(None).cast("binary").alias("bytes"), F.lit(None).cast("string").alias("path"), F.col("embedding").alias("array"), F.lit(24000).alias("sampling_rate"))
+    df = views.table(spark, sf_dir, "embeddings").select("vec_id", audio.waveform(value).alias("wave"))
+    return df.select("vec_id", audio.duration(F.when(F.col("vec_id") % 3 == 0, 1.5), F.col("wave"), 24000).alias("duration"))
+
+
 @query("SELECT source, count(*) AS n, 7 AS finished, 1 AS without_rows, 0 AS \"left\" FROM documents GROUP BY source")
 def cch_1_6_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Source files made into rows of a cache in two passes, the second one over what the first left; one of

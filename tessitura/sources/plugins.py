@@ -1,4 +1,4 @@
-"""Boundaries for what needs a trained model: codecs, recognizers, scorers.
+"""Boundaries for what needs a trained model or a vocabulary: codecs, recognizers, scorers, tokenizers.
 
 A plug-in is a factory called once in each worker process; its object then maps batches. The
 engine brings no models. ``ToyCodec`` is a stand-in that makes ids from samples by rule; it
@@ -29,6 +29,44 @@ class Scorer(Protocol):
     def score(self, samples, text: str | None) -> float: ...  # noqa: ANN001
 
 
+class Tokenizer(Protocol):
+    def encode_batch(self, texts: list[str]) -> list[list[int]]: ...
+
+
+class LibraryTokenizer:
+    """A vocabulary file of the ``tokenizers`` library, read once in each worker from a path that all have."""
+
+    def __init__(self, path: str, special_tokens: bool = True):
+        import tokenizers
+
+        self.special = special_tokens
+        self.model = tokenizers.Tokenizer.from_file(path)
+        self.model.no_truncation()
+        self.model.no_padding()
+
+    def encode_batch(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.model.encode_batch(texts, add_special_tokens=self.special)]
+
+
+def tokenize_with(factory: Callable[[], Tokenizer]) -> Callable[[Column], Column]:
+    """A function from a text column to its ids, for ``prompts``, ``clone_prompts`` and training rows. A null text
+    has null ids. Texts go to the tokenizer a few hundred at a time."""
+
+    @F.pandas_udf("array<int>")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        model = factory()
+        for batch in batches:
+            out: list[list[int] | None] = [None] * len(batch)
+            there = [i for i, t in enumerate(batch) if t is not None]
+            for start in range(0, len(there), 256):
+                some = there[start : start + 256]
+                for i, ids in zip(some, model.encode_batch([batch.iloc[i] for i in some]), strict=True):
+                    out[i] = ids
+            yield pd.Series(out, dtype=object)
+
+    return run
+
+
 def encode_with(factory: Callable[[], CodecModel], wave: Column) -> Column:
     """Codes of each waveform; null where the codec raises, so that a filter can count the row."""
 

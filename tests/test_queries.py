@@ -140,3 +140,22 @@ def test_character_errors_of_unaltered_texts(spark, tmp_path):
     want = {k: round(_levenshtein(bare(r), bare(h)) / len(bare(r)), 9) for k, (r, h) in pairs.items()}
     got = {(r.id, r.turn): r.cer for r in QUERIES["t_8_character_errors"](spark, str(tmp_path)).collect()}
     assert got == want and want[1, 0] > 0 and want[2, 0] > 0
+
+
+def test_prompts_by_a_tokenizer(spark):
+    import hashlib
+
+    public_tokenizers = pytest.importorskip("public_tokenizers")
+    tokenizers = pytest.importorskip("tokenizers")
+    from tessitura.plans import views
+    from tessitura.queries import LFM
+
+    library = tokenizers.Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    docs = {r.doc_id: r for r in views.table(spark, SF, "documents").collect()}
+    got = QUERIES["prm_1_subword_prompts"](spark, SF).collect()
+    assert len(got) == len(docs)
+    for r in got:
+        d = docs[r.doc_id]
+        if d.text is not None:
+            ids = [LFM.start_of_human, *library.encode(d.text if d.source is None else f"{d.source}: {d.text}").ids, LFM.end_of_text, LFM.end_of_human]
+            assert (r.n, r.prompt) == (len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest())
