@@ -119,7 +119,11 @@ def format_chats(conversations: DataFrame, id_col: str = "conv_id", turn_col: st
 
 def read_back(formatted: DataFrame, id_col: str = "conv_id") -> DataFrame:
     """What formatted parts hold, a row for each conversation: turns parsed from the text, and
-    the unescaped text under the loss mask, as counts and digests."""
+    the unescaped text under the loss mask, as counts and digests.
+
+    A conversation is one record of this digest, so its parts meet in one row. The null id is one conversation;
+    a conversation without loss turns has an empty loss text, and an empty table gives an empty table. Other
+    columns take no part."""
     require(formatted, id_col, "part", "formatted", "loss_spans")
     data = F.col("formatted").cast("binary")
     parts = formatted.select(F.col(id_col), "part", parse(F.col("formatted")).alias("parsed"), F.transform("loss_spans", lambda s: unescape(F.substring(data, s["byte"] + 1, s["bytes"]).cast("string"))).alias("masked"), F.length("formatted").alias("chars"))

@@ -166,7 +166,9 @@ def read_token_files(spark: SparkSession, out_dir: str, with_ids: bool = False)
     """Reads all files back: a row for each record, ``id``, ``start`` (ids of all records before
     it), ``n_tokens``, ``ids_crc32`` (of the ids as little-endian u32), and ``token_ids`` if asked.
 
-    Raises if a checksum or the index does not fit. The running sum over files sees a row a file.
+    Raises if a checksum or the index does not fit. The running sum over files sees a row a file. Null
+    ids come back null, records that share an id are rows of their own, and files of an empty table
+    (a manifest without entries) give an empty table.
     """
     schema = "shard int, part int, path string, n_records long, n_tokens long, n_bytes long"
     files = spark.read.schema(schema).parquet(f"{out_dir}/manifest")
