@@ -117,6 +117,18 @@ ORACLE_SQL: dict[str, str] = {
             sha256(string_agg(CASE WHEN role = 'assistant' THEN text ELSE '' END, '' ORDER BY turn NULLS FIRST, role, text)) AS loss_sha256,
             CAST(sum(22 + length({_ESCAPED.format("role")}) + length({_ESCAPED.format("text")})) AS BIGINT) AS formatted_chars
         FROM turns GROUP BY conv_id""",
+    "op2_near_dedup": r"""
+        WITH RECURSIVE split AS (SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words FROM documents),
+        starts AS (SELECT doc_id, words, unnest(range(1, greatest(len(words) - 3, 1) + 1)) AS i FROM split WHERE len(words) > 0),
+        shingle AS (SELECT DISTINCT doc_id, array_to_string(words[i : i + 3], ' ') AS s FROM starts),
+        size AS (SELECT doc_id, CAST(count(*) AS BIGINT) AS n FROM shingle GROUP BY doc_id),
+        shared AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM shingle a JOIN shingle b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY ALL),
+        link AS (SELECT a, b FROM shared JOIN size x ON x.doc_id = a JOIN size y ON y.doc_id = b WHERE 100 * c >= 80 * (x.n + y.n - c)),
+        both_ways AS (SELECT a, b FROM link UNION ALL SELECT b, a FROM link),
+        reach AS (SELECT a AS doc_id, a AS r FROM both_ways UNION SELECT reach.doc_id, b FROM reach JOIN both_ways ON reach.r = a),
+        least_ AS (SELECT doc_id, min(r) AS component_id FROM reach GROUP BY doc_id)
+        SELECT d.doc_id, coalesce(n, 0) AS n_shingles, coalesce(component_id, d.doc_id) AS component_id, coalesce(component_id, d.doc_id) = d.doc_id AS kept
+        FROM documents d LEFT JOIN size USING (doc_id) LEFT JOIN least_ USING (doc_id)""",
     "op9_line_dedup": f"""
         WITH split AS (SELECT doc_id, coalesce('=' || source, '') AS site, string_split(text, chr(10)) AS parts, md5(text) AS copy FROM documents),
         line AS (SELECT doc_id, site, copy, unnest(parts) AS raw, unnest(range(1, len(parts) + 1)) AS pos FROM split),
