@@ -91,11 +91,10 @@ def read_candidates(spark: SparkSession, path: str) -> DataFrame:
 
 def read_speakers(spark: SparkSession, root: str) -> DataFrame:
     """For each folder with ``t.txt``: the transcript and its first ``.wav`` by name."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-    folder, name = F.regexp_extract("path", r"^(.*)/[^/]*$", 1), F.regexp_extract("path", r"([^/]*)$", 1)
-    files = files.select(folder.alias("folder"), name.alias("name"), "path", "content")
-    said = files.where("name = 't.txt'").select("folder", strip(F.decode("content", "UTF-8")).alias("transcript"))
-    waves = files.where(F.lower("name").endswith(".wav")).groupBy("folder").agg(F.min("path").alias("audio_path"))
+    files = lambda pattern: spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(root)
+    folder = F.regexp_extract("path", r"^(.*)/[^/]*$", 1).alias("folder")
+    said = files("t.txt").select(folder, strip(F.decode("content", "UTF-8")).alias("transcript"))
+    waves = files("*.[wW][aA][vV]").select(folder, "path").groupBy("folder").agg(F.min("path").alias("audio_path"))  # contents are not read
     return waves.join(said, "folder").select(F.regexp_extract("folder", r"([^/]*)$", 1).alias("speaker"), "audio_path", "transcript")
 
 
