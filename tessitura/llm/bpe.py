@@ -17,11 +17,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from tessitura.llm.common import at, require
-from tessitura.llm.tokenization import Decoder, TreeEncoder, encoder_for, pieces, trim
+from tessitura.llm.tokenization import TRIM_BYTES, Decoder, TreeEncoder, encoder_for, pieces, trim
+
+#: Bytes of text that are encoded at once, and entries of a worker's table of chunks: the stage of a pipeline
+#: shares its executors with what earlier stages left there, so it takes less than it could use.
+PIECE_BYTES, TABLE = 512 << 10, 150_000
 
 #: What ``bpe`` can return beside the id and ``n_tokens``.
 OUTPUTS = {
@@ -47,33 +52,44 @@ def bpe(docs: DataFrame, tokenizer_path: str, outputs: tuple[str, ...] = ("token
         raise ValueError(f"unknown outputs {sorted(unknown)}")
     with open(tokenizer_path, "rb") as f:
         data = docs.sparkSession.sparkContext.broadcast(f.read())
-    decoding = bool({"decoded", "decoded_sha256"} & set(outputs))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = encoder_for(data.value)
-        encode = (TreeEncoder(encoder, leaf_chars) if encoder.spaced and encoder.plain else encoder).encode
-        decoder = Decoder(data.value) if decoding else None
-        for batch in batches:
-            for part in pieces(batch.column(1)):
-                ids, sizes = encode(batch.column(1)[part].to_pylist())
-                ends = np.concatenate([[0], np.cumsum(sizes)])
-                columns = [batch.column(0)[part], pa.array(sizes)]
-                runs = list(zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True))
-                if decoder is not None:
-                    decoded = [decoder.decode_bytes(ids[a:b].tolist()) for a, b in runs]
-                for name in outputs:
-                    if name == "token_ids":
-                        columns.append(pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(ids.astype(np.int32))))
-                    elif name == "ids_sha256":
-                        columns.append(pa.array([hashlib.sha256(ids[a:b].astype("<u4").tobytes()).hexdigest() for a, b in runs]))
-                    elif name == "decoded":
-                        columns.append(pa.array([d.decode(errors="replace") for d in decoded]))
-                    else:
-                        columns.append(pa.array([hashlib.sha256(d.decode(errors="replace").encode()).hexdigest() for d in decoded]))
-                yield pa.RecordBatch.from_arrays(columns, names=[id_name, "n_tokens", *outputs])
-        trim()
+        return encoded(batches, data.value, outputs, leaf_chars)
+
+    schema = T.StructType([T.StructField("id", docs.schema[id_col].dataType), T.StructField("n_tokens", T.LongType()), *(T.StructField(n, OUTPUTS[n]) for n in outputs)])
+    made = docs.select(at(docs, id_col).alias("id"), at(docs, text_col).alias("text")).mapInArrow(run, schema)
+    return made.withColumnRenamed("id", id_col)
+
 
-    id_name = "id"
-    schema = T.StructType([T.StructField(id_name, docs.schema[id_col].dataType), T.StructField("n_tokens", T.LongType()), *(T.StructField(n, OUTPUTS[n]) for n in outputs)])
-    made = docs.select(at(docs, id_col).alias(id_name), at(docs, text_col).alias("text")).mapInArrow(run, schema)
-    return made.withColumnRenamed(id_name, id_col)
+def encoded(batches: Iterator[pa.RecordBatch], data: bytes, outputs: tuple[str, ...], leaf_chars: int) -> Iterator[pa.RecordBatch]:
+    """For batches of (id, text): the columns of ``bpe``. A worker's memory is its table of up to ``TABLE`` chunks and
+    what a piece of text takes, since what earlier pieces and tasks left goes back to the system."""
+    trim()
+    encoder = encoder_for(data, TABLE)
+    encode = (TreeEncoder(encoder, leaf_chars) if encoder.spaced and encoder.plain else encoder).encode
+    decoder = Decoder(data) if {"decoded", "decoded_sha256"} & set(outputs) else None
+    done = 0
+    for batch in batches:
+        for part in pieces(batch.column(1), PIECE_BYTES):
+            texts = batch.column(1)[part]
+            ids, sizes = encode(texts.to_pylist())
+            ends = np.concatenate([[0], np.cumsum(sizes)])
+            columns = [batch.column(0)[part], pa.array(sizes)]
+            runs = list(zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True))
+            if decoder is not None:
+                decoded = [decoder.decode_bytes(ids[a:b].tolist()) for a, b in runs]
+            for name in outputs:
+                if name == "token_ids":
+                    columns.append(pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(ids.astype(np.int32))))
+                elif name == "ids_sha256":
+                    columns.append(pa.array([hashlib.sha256(ids[a:b].astype("<u4").tobytes()).hexdigest() for a, b in runs]))
+                elif name == "decoded":
+                    columns.append(pa.array([d.decode(errors="replace") for d in decoded]))
+                else:
+                    columns.append(pa.array([hashlib.sha256(d.decode(errors="replace").encode()).hexdigest() for d in decoded]))
+            yield pa.RecordBatch.from_arrays(columns, names=["id", "n_tokens", *outputs])
+            done += pc.sum(pc.binary_length(texts)).as_py() or 0
+            if done >= TRIM_BYTES:
+                trim()
+                done = 0
+    trim()

@@ -43,7 +43,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tessitura.llm.common import Scratch, at, fresh, require
-from tessitura.llm.tokenization import pieces, release
+from tessitura.llm.tokenization import pieces, released
 
 ROWS, BANDS = 5, 40
 BINS = ROWS * BANDS
@@ -109,8 +109,8 @@ def band_keys(sketch: np.ndarray) -> np.ndarray:
 
 
 def _sketched(rows: DataFrame, words: int) -> DataFrame:
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        release()
         for batch in batches:
             for part in pieces(batch.column(1)):
                 sets = [shingles(t, words) for t in batch.column(1)[part].to_pylist()]
@@ -123,8 +123,8 @@ def _sketched(rows: DataFrame, words: int) -> DataFrame:
 
 
 def _full_sets(rows: DataFrame, words: int) -> DataFrame:
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        release()
         for batch in batches:
             for part in pieces(batch.column(1)):
                 sets = [shingles(t, words).tobytes() for t in batch.column(1)[part].to_pylist()]
@@ -153,8 +153,8 @@ def _compared(pairs: DataFrame, sets: DataFrame, percent: int, extra: bool) -> D
     kind = dict(sets.dtypes)["id"]
     names = ["a", "b", "n", "overlap", "linked", *(["extra"] if extra else [])]
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        release()
         head = np.empty(0, np.uint64)
         for batch in batches:
             for part in pieces(batch.column(3)):

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessitura.llm.common import Scratch, at, require
-from tessitura.llm.tokenization import pieces, release
+from tessitura.llm.tokenization import pieces, released
 
 SAMPLE = 4000
 ROUNDS = 4
@@ -247,8 +247,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     known = labels.where(at(labels, label_col).isin(0, 1) & at(labels, id_col).isNotNull()).groupBy(at(labels, id_col).cast(kind).alias("id")).agg(F.min(at(labels, label_col).cast("int")).alias("y"))
     rows = docs.select(at(docs, id_col).alias("id"), *_inputs(docs, text_col, lang_col, source_col)).where("id IS NOT NULL")
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        release()
         for batch in batches:
             for piece, content, metadata in _batches(batch, "text", "lang", "source"):
                 yield pa.RecordBatch.from_arrays([piece.column(0), *(pa.array([x.tobytes() for x in f], pa.binary()) for f in (content, metadata))], names=["id", "content", "metadata"])
@@ -265,8 +265,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     scratch.drop("features")
 
     def surest(model: Model, wanted: dict[tuple[int, int], int]) -> dict[tuple[int, int], list[tuple]]:
+        @released
         def scores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            release()
             for batch in batches:
                 for i in range(0, batch.num_rows, 1024):
                     piece = batch.slice(i, 1024)
@@ -297,8 +297,8 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     require(docs, id_col, text_col, lang_col, source_col)
     kind = docs.schema[id_col].dataType.simpleString()
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        release()
         for batch in batches:
             for piece, content, metadata in _batches(batch, "text", "lang", "source"):
                 content, metadata = content.astype(np.float32), metadata.astype(np.float32)
@@ -318,8 +318,8 @@ def keep_good(docs: DataFrame, model: Model, threshold: float = THRESHOLD, text_
     fields = [T.StructField(f"c{k}", f.dataType) for k, f in enumerate(docs.schema.fields)]
     columns = [f.name for f in fields]
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        release()
         for batch in batches:
             for piece, content, metadata in _batches(batch, "text", "lang", "source"):
                 good = model.score(content.astype(np.float32), metadata.astype(np.float32)) >= threshold

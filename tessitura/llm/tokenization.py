@@ -13,7 +13,7 @@ import json
 import re
 import string
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import chain, repeat
 
 import numpy as np
@@ -21,12 +21,14 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from tokenizers import Tokenizer
 
-#: Entries of a worker's chunk table; when it is full, the half that is used most stays.
+#: Entries of a worker's chunk table, unless its user asks for less; when it is full, the half that is used most stays.
 CACHE_ENTRIES = 300_000
 #: Only chunks up to this length are kept in the table.
 CACHE_CHARS = 48
 #: Bytes of text that are worked on at once.
 PIECE_BYTES = 2 << 20
+#: Bytes of text after which a worker that keeps a table gives free memory back.
+TRIM_BYTES = 8 << 20
 
 _MARKS = string.punctuation
 _SAFE_CUT = re.compile(r"(?<=\S)(?= [^\s\u180e])(?<!\u180e)")
@@ -67,7 +69,8 @@ def byte_alphabet() -> dict[str, int]:
 class ChunkTable:
     """Chunks by name, with the ids of all of them in one array."""
 
-    def __init__(self) -> None:
+    def __init__(self, most: int | None = None) -> None:
+        self.most = most
         self.index: dict[str, int] = {}
         self.flat, self.used = np.empty(1 << 16, np.uint32), 0
         self.start, self.size, self.uses = np.empty(1 << 12, np.int64), np.empty(1 << 12, np.int64), np.empty(1 << 12, np.int64)
@@ -96,10 +99,11 @@ class ChunkTable:
         if named < self.entries:
             self.used = int(self.start[named]) if named else 0
             self.entries = named
-        if named <= CACHE_ENTRIES:
+        most = self.most or CACHE_ENTRIES
+        if named <= most:
             return
         uses = self.uses[:named]
-        keep = np.sort(np.argsort(-uses, kind="stable")[: CACHE_ENTRIES // 2])
+        keep = np.sort(np.argsort(-uses, kind="stable")[: most // 2])
         keep = keep[uses[keep] > 1]
         names = list(self.index)
         ids, sizes, uses = gathered(self.flat, self.start[keep], self.size[keep]), self.size[keep], uses[keep] // 2
@@ -202,7 +206,7 @@ class ChunkEncoder:
     BPE); else it drops white space (BPE with word ends).
     """
 
-    def __init__(self, data: bytes):
+    def __init__(self, data: bytes, entries: int | None = None):
         self.tok = Tokenizer.from_buffer(data)
         self.tok.no_truncation()
         self.tok.no_padding()
@@ -215,7 +219,7 @@ class ChunkEncoder:
         #: Cutting is exact for these two forms of tokenizer only; others take texts whole.
         self.cuts = self.plain and (self.spaced or self.dropped)
         self.specials = [t["content"] for t in added]
-        self.table = ChunkTable()
+        self.table = ChunkTable(entries)
         self.merges = Merges(spec, self.spaced) if self.cuts and Merges.fits(spec) else None
 
     # -- cutting ---------------------------------------------------------------------------
@@ -334,12 +338,12 @@ class ChunkEncoder:
 _KEPT: dict[tuple, ChunkEncoder] = {}
 
 
-def encoder_for(data: bytes) -> ChunkEncoder:
+def encoder_for(data: bytes, entries: int | None = None) -> ChunkEncoder:
     """A worker's encoder for a vocabulary, kept between tasks with what it has learned."""
-    key = (hash(data), len(data))
+    key = (hash(data), len(data), entries)
     if key not in _KEPT:
         _KEPT.clear()
-        _KEPT[key] = ChunkEncoder(data)
+        _KEPT[key] = ChunkEncoder(data, entries)
     return _KEPT[key]
 
 
@@ -350,6 +354,18 @@ def release() -> None:
     trim()
 
 
+def released(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run`` in a worker that keeps nothing before or after: an idle worker's memory counts beside the stages that
+    need no Python, too."""
+
+    def alone(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
+        yield from run(batches)
+        release()
+
+    return alone
+
+
 def trim() -> None:
     """Gives free memory back to the system."""
     gc.collect()

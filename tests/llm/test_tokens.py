@@ -160,3 +160,41 @@ def test_wide_ids_and_ranges(spark):
     got = [r[0] for r in df.select(token_files.range_of(F.col("x"), ends)).collect()]
     assert got == [0, 0, 1, 1, 2, 2, 3, 3, 4, 5, 5]
     assert fs is not None and encoder_for is not None
+
+
+def test_workers_give_memory_back(monkeypatch):
+    """Before the first text, every so many bytes and at the end; the table keeps to the operator's own bound."""
+    import pyarrow as pa
+
+    from tessitura.llm import bpe, tokenization
+
+    with open(BYTE, "rb") as f:
+        data = f.read()
+    trims = []
+    monkeypatch.setattr(bpe, "trim", lambda: trims.append(len(tokenization._KEPT)))
+    monkeypatch.setattr(bpe, "TRIM_BYTES", 20_000)
+    monkeypatch.setattr(bpe, "PIECE_BYTES", 10_000)
+    monkeypatch.setattr(bpe, "TABLE", 500)
+    monkeypatch.setattr(tokenization, "_KEPT", {})
+    texts = [" ".join(f"w{k}x{i}" for i in range(300)) for k in range(40)] + [None, ""]
+    made = list(bpe.encoded(iter([pa.record_batch([pa.array(range(42)), pa.array(texts)], names=["id", "text"])]), data, ("token_ids", "decoded"), 2048))
+    assert trims[0] == 0 and len(trims) >= 2 + sum(len(t or "") for t in texts) // 40_000
+    encoder = tokenization.encoder_for(data, 500)
+    encoder.table.forget()
+    assert len(encoder.table.index) <= 500
+    assert [r for b in made for r in b.column(3).to_pylist()] == [t or "" for t in texts]
+    whole = [e.ids for e in encoder.tok.encode_batch([t or "" for t in texts], add_special_tokens=False)]
+    assert [r for b in made for r in b.column(2).to_pylist()] == whole
+
+
+def test_released_workers_keep_nothing(monkeypatch):
+    from tessitura.llm import tokenization
+
+    calls = []
+    monkeypatch.setattr(tokenization, "release", lambda: calls.append("release"))
+
+    def run(batches):
+        calls.append("run")
+        yield from batches
+
+    assert list(tokenization.released(run)(iter([1, 2]))) == [1, 2] and calls == ["release", "run", "release"]
