@@ -531,11 +531,13 @@ def src_5_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT doc_id, row_number() OVER (PARTITION BY doc_id % 3 ORDER BY doc_id) AS source_line FROM documents")
 def src_6_line_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents as JSON lines in three files, read back with the number of each line in its file."""
+    """Documents as JSON lines in three files of many parts, each a range of ids, read back with the number of each
+    line in its file."""
     folder = shared.shared_folder(spark, "lines") + "/in"
     df = views.table(spark, sf_dir, "documents").select("doc_id", "text", (F.col("doc_id") % 3).alias("file"))
-    df.repartition(3, "file").sortWithinPartitions("file", "doc_id").write.partitionBy("file").json(folder)
-    out = readers.numbered_lines(spark, folder)
+    ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df.repartitionByRange(ranges, "file", "doc_id").sortWithinPartitions("file", "doc_id").write.partitionBy("file").json(folder)
+    out = readers.numbered_lines(spark, folder, parts=True)
     return out.select(F.get_json_object("value", "$.doc_id").cast("long").alias("doc_id"), "source_line")
 
 

@@ -70,15 +70,18 @@ def read_pairs(spark: SparkSession, path: str, fine_grained: bool = False, split
     return df
 
 
-def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(source_file, source_line, value) of text files. Lines are numbered within the block of the file that a task
-    reads; how many lines come before a block is a sum over the blocks of its file, a row for each, which meets
-    the lines again by file and block."""
-    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("source_file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"))
-    blocks = lines.groupBy("source_file", "block").agg(F.min("at").alias("first"), F.count("*").alias("n"))
-    before = Window.partitionBy("source_file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    blocks = blocks.select("source_file", "block", (F.coalesce(F.sum("n").over(before), F.lit(0)) - F.col("first") + 1).alias("shift"))
-    return lines.join(blocks, ["source_file", "block"]).select("source_file", (F.col("at") + F.col("shift")).alias("source_line"), "value")
+def numbered_lines(spark: SparkSession, path: str, parts: bool = False) -> DataFrame:
+    """(source_file, source_line, value) of text files. With ``parts``, a folder is one file, whose lines are numbered
+    through its parts: by name, shorter names first, as Spark numbers what it writes; ``source_file`` is then the folder.
+
+    Lines are numbered within the block of the file that a task reads; how many lines come before a block is a sum
+    over the blocks of its file. There is a row for each block, so these are sent to the lines, which stay where they are read."""
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("part"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"))
+    blocks = lines.groupBy("part", "block").agg(F.min("at").alias("first"), F.count("*").alias("n"))
+    blocks = blocks.withColumn("source_file", F.regexp_replace("part", "/[^/]*$", "") if parts else F.col("part"))
+    before = Window.partitionBy("source_file").orderBy(F.length("part"), "part", "block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = blocks.select("part", "block", "source_file", (F.coalesce(F.sum("n").over(before), F.lit(0)) - F.col("first") + 1).alias("shift"))
+    return lines.join(F.broadcast(blocks), ["part", "block"]).select("source_file", (F.col("at") + F.col("shift")).alias("source_line"), "value")
 
 
 def read_candidates(spark: SparkSession, path: str) -> DataFrame:

@@ -383,3 +383,31 @@ def test_entry_hides_no_broken_module(tmp_path):
         pytest.skip("the folder is not there")
     done = _entry(tmp_path, ["near.py"], "import __spark_entry__ as e; e.queries()")
     assert done.returncode != 0 and "near" in done.stderr
+
+
+def test_lines_are_numbered_through_parts(spark, tmp_path, monkeypatch):
+    from tessitura import queries
+
+    for file, parts in {"a": {"part-2": 30, "part-10": 40, "part-1": 5}, "b": {"part-1": 7, "part-2": 1}}.items():
+        (tmp_path / "in" / f"file={file}").mkdir(parents=True)
+        for name, n in parts.items():
+            (tmp_path / "in" / f"file={file}" / name).write_text("".join(f"{file} {name} {i:04d}\n" for i in range(n)))
+    want = {f"a {p} {i:04d}": k for k, (p, i) in enumerate([*(("part-1", i) for i in range(5)), *(("part-2", i) for i in range(30)), *(("part-10", i) for i in range(40))], 1)}
+    want |= {f"b {p} {i:04d}": k for k, (p, i) in enumerate([*(("part-1", i) for i in range(7)), ("part-2", 0)], 1)}
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "100")
+    try:
+        got = readers.numbered_lines(spark, str(tmp_path / "in"), parts=True).collect()
+        assert {r.value: r.source_line for r in got} == want and len(got) == len(want)
+        assert {r.source_file.rsplit("/", 1)[-1] for r in got} == {"file=a", "file=b"}
+        alone = readers.numbered_lines(spark, str(tmp_path / "in" / "file=a" / "part-10")).collect()
+        assert sorted(r.source_line for r in alone) == list(range(1, 41)) and all(int(r.value[-4:]) + 1 == r.source_line for r in alone)
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    # no task has a whole file
+    spark.createDataFrame([(i if i % 50 else None, f"text {i}") for i in range(1200)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    monkeypatch.setattr(queries.shared, "shared_folder", lambda *_: str(tmp_path / "out"))
+    got = queries.QUERIES["src_6_line_numbers"](spark, str(tmp_path)).collect()
+    ids = [[i for i in range(1200) if i % 50 and i % 3 == k] for k in range(3)]
+    assert {r.doc_id: r.source_line for r in got if r.doc_id is not None} == {i: n for g in ids for n, i in enumerate(g, 1)}
+    assert sorted(r.source_line for r in got if r.doc_id is None) == list(range(1, 25))
+    assert len(list((tmp_path / "out" / "in").glob("file=*/part-*.json"))) > 4
