@@ -10,12 +10,18 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 from typing import Protocol
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from tessitura.plans.layout import Codec
 
+#: Rows and bytes of text that go to a tokenizer at once.
+AT_ONCE, BYTES_AT_ONCE = 256, 1 << 20
+
 
 class CodecModel(Protocol):
     codec: Codec
@@ -45,28 +51,38 @@ class LibraryTokenizer:
         self.model.no_padding()
 
     def encode_batch(self, texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.model.encode_batch(texts, add_special_tokens=self.special)]
+        return [e.ids for e in self.model.encode_batch_fast(texts, add_special_tokens=self.special)]
 
 
 def tokenize_with(factory: Callable[[], Tokenizer]) -> Callable[[Column], Column]:
     """A function from a text column to its ids, for ``prompts``, ``clone_prompts`` and training rows. A null text
-    has null ids. Texts go to the tokenizer a few hundred at a time."""
+    has null ids. Texts go to the tokenizer, and their ids back to Spark, in pieces of up to ``AT_ONCE`` rows and
+    ``BYTES_AT_ONCE`` of text, or one longer text, so a worker's memory depends on neither the input nor Spark's batches."""
 
-    @F.pandas_udf("array<int>")
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("array<int>")
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         model = factory()
         for batch in batches:
-            out: list[list[int] | None] = [None] * len(batch)
-            there = [i for i, t in enumerate(batch) if t is not None]
-            for start in range(0, len(there), 256):
-                some = there[start : start + 256]
-                for i, ids in zip(some, model.encode_batch([batch.iloc[i] for i in some]), strict=True):
-                    out[i] = ids
-            yield pd.Series(out, dtype=object)
+            if not len(batch):
+                yield pa.array([], pa.list_(pa.int32()))
+            for part in _pieces(batch):
+                texts = part.to_pylist()
+                made = iter(model.encode_batch([t for t in texts if t is not None]))
+                yield pa.array([None if t is None else next(made) for t in texts], pa.list_(pa.int32()))
 
     return run
 
 
+def _pieces(texts: pa.Array) -> Iterator[pa.Array]:
+    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    start = 0
+    while start < len(ends):
+        upto = int(np.searchsorted(ends, (ends[start - 1] if start else 0) + BYTES_AT_ONCE, side="right"))
+        stop = min(max(start + 1, upto), start + AT_ONCE)
+        yield texts[start:stop]
+        start = stop
+
+
 def encode_with(factory: Callable[[], CodecModel], wave: Column) -> Column:
     """Codes of each waveform; null where the codec raises, so that a filter can count the row."""
 

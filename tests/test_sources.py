@@ -411,3 +411,20 @@ def test_lines_are_numbered_through_parts(spark, tmp_path, monkeypatch):
     assert {r.doc_id: r.source_line for r in got if r.doc_id is not None} == {i: n for g in ids for n, i in enumerate(g, 1)}
     assert sorted(r.source_line for r in got if r.doc_id is None) == list(range(1, 25))
     assert len(list((tmp_path / "out" / "in").glob("file=*/part-*.json"))) > 4
+
+
+def test_tokenizers_get_small_pieces(spark):
+    """By bytes, not by rows alone; ids go back to Spark piece by piece."""
+
+    class Lengths:
+        def encode_batch(self, texts):
+            return [[len(t), len(texts), sum(map(len, texts))] for t in texts]
+
+    texts = [None, *("x" * 300_000 for _ in range(20)), "", "y" * 3_000_000, None, *("z" for _ in range(600))]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string").coalesce(1)
+    got = {r.i: r.ids for r in df.select("i", plugins.tokenize_with(Lengths)(F.col("t")).alias("ids")).collect()}
+    assert len(got) == len(texts) and all((got[i] is None) == (t is None) for i, t in enumerate(texts))
+    assert all(got[i][0] == len(t) for i, t in enumerate(texts) if t is not None)
+    assert max(x[1] for x in got.values() if x) <= plugins.AT_ONCE
+    assert max(x[2] for x in got.values() if x and x[1] > 1) <= plugins.BYTES_AT_ONCE
+    assert df.where("i < 0").select(plugins.tokenize_with(Lengths)(F.col("t"))).collect() == []
