@@ -22,6 +22,10 @@ similar to each other in one of two ways, by their overlaps with the center and
 Smaller bands of up to ``SMALL_BAND`` nodes, twice as many in each later round up to ``SMALL_GROUP``, and groups of
 up to ``SMALL_GROUP`` that share a shingle, are confirmed pair by pair where sizes and overlaps allow it; larger
 ones are the bands of the next round, with a center of their own, unless they are one component already.
+Links to centers are merged first, and no pair within one component is named: it would add nothing to the
+components. Two bounds on the overlap must allow the others: at a shared shingle, what both have from it on in
+the order of rarity; and the parities of both sets by ``MARKS`` hashed places, since sets differ in at least
+as many shingles as places (the bitmap filter of similarity joins).
 Each round takes a center out of each band, so rounds end with the input.
 
 So groups of near copies, and documents around one common passage, cost about a comparison a
@@ -38,7 +42,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -50,6 +54,8 @@ BINS = ROWS * BANDS
 PERCENT = 80
 SMALL_BAND = 64
 SMALL_GROUP = 1024
+#: Places of a set's parities, a power of two and whole longs.
+MARKS = 1024
 #: A center's set is sent again for about so many nodes, by its band neighbours in all bands.
 PER_SALT = 8192
 #: Nodes of a band that one task sees at most, about; how many ways bands are cut before their size is known.
@@ -147,11 +153,24 @@ def _shared(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return y[np.minimum(where, len(y) - 1)] == x
 
 
+def parities(items: np.ndarray) -> np.ndarray:
+    """For each of ``MARKS`` places whether an odd number of the items falls on it, as longs."""
+    odd = np.bincount((items >> _U(65 - MARKS.bit_length())).astype(np.int64), minlength=MARKS) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
+def _near_enough(percent: int) -> Column:
+    """Whether the sizes and parities of a pair allow that it is similar."""
+    differ = sum(F.bit_count(F.col("marks")[i].bitwiseXOR(F.col("o_marks")[i])) for i in range(MARKS // 64))
+    both = F.col("n") + F.col("o_n")
+    return (100 + percent) * (both - differ) >= 2 * percent * both
+
+
 def _compared(pairs: DataFrame, sets: DataFrame, percent: int, extra: bool) -> DataFrame:
-    """For pairs (a, b): both sizes, the ``overlap`` of the sets, whether they are ``linked`` and,
-    if asked, ``extra``, the shingles of b that a lacks."""
+    """For pairs (a, b): the size of b's set, the ``overlap`` of the sets, whether they are ``linked`` and,
+    if asked, ``extra``, the shingles of b that a lacks, and ``marks``, the parities of b's set."""
     kind = dict(sets.dtypes)["id"]
-    names = ["a", "b", "n", "overlap", "linked", *(["extra"] if extra else [])]
+    names = ["a", "b", "n", "overlap", "linked", *(["extra", "marks"] if extra else [])]
 
     @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -159,7 +178,7 @@ def _compared(pairs: DataFrame, sets: DataFrame, percent: int, extra: bool) -> D
         for batch in batches:
             for part in pieces(batch.column(3)):
                 piece = batch.slice(part.start, part.stop - part.start)
-                at, counts, rest = [], [], []
+                at, counts, rest, marks = [], [], [], []
                 for k, (b, items) in enumerate(zip(piece.column(2), piece.column(3), strict=True)):
                     y = np.frombuffer(items.as_buffer(), np.uint64)
                     if not b.is_valid:
@@ -171,14 +190,17 @@ def _compared(pairs: DataFrame, sets: DataFrame, percent: int, extra: bool) -> D
                     counts.append((len(y), common, 100 * common >= percent * (len(head) + len(y) - common)))
                     if extra:
                         rest.append(y[~own].view(np.int64))
+                        marks.append(parities(y))
                 columns = list(zip(*counts, strict=True)) or [[]] * 3
                 made = [piece.column(0).take(pa.array(at, pa.int64())), piece.column(2).take(pa.array(at, pa.int64())), *(pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.bool_()), strict=True))]
                 if extra:
                     ends = np.cumsum([0, *map(len, rest)]).astype(np.int32)
                     made.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(rest) if rest else np.empty(0, np.int64))))
+                    each = np.arange(len(marks) + 1, dtype=np.int32) * (MARKS // 64)
+                    made.append(pa.ListArray.from_arrays(pa.array(each), pa.array(np.concatenate(marks) if marks else np.empty(0, np.int64))))
                 yield pa.RecordBatch.from_arrays(made, names=names)
 
-    return _beside(pairs, sets).mapInArrow(run, f"a {kind}, b {kind}, n long, overlap long, linked boolean" + ", extra array<long>" * extra)
+    return _beside(pairs, sets).mapInArrow(run, f"a {kind}, b {kind}, n long, overlap long, linked boolean" + ", extra array<long>, marks array<long>" * extra)
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -225,8 +247,9 @@ def _prefixes(met: DataFrame, percent: int) -> DataFrame:
     A node's partners have at least percent of its size, and the least size around the center (``low``).
     So a similar pair shares at least t items beyond the center, t from the node's overlap alone,
     and one of any ``extra - t + 1``: the rarest ones around the center. Items of one node are no help.
+    ``ahead`` counts the node's other items from this one on: a pair's first item has all that it shares ahead.
     """
-    items = met.select("c", "node", "n", "low", "overlap", "linked", F.size("extra").cast("long").alias("extra"), F.explode("extra").alias("item"))
+    items = met.select("c", "node", "n", "low", "overlap", "linked", F.explode("extra").alias("item"))
     often = items.groupBy("c", "item").agg(F.count("*").alias("often")).where("often > 1")
     partner = F.greatest("low", F.ceil(F.col("n") * percent / 100))
     t = F.greatest(F.lit(1), F.ceil((F.col("n") + partner) * percent / (100 + percent)) - F.col("overlap"))
@@ -234,15 +257,17 @@ def _prefixes(met: DataFrame, percent: int) -> DataFrame:
     shared = Window.partitionBy("c", "node")
     ranked = items.join(often, ["c", "item"]).withColumn("t", t)
     ranked = ranked.withColumn("rank", F.row_number().over(shared.orderBy("often", "item"))).withColumn("many", F.count("*").over(shared))
-    return ranked.where(F.col("extra") - F.col("many") + F.col("rank") <= F.col("extra") - F.col("t") + 1).select("c", "node", "n", "overlap", "linked", "extra", "item")
+    ranked = ranked.withColumn("ahead", F.col("many") - F.col("rank") + 1).where(F.col("ahead") >= F.col("t"))
+    return ranked.select("c", "node", "n", "overlap", "item", "ahead").join(met.select("c", "node", "comp", "marks"), ["c", "node"])
 
 
-def _named(links: DataFrame, state: DataFrame) -> DataFrame:
-    """Links between the components that their ends are in."""
-    comp = state.select("node", "comp").unionByName(state.select(F.col("c").alias("node"), F.col("c").alias("comp"))).groupBy("node").agg(F.min("comp").alias("comp"))
-    left = comp.select(F.col("node").alias("u"), F.col("comp").alias("cu"))
-    right = comp.select(F.col("node").alias("v"), F.col("comp").alias("cv"))
-    return links.join(left, "u").join(right, "v").select(F.col("cu").alias("u"), F.col("cv").alias("v"))
+def _merged(links: DataFrame, comps: DataFrame, scratch: Scratch, name: str) -> DataFrame:
+    """``comps`` (node, comp) with the components that the links (u, v) tie together made one."""
+    left = comps.select(F.col("node").alias("u"), F.col("comp").alias("cu"))
+    right = comps.select(F.col("node").alias("v"), F.col("comp").alias("cv"))
+    named = links.join(left, "u").join(right, "v").select(F.col("cu").alias("u"), F.col("cv").alias("v"))
+    roots = components(named, scratch, name)
+    return comps.join(roots.withColumnRenamed("v", "comp"), "comp", "left").select("node", F.coalesce("root", "comp").alias("comp"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = PERCENT) -> DataFrame:
@@ -281,45 +306,48 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         small = min(SMALL_GROUP, SMALL_BAND << min(i, 10))  # later rounds have few bands, which else lose little a round
         best = F.max(F.struct("central", F.xxhash64("node").alias("h"), "node")).alias("best")
         centers = state.groupBy("band").agg(best, F.min("n").alias("low"), F.max("m").alias("m")).select("band", F.col("best.node").alias("c"), F.ceil(F.col("best.central") / PER_SALT).alias("salts"), "low", "m")
-        state = scratch.save(_cut(state).join(_each_cut(centers).drop("m"), ["band", "cut"]), f"centered-{i}").where("node <> c")
+        state = scratch.save(_cut(state).join(_each_cut(centers).drop("m"), ["band", "cut"]), f"centered-{i}")
+        comps = state.select("node", "comp").distinct()
+        state = state.where("node <> c")
         pairs = state.groupBy("c", "node").agg(F.max("salts").alias("salts"), F.min("low").alias("low"))
         salted = pairs.select(F.col("c").alias("a"), F.col("node").alias("b"), F.pmod(F.xxhash64("node"), "salts").alias("salt"))
         met = _compared(salted, sets, percent, extra=True).withColumnsRenamed({"a": "c", "b": "node"})
         met = scratch.save(met.join(pairs.select("c", "node", "low"), ["c", "node"]), f"met-{i}")
+        linked = met.where("linked").select(F.col("c").alias("u"), F.col("node").alias("v"))
+        comps = scratch.save(_merged(linked, comps, scratch, f"near-{i}"), f"comps-{i}")
+        met = met.join(comps, "node")
         parts = scratch.save(_prefixes(met, percent), f"parts-{i}")
-        open_ = ~F.col("linked")
-        sharing = parts.groupBy("c", "item").agg(F.count("*").alias("m"), F.bool_or(open_).alias("open")).where("m > 1 AND open").drop("open")
+        sharing = parts.groupBy("c", "item").agg(F.count("*").alias("m"), F.min("comp").alias("x"), F.max("comp").alias("y")).where("x < y").drop("x", "y")
         few = parts.join(sharing.where(F.col("m") <= SMALL_GROUP), ["c", "item"])
-        other = few.select("c", "item", *(F.col(x).alias(f"o_{x}") for x in ("node", "n", "overlap", "linked", "extra")))
+        other = few.select("c", "item", *(F.col(x).alias(f"o_{x}") for x in ("node", "n", "overlap", "comp", "ahead", "marks")))
         need = percent * (F.col("n") + F.col("o_n"))
-        can = (100 + percent) * (F.least("overlap", "o_overlap") + F.least("extra", "o_extra")) >= need
-        not_both = (F.col("node") < F.col("o_node")) & ~(F.col("linked") & F.col("o_linked"))
-        tried = few.join(other, ["c", "item"]).where(not_both & can).select(F.col("node").alias("a"), F.col("o_node").alias("b"))
+        can = (100 + percent) * (F.least("overlap", "o_overlap") + F.least("ahead", "o_ahead")) >= need
+        apart = (F.col("node") < F.col("o_node")) & (F.col("comp") != F.col("o_comp"))
+        tried = few.join(other, ["c", "item"]).where(apart & can & _near_enough(percent)).select(F.col("node").alias("a"), F.col("o_node").alias("b"))
         many = parts.join(sharing.where(F.col("m") > SMALL_GROUP), ["c", "item"]).select(F.xxhash64("c", "item").alias("band"), "m", "node", "n", F.col("m").alias("central"))
         # nodes that could be similar to one another by what they share with the center alone
-        rest = state.join(met.select("c", "node", "overlap", "linked"), ["c", "node"]).withColumn("room", most("overlap", "n"))
+        open_ = ~F.col("linked")
+        rest = state.drop("comp").join(met.select("c", "node", "overlap", "linked", "comp", "marks"), ["c", "node"]).withColumn("room", most("overlap", "n"))
         bounds = rest.groupBy("band").agg(F.min("n").alias("least"), F.min(F.when(open_, F.col("n"))).alias("open_low"), F.max(F.when(open_, F.col("room"))).alias("open_room"), F.max("m").alias("m"))
         rest = rest.join(_each_cut(bounds).drop("m"), ["band", "cut"]).where(F.when(open_, F.col("room") >= F.col("least")).otherwise((F.col("n") <= F.col("open_room")) & (F.col("room") >= F.col("open_low"))))
-        rest = scratch.save(rest.select("band", "m", "cut", "node", "n", "central", "overlap", "linked"), f"rest-{i}")
+        rest = scratch.save(rest.select("band", "m", "cut", "node", "n", "central", "overlap", "comp", "marks"), f"rest-{i}")
         left = rest.groupBy("band").agg(F.count("*").alias("left"), F.max("m").alias("m")).where("left > 1")
         few = rest.join(left.where(F.col("left") <= small).drop("m"), "band")
-        peer = few.select("band", *(F.col(x).alias(f"o_{x}") for x in ("node", "n", "overlap", "linked")))
+        peer = few.select("band", *(F.col(x).alias(f"o_{x}") for x in ("node", "n", "overlap", "comp", "marks")))
         enough = (100 + percent) * F.least("overlap", "o_overlap") >= need
-        tried = tried.unionByName(few.join(peer, "band").where(not_both & enough).select(F.col("node").alias("a"), F.col("o_node").alias("b")))
+        tried = tried.unionByName(few.join(peer, "band").where(apart & enough & _near_enough(percent)).select(F.col("node").alias("a"), F.col("o_node").alias("b")))
         tried = scratch.save(tried.distinct(), f"tried-{i}")
-        linked = met.where("linked").select(F.col("c").alias("u"), F.col("node").alias("v"))
-        links = scratch.save(linked.unionByName(_confirmed(tried, sets, percent)), f"links-{i}")
-        found.append(links)
+        confirmed = scratch.save(_confirmed(tried, sets, percent), f"confirmed-{i}")
+        found.append(scratch.save(linked.unionByName(confirmed), f"links-{i}"))
         large = _each_cut(left.where(F.col("left") > small)).select("band", "cut", F.col("left"))
         following = rest.join(large, ["band", "cut"]).select("band", F.col("left").alias("m"), "node", "n", "central").unionByName(many)
-        following = scratch.save(following.join(state.select("node", "comp").distinct(), "node"), f"following-{i}")
+        following = scratch.save(following, f"following-{i}")
         if following.isEmpty():
             break
-        merged = components(_named(links, state), scratch, f"merge-{i}")
-        renamed = following.join(merged.withColumnRenamed("v", "comp"), "comp", "left").select("band", "m", "node", "n", "central", F.coalesce("root", "comp").alias("comp"))
+        renamed = following.join(_merged(confirmed, comps, scratch, f"merge-{i}"), "node").select("band", "m", "node", "n", "central", "comp")
         still = renamed.groupBy("band").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x < y").select("band")
         state = scratch.save(renamed.join(still, "band", "left_semi"), f"state-{i + 1}")
-        scratch.drop(*(n for n in scratch.names if n.endswith(f"-{i}") and n != f"links-{i}" and not n.startswith("state") or n.startswith(f"merge-{i}-")))
+        scratch.drop(*(n for n in scratch.names if n.endswith(f"-{i}") and n != f"links-{i}" and not n.startswith("state") or n.startswith((f"merge-{i}-", f"near-{i}-"))))
     out = sketched.select("id", "n", "d1", "d2").join(reps, ["d1", "d2"], "left")
     # a document with several texts ties the nodes that stand for them
     several = out.where("n > 0 AND id IS NOT NULL").groupBy("id").agg(F.min("node").alias("x"), F.max("node").alias("y")).where("x < y").select("id")

@@ -111,3 +111,30 @@ def test_components_of_a_chain(spark):
     edges = [(i, i + 1) for i in range(n)] + [(100, 101), (5, 5)]
     got = {r.v: r.root for r in near.components(spark.createDataFrame(edges, "u long, v long"), Scratch(spark, "t"), "c").collect()}
     assert got == {i: 0 for i in range(1, n + 1)} | {101: 100}
+
+
+def test_pairs_within_a_component_and_far_pairs_are_not_named(spark, monkeypatch):
+    """Texts put together from one pool of sentences and near copies of some: all meet in bands and share rare shingles."""
+    rng = random.Random(7)
+    pool = [" ".join(f"s{k}w{j}" for j in range(10)) for k in range(16)]
+    rows = [(i, " ".join(pool[k] for k in sorted(rng.sample(range(16), 11))), "") for i in range(40)]
+    for i in range(40, 100):
+        words = rows[i % 4][1].split()
+        for _ in range(3):
+            words[rng.randrange(len(words))] = f"w{rng.randrange(10**6)}"
+        rows.append((i, " ".join(words), ""))
+    named, confirmed = [], near._confirmed
+    monkeypatch.setattr(near, "_confirmed", lambda pairs, *rest: named.append(pairs.count()) or confirmed(pairs, *rest))
+    got = {r.doc_id: r.component_id for r in near.near_duplicates(spark.createDataFrame(rows, SCHEMA), words=4).collect()}
+    assert got == plain_components(rows, 4, 80)
+    assert sum(named) <= len(rows), named
+
+
+def test_parities_differ_in_no_more_places_than_sets_in_items():
+    rng = np.random.default_rng(3)
+    for n, apart in ((0, 1), (50, 0), (300, 40), (5000, 700), (3, 3)):
+        items = np.unique(rng.integers(0, 2**64, n + 2 * apart, dtype=np.uint64))
+        a, b = items[: n + apart], np.concatenate([items[:n], items[n + apart :]])
+        differ = sum(int(x).bit_count() for x in (near.parities(a) ^ near.parities(b)).view(np.uint64))
+        assert differ <= 2 * apart and (apart == 0 or differ > 0)
+        assert len(near.parities(a)) == near.MARKS // 64
